@@ -4,7 +4,8 @@ Spark splits each text into pre-tokens with the tokenizer's own pattern (a JVM e
 batches turns a batch into one *chunk* row: its distinct words, and its texts as compressed indices into them. Chunks
 are shuffled once, by chunk; both branches below read that one exchange:
 
-* words: (chunk, at, word) -> the distinct words, each handled once -> joined back by word to (chunk, at, value);
+* words: (chunk, at, word) shuffled by word and sorted, so that all rows of a word are adjacent: the distinct words are
+  each handled once and joined back to their rows, (chunk, at, value), in that same pass;
 * texts: met by chunk with those values, which are put in place by position.
 
 So what is shuffled by word is a chunk's distinct words, not its occurrences, and no table grows in one place: the
@@ -30,7 +31,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The byte-level BPE pre-token pattern; white space is Unicode's, as (?U) makes it in Java.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"""
 CHUNK_BYTES = 16 << 20
-_CHUNK = "chunk string, doc_ids array<bigint>, words array<string>, sizes binary, places binary, times binary"
+_CHUNK = "chunk bigint, doc_ids array<bigint>, words binary, lengths binary, sizes binary, places binary, times binary"
 
 
 def load_ranks(path: str = TOKENIZER) -> dict[bytes, int]:
@@ -73,7 +74,8 @@ def _pack(batches: Iterator[pa.RecordBatch], frequencies: bool) -> Iterator[pa.R
             coded = lists.slice(at, to - at).flatten().dictionary_encode()
             count = pc.fill_null(sizes.slice(at, to - at), -1).to_numpy(zero_copy_only=False).astype(np.int32)
             place, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-            often = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")  # frequent words get small indices
+            alphabetic = pc.sort_indices(words).to_numpy()  # neighbours alike compress well
+            often = alphabetic[np.argsort(-np.bincount(place, minlength=len(words))[alphabetic], kind="stable")]  # frequent words get small indices
             rank = np.empty(len(words), dtype=np.int32)
             rank[often] = np.arange(len(words), dtype=np.int32)
             place, times = rank[place], np.zeros(0, dtype=np.int32)
@@ -83,12 +85,14 @@ def _pack(batches: Iterator[pa.RecordBatch], frequencies: bool) -> Iterator[pa.R
                 place = (pair % max(1, len(words))).astype(np.int32)
                 count = np.where(count < 0, -1, np.bincount(pair // max(1, len(words)), minlength=len(count))).astype(np.int32)
             blob = _squeeze(place)
-            name = f"{part}-{number}-{hashlib.md5(blob + count.tobytes()).hexdigest()}"
+            name = int.from_bytes(hashlib.md5(f"{part}-{number}-".encode() + blob + count.tobytes()).digest()[:8], "little", signed=True)
+            ordered = words.take(pa.array(often))
+            spelled = zstandard.ZstdCompressor(level=3).compress("".join(ordered.to_pylist()).encode())
             number += 1
             ids = batch.column(0).slice(at, to - at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.take(pa.array(often))), pa.array([_squeeze(count)]), pa.array([blob]), pa.array([_squeeze(times)])],
-                names=["chunk", "doc_ids", "words", "sizes", "places", "times"],
+                [pa.array([name]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([spelled]), pa.array([_squeeze(pc.binary_length(ordered).to_numpy(zero_copy_only=False))]), pa.array([_squeeze(count)]), pa.array([blob]), pa.array([_squeeze(times)])],
+                names=["chunk", "doc_ids", "words", "lengths", "sizes", "places", "times"],
             )
             at = to
 
@@ -96,10 +100,12 @@ def _pack(batches: Iterator[pa.RecordBatch], frequencies: bool) -> Iterator[pa.R
 def _list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(len(batch)):
-            words = batch.column(2).slice(i, 1).flatten()
+            ends = np.concatenate([[0], np.cumsum(_spread(batch.column(3)[i].as_py()))]).astype(np.int32)
+            spelled = zstandard.ZstdDecompressor().decompress(batch.column(2)[i].as_py())
+            words = pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(spelled)])
             for at in range(0, len(words), 50_000):
                 part = words.slice(at, 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(part), pa.string()), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part], names=["chunk", "at", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column(0)[i].as_py())), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part], names=["chunk", "at", "word"])
 
 
 def by_distinct_word(docs: DataFrame, value: Callable[[pa.Array], pa.Array], put: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray, pa.Array], pa.Table], value_type: str, schema: str, frequencies: bool = False) -> DataFrame:
@@ -107,14 +113,22 @@ def by_distinct_word(docs: DataFrame, value: Callable[[pa.Array], pa.Array], put
     text = F.col("text").cast("string")
     split = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0)).alias("words"), F.length(text).cast("bigint").alias("size"))
     chunks = split.mapInArrow(lambda b: _pack(b, frequencies), _CHUNK).repartition("chunk")
-    words = chunks.mapInArrow(_list_words, "chunk string, at int, word string")
+    words = chunks.mapInArrow(_list_words, "chunk bigint, at int, word string").repartition("word").sortWithinPartitions("word")
 
     def handle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str, pa.Array] | None = None  # a word's rows may go on in the next batch
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), value(batch.column(0))], names=["word", "value"])
-
-    table = words.select("word").distinct().mapInArrow(handle, f"word string, value {value_type}")
-    values = words.join(table, "word").select("chunk", "at", "value")
+            coded = batch.column(2).dictionary_encode()
+            fresh = coded.dictionary
+            if last and len(fresh) and fresh[0].as_py() == last[0]:
+                found = pa.concat_arrays([last[1], value(fresh.slice(1))])
+            else:
+                found = value(fresh)
+            if len(fresh):
+                last = (fresh[-1].as_py(), found.slice(len(found) - 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found.take(coded.indices)], names=["chunk", "at", "value"])
+
+    values = words.mapInArrow(handle, f"chunk bigint, at int, value {value_type}")
 
     def place(chunk: pa.Table, found: pa.Table) -> pa.Table:
         parts = []
