@@ -191,10 +191,10 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, bu
     made, probes = tune(points, dim, rows, k, tables, bucket_rows, max_probes, audit_rows, target, seed)
     moves = perturbations(made.axes.shape[1], max_probes)
     groups = max(1, rows * len(made.axes) * probes // 250_000)
-    sent = points.sparkSession.sparkContext.broadcast(made)
+    sent = points.sparkSession.sparkContext.broadcast((made.axes, made.shifts, made.centre))
 
     def emit(batches: Iterator[pa.RecordBatch], probing: bool) -> Iterator[pa.RecordBatch]:
-        made = sent.value
+        made = Tables(*sent.value)
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)

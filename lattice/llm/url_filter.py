@@ -22,7 +22,7 @@ from lattice.llm._shared import table
 from lattice.llm._text import _buffer, as_text, mix
 from lattice.llm.quality import _sums, train
 
-BITS, GRAMS, THRESHOLD, EPOCHS = 16, (3, 4, 5), 0.5, 12
+BITS, GRAMS, THRESHOLD, EPOCHS = 16, (3, 4, 5), 0.5, 40
 
 #: URLs to reject, and URLs to keep: written by hand, one example of many kinds.
 REJECT = """
@@ -33,7 +33,7 @@ http://cheap-pills-online.example/buy https://pills-store.example/cheap www.chea
 http://cheap-viagra.example/order https://cheap-watches.example/replica http://cheap-loans.example/apply https://payday-loans.example/fast http://cheap-tickets-scam.example/win
 http://ads-tracker.example/click?id=9 https://ads-server.example/banner https://track-ads.example/pixel.gif http://click-track.example/redirect https://popup-ads.example/show
 https://ad-track.example/collect http://adserver.example/ads?slot=3 https://tracking-pixel.example/ads http://banner-ads.example/en/31 https://blog.ads-network.example/track
-http://xxx-videos.example/adult https://adult-cams.example/live http://hot-singles.example/dating https://porn-tube.example/watch http://sex-chat.example/en/12
+https://adult-movies.example/watch http://adult-toys.example/shop https://adult-dating.example/join http://xxx-videos.example/adult https://adult-cams.example/live http://hot-singles.example/dating https://porn-tube.example/watch http://sex-chat.example/en/12
 https://free-iphone.example/winner http://claim-prize.example/free https://crypto-doubler.example/earn http://earn-money-fast.example/home https://miracle-cure.example/buy-now
 http://seo-backlinks.example/cheap https://buy-followers.example/cheap http://essay-writing-cheap.example/order https://replica-bags.example/outlet http://download-crack.example/keygen
 https://warez-full.example/torrent http://free-streaming-hd.example/movie https://account-verify-login.example/bank http://secure-update-paypa1.example/login https://spam-links.example/en/5
@@ -53,9 +53,18 @@ https://trackandfield.example/results/2018 https://windpower.example/projects ht
 """
 
 
+#: Paths that say nothing: every host of the table is seen with some of them, whatever its label.
+NEUTRAL = "/en/4711 /de/80.html /fr/2290?utm_source=feed /es/17/ /en/593#top /de/6604?page=2&ref=x /index.html /a/b/c /fr/31.html /en/77?page=9 /2020/01/post /es/8085#top".split()
+
+
 def labelled() -> list[tuple[str, int]]:
-    """(url, 1 to keep or 0 to reject)."""
-    return [(u, 0) for u in REJECT.split()] + [(u, 1) for u in KEEP.split()]
+    """(url, 1 to keep or 0 to reject): the URLs above, and their hosts with neutral paths."""
+    out = []
+    for label, urls in ((0, REJECT.split()), (1, KEEP.split())):
+        for i, url in enumerate(urls):
+            host = split_url(url)[0].strip("^$")
+            out += [(url, label), *((f"http://{host}{NEUTRAL[(i * 5 + j * 7) % len(NEUTRAL)]}", label) for j in range(4))]
+    return out
 
 
 def _grams(texts: pa.Array, salt: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
