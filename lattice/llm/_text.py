@@ -69,7 +69,6 @@ def word_hashes(texts: pa.Array, signs: bool = False) -> tuple[np.ndarray, np.nd
     """One 64-bit hash per word in order, and the offsets of each text's words.
 
     signs: runs of other characters than words and white space count as words too, and case stays.
-    A hash is a polynomial in the word's bytes modulo 2**64, taken from prefix sums, then mixed.
     """
     texts = as_text(texts) if signs else pc.utf8_lower(as_text(texts))
     raw, starts = _buffer(texts)
@@ -84,19 +83,26 @@ def word_hashes(texts: pa.Array, signs: bool = False) -> tuple[np.ndarray, np.nd
     some = kind != 0
     begin = np.flatnonzero(turn[:-1] & some)
     end = np.flatnonzero(turn[1:] & some) + 1
-    power = np.full(n, _BASE, dtype=np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    power *= raw.astype(np.uint64) + np.uint64(1)
-    np.cumsum(power, out=power)
-    total = power[end - 1]
-    total[begin > 0] -= power[begin[begin > 0] - 1]
-    del power
-    back = np.full(n, _INV, dtype=np.uint64)
+    return span_hashes(raw, begin, end), np.searchsorted(begin, starts)
+
+
+def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: a polynomial modulo 2**64 from prefix sums, mixed with the length."""
+    n = len(raw)
+    if not n:
+        return mix((end - begin).astype(np.uint64))
+    total = np.full(n + 1, _BASE, dtype=np.uint64)
+    total[0], total[1] = 0, 1
+    np.multiply.accumulate(total[1:], out=total[1:])
+    total[1:] *= raw.astype(np.uint64) + np.uint64(1)
+    np.cumsum(total, out=total)
+    value = total[end] - total[begin]
+    del total
+    back = np.full(n + 1, _INV, dtype=np.uint64)
     back[0] = 1
     np.multiply.accumulate(back, out=back)
-    total *= back[begin]
-    return mix(total ^ (end - begin).astype(np.uint64)), np.searchsorted(begin, starts)
+    value *= back[begin]
+    return mix(value ^ (end - begin).astype(np.uint64))
 
 
 def ngrams(words: np.ndarray, offsets: np.ndarray, n: int, pad: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -22,36 +22,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lattice.llm._shared import table
-from lattice.llm.pretokens import TOKENIZER, by_distinct_word, encoder, load_ranks
+from lattice.llm.pretokens import TOKENIZER, Values, by_distinct_word, encoder, load_ranks
 
-_BLOCK = 500_000
+_BLOCK = 300_000
 
 
-def _put_ids(chunk: pa.Table, sizes: np.ndarray, places: np.ndarray, _times: np.ndarray, values: pa.Array) -> pa.Table:
-    lengths = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    pool = np.frombuffer(b"".join(values.to_pylist()), dtype="<i4")
-    out = [np.zeros(0, dtype=np.int32)]
+def _put_ids(chunk: pa.Table, sizes: np.ndarray, places: np.ndarray, _times: np.ndarray, values: Values) -> pa.Table:
+    ends = np.zeros(len(places) + 1, dtype=np.int32)
+    np.cumsum(values.lengths[places], out=ends[1:])
+    ids = np.empty(ends[-1], dtype=np.int32)
     for at in range(0, len(places), _BLOCK):
         part = places[at : at + _BLOCK]
-        n = lengths[part]
-        before = np.cumsum(n) - n
-        out.append(pool[np.repeat(starts[part] - before, n) + np.arange(int(n.sum()))])
-    ends = np.concatenate([[0], np.cumsum(lengths[places])]).astype(np.int32)
+        n = values.lengths[part]
+        low, high = ends[at], ends[at + len(part)]
+        ids[low:high] = values.pool[np.repeat(values.starts[part] - (ends[at : at + len(part)] - low), n) + np.arange(high - low)]
     words = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])
-    ids = pa.ListArray.from_arrays(pa.array(ends[words]), pa.array(np.concatenate(out)), mask=pa.array(sizes < 0))
-    return pa.table({"doc_id": chunk.column("doc_ids").combine_chunks().flatten(), "ids": ids})
+    lists = pa.ListArray.from_arrays(pa.array(ends[words]), pa.array(ids), mask=pa.array(sizes < 0))
+    return pa.table({"doc_id": chunk.column("doc_ids").combine_chunks().flatten(), "ids": lists})
 
 
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, ids, n_tokens) of every row; tokenizer: path of a rank file, read on the driver and sent to the executors."""
     ranks = docs.sparkSession.sparkContext.broadcast(pickle.dumps(load_ranks(tokenizer)))
 
-    def value(words: pa.Array) -> pa.Array:
-        one = encoder(ranks.value)
-        return pa.array([np.array(one(w), dtype="<i4").tobytes() for w in words.to_pylist()], pa.binary())
+    def value(words: list[str]) -> list[list[int]]:
+        return list(map(encoder(ranks.value), words))
 
-    coded = by_distinct_word(docs, value, _put_ids, "binary", "doc_id bigint, ids array<int>")
+    coded = by_distinct_word(docs, value, _put_ids, "doc_id bigint, ids array<int>")
     return coded.withColumn("n_tokens", F.size(F.coalesce("ids", F.array().cast("array<int>"))))
 
 
@@ -63,18 +60,17 @@ def decode(coded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pa.array([*pieces.value, b""], pa.binary())
         last = len(piece) - 1
-        for batch in batches:
-            texts: list[str | None] = []
-            lists = batch.column(batch.schema.get_field_index("ids"))
-            for at in range(0, len(lists), 256):
-                part = lists.slice(at, 256)
-                flat = pc.fill_null(part.flatten(), last).to_numpy(zero_copy_only=False)
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                lists = batch.column(batch.schema.get_field_index("ids"))
+                flat = pc.fill_null(lists.flatten(), last).to_numpy(zero_copy_only=False)
                 flat = np.where((flat < 0) | (flat > last), last, flat)
-                sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
                 ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
                 joined = pc.binary_join(pa.LargeListArray.from_arrays(ends, piece.take(pa.array(flat)).cast(pa.large_binary())), pa.scalar(b"", pa.large_binary()))
-                texts += [None if null else raw.decode("utf-8", "replace") for raw, null in zip(joined.to_pylist(), part.is_null().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+                texts = [None if null else raw.decode("utf-8", "replace") for raw, null in zip(joined.to_pylist(), lists.is_null().to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
     return coded.mapInArrow(run, StructType([*coded.schema.fields, StructField("text", StringType())]))
 

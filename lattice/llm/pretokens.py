@@ -4,12 +4,13 @@ Spark splits each text into pre-tokens with the tokenizer's own pattern (a JVM e
 batches turns a batch into one *chunk* row: its distinct words, and its texts as compressed indices into them. Chunks
 are shuffled once, by chunk; both branches below read that one exchange:
 
-* words: (chunk, at, word) shuffled by word and sorted, so that all rows of a word are adjacent: the distinct words are
-  each handled once and joined back to their rows, (chunk, at, value), in that same pass;
+* words: a chunk's distinct words, cut by a hash of the word into buckets and sorted there, go to the bucket's task. It
+  has all rows of its words, so it makes its part of the distinct-word table, handles each word once and joins the
+  values back to each chunk's words, in their order;
 * texts: met by chunk with those values, which are put in place by position.
 
-So what is shuffled by word is a chunk's distinct words, not its occurrences, and no table grows in one place: the
-distinct-word table is never broadcast or collected.
+So what is shuffled by word is a chunk's distinct words, compressed, not its occurrences; and no table grows in one place: the
+distinct-word table is as many parts as there are shuffle partitions, never broadcast or collected.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import base64
 import hashlib
 import pickle
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattice.llm._text import span_hashes
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The byte-level BPE pre-token pattern; white space is Unicode's, as (?U) makes it in Java.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"""
@@ -87,55 +92,94 @@ def _pack(batches: Iterator[pa.RecordBatch], frequencies: bool) -> Iterator[pa.R
             blob = _squeeze(place)
             name = int.from_bytes(hashlib.md5(f"{part}-{number}-".encode() + blob + count.tobytes()).digest()[:8], "little", signed=True)
             ordered = words.take(pa.array(often))
-            spelled = zstandard.ZstdCompressor(level=3).compress("".join(ordered.to_pylist()).encode())
+            spelled, lengths = _spell(ordered)
             number += 1
             ids = batch.column(0).slice(at, to - at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([spelled]), pa.array([_squeeze(pc.binary_length(ordered).to_numpy(zero_copy_only=False))]), pa.array([_squeeze(count)]), pa.array([blob]), pa.array([_squeeze(times)])],
+                [pa.array([name]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([spelled]), pa.array([lengths]), pa.array([_squeeze(count)]), pa.array([blob]), pa.array([_squeeze(times)])],
                 names=["chunk", "doc_ids", "words", "lengths", "sizes", "places", "times"],
             )
             at = to
 
 
-def _list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _words(spelled: bytes, lengths: bytes) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(_spread(lengths))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(zstandard.ZstdDecompressor().decompress(spelled))])
+
+
+def _spell(words: pa.Array) -> tuple[bytes, bytes]:
+    return zstandard.ZstdCompressor(level=3).compress("".join(words.to_pylist()).encode()), _squeeze(pc.binary_length(words).to_numpy(zero_copy_only=False))
+
+
+def _in_buckets(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of words by bucket, then alphabet, and the bucket of each so ordered."""
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(words.buffers()[2], dtype=np.uint8) if words.buffers()[2] is not None else np.zeros(0, np.uint8)
+    bucket = (span_hashes(raw, ends[:-1], ends[1:]) % np.uint64(buckets)).astype(np.int32)
+    alphabetic = pc.sort_indices(words).to_numpy()
+    order = alphabetic[np.argsort(bucket[alphabetic], kind="stable")]
+    return order, bucket[order]
+
+
+def _list_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(len(batch)):
-            ends = np.concatenate([[0], np.cumsum(_spread(batch.column(3)[i].as_py()))]).astype(np.int32)
-            spelled = zstandard.ZstdDecompressor().decompress(batch.column(2)[i].as_py())
-            words = pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(spelled)])
-            for at in range(0, len(words), 50_000):
-                part = words.slice(at, 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column(0)[i].as_py())), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part], names=["chunk", "at", "word"])
+            words = _words(batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
+            order, bucket = _in_buckets(words, buckets)
+            words = words.take(pa.array(order))
+            some, first = np.unique(bucket, return_index=True)
+            parts = [_spell(words.slice(a, b - a)) for a, b in zip(first, [*first[1:], len(words)])]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), batch.column(0)[i].as_py())), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], names=["bucket", "chunk", "words", "lengths"])
+
+
+@dataclass(frozen=True)
+class Values:
+    """A list of int32 for each word of a chunk, by the word's index: pool[starts[i] : starts[i] + lengths[i]]."""
+
+    pool: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
 
 
-def by_distinct_word(docs: DataFrame, value: Callable[[pa.Array], pa.Array], put: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray, pa.Array], pa.Table], value_type: str, schema: str, frequencies: bool = False) -> DataFrame:
-    """value: distinct words -> their values, in one Arrow array; put: (chunk, sizes, places, times, values) -> rows."""
+def by_distinct_word(docs: DataFrame, value: Callable[[list[str]], list[list[int]]], put: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray, Values], pa.Table], schema: str, frequencies: bool = False) -> DataFrame:
+    """value: distinct words -> a list of integers for each; put: (chunk, sizes, places, times, values) -> its rows."""
     text = F.col("text").cast("string")
     split = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0)).alias("words"), F.length(text).cast("bigint").alias("size"))
     chunks = split.mapInArrow(lambda b: _pack(b, frequencies), _CHUNK).repartition("chunk")
-    words = chunks.mapInArrow(_list_words, "chunk bigint, at int, word string").repartition("word").sortWithinPartitions("word")
-
-    def handle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, pa.Array] | None = None  # a word's rows may go on in the next batch
-        for batch in batches:
-            coded = batch.column(2).dictionary_encode()
-            fresh = coded.dictionary
-            if last and len(fresh) and fresh[0].as_py() == last[0]:
-                found = pa.concat_arrays([last[1], value(fresh.slice(1))])
-            else:
-                found = value(fresh)
-            if len(fresh):
-                last = (fresh[-1].as_py(), found.slice(len(found) - 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found.take(coded.indices)], names=["chunk", "at", "value"])
-
-    values = words.mapInArrow(handle, f"chunk bigint, at int, value {value_type}")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = chunks.mapInArrow(lambda b: _list_words(b, buckets), "bucket int, chunk bigint, words binary, lengths binary")
+
+    def handle(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        lists = [_words(w.as_py(), n.as_py()) for w, n in zip(rows.column("words"), rows.column("lengths"))]
+        coded = pa.concat_arrays(lists).dictionary_encode()
+        found = value(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, found), np.int32, len(found))
+        starts = np.cumsum(lengths, dtype=np.int64) - lengths
+        pool = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
+        of, sizes, pools, at = coded.indices.to_numpy(zero_copy_only=False), [], [], 0
+        for words in lists:
+            part = of[at : at + len(words)]
+            at += len(words)
+            n = lengths[part]
+            sizes.append(_squeeze(n))
+            pools.append(_squeeze(pool[np.repeat(starts[part] - (np.cumsum(n, dtype=np.int64) - n), n) + np.arange(int(n.sum()))]))
+        return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "lengths": pa.array(sizes, pa.binary()), "pool": pa.array(pools, pa.binary())})
+
+    values = words.groupBy("bucket").applyInArrow(handle, "chunk bigint, bucket int, lengths binary, pool binary")
 
     def place(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("bucket")
+        nothing = [np.zeros(0, np.int32)]
+        sizes = np.concatenate([*nothing, *(_spread(b.as_py()) for b in found.column("lengths"))])
+        pool = np.concatenate([*nothing, *(_spread(b.as_py()) for b in found.column("pool"))])
         parts = []
-        found = found.sort_by("at").column("value").combine_chunks()
         for i in range(len(chunk)):  # one row
             row = chunk.slice(i, 1)
-            parts.append(put(row, *(_spread(row.column(c)[0].as_py()) for c in ("sizes", "places", "times")), found))
+            order, _ = _in_buckets(_words(row.column("words")[0].as_py(), row.column("lengths")[0].as_py()), buckets)
+            lengths, starts = np.empty(len(order), np.int32), np.empty(len(order), np.int64)
+            lengths[order], starts[order] = sizes, np.cumsum(sizes, dtype=np.int64) - sizes
+            parts.append(put(row, *(_spread(row.column(c)[0].as_py()) for c in ("sizes", "places", "times")), Values(pool, starts, lengths)))
         return pa.concat_tables(parts)
 
     return chunks.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(place, schema)

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lattice.llm._shared import table
-from lattice.llm.pretokens import TOKENIZER, by_distinct_word, encoder, load_ranks
+from lattice.llm.pretokens import TOKENIZER, Values, by_distinct_word, encoder, load_ranks
 
 
-def _put_counts(chunk: pa.Table, sizes: np.ndarray, places: np.ndarray, times: np.ndarray, values: pa.Array) -> pa.Table:
-    pieces = values.to_numpy(zero_copy_only=False).astype(np.int64)
+def _put_counts(chunk: pa.Table, sizes: np.ndarray, places: np.ndarray, times: np.ndarray, values: Values) -> pa.Table:
+    pieces = values.pool[values.starts].astype(np.int64)  # one count a word
     ends = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])
     words = np.concatenate([[0], np.cumsum(times, dtype=np.int64)])
     tokens = np.concatenate([[0], np.cumsum(pieces[places] * times)])
@@ -30,11 +30,11 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) of every row."""
     ranks = docs.sparkSession.sparkContext.broadcast(pickle.dumps(load_ranks(tokenizer)))
 
-    def value(words: pa.Array) -> pa.Array:
+    def value(words: list[str]) -> list[list[int]]:
         one = encoder(ranks.value)
-        return pa.array([len(one(w)) for w in words.to_pylist()], pa.int32())
+        return [[len(one(w))] for w in words]
 
-    return by_distinct_word(docs, value, _put_counts, "int", "doc_id bigint, n_pretokens bigint, n_tokens bigint", frequencies=True)
+    return by_distinct_word(docs, value, _put_counts, "doc_id bigint, n_pretokens bigint, n_tokens bigint", frequencies=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
