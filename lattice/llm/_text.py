@@ -38,6 +38,17 @@ def _inverse(a: int) -> int:
 _INV = np.uint64(_inverse(int(_BASE)))
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the system: idle Python workers stay, beside busy ones."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library; it decides by itself
+
+
 def pieces(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     """Splits an array of texts into consecutive runs of about PIECE_BYTES: (first row, run)."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

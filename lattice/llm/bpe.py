@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lattice.llm._shared import table
+from lattice.llm._text import release
 from lattice.llm.pretokens import TOKENIZER, Values, by_distinct_word, encoder, load_ranks
 
 _BLOCK = 300_000
@@ -60,6 +61,7 @@ def decode(coded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pa.array([*pieces.value, b""], pa.binary())
         last = len(piece) - 1
+        batch = lists = flat = joined = texts = None
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
@@ -71,6 +73,8 @@ def decode(coded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 joined = pc.binary_join(pa.LargeListArray.from_arrays(ends, piece.take(pa.array(flat)).cast(pa.large_binary())), pa.scalar(b"", pa.large_binary()))
                 texts = [None if null else raw.decode("utf-8", "replace") for raw, null in zip(joined.to_pylist(), lists.is_null().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+            del batch, lists, flat, joined, texts
+            release()
 
     return coded.mapInArrow(run, StructType([*coded.schema.fields, StructField("text", StringType())]))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.llm._shared import table, written
-from lattice.llm._text import as_text, mix, ngrams, pieces, word_hashes
+from lattice.llm._text import as_text, mix, ngrams, pieces, release, word_hashes
 from lattice.operators.components import connected_components
 
 SHINGLE, SLOTS, BANDS, THRESHOLD, SIGMAS = 3, 128, 32, 0.5, 3.0
@@ -97,6 +97,7 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int, slots: int, bands: in
                 ],
                 names=["doc_id", "whole", "slots", "keys"],
             )
+        release()
 
 
 def _binary(rows: np.ndarray) -> pa.Array:

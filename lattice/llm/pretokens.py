@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.llm._text import span_hashes
+from lattice.llm._text import release, span_hashes
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The byte-level BPE pre-token pattern; white space is Unicode's, as (?U) makes it in Java.
@@ -100,6 +100,7 @@ def _pack(batches: Iterator[pa.RecordBatch], frequencies: bool) -> Iterator[pa.R
                 names=["chunk", "doc_ids", "words", "lengths", "sizes", "places", "times"],
             )
             at = to
+            release()
 
 
 def _words(spelled: bytes, lengths: bytes) -> pa.Array:
@@ -130,6 +131,8 @@ def _list_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
             some, first = np.unique(bucket, return_index=True)
             parts = [_spell(words.slice(a, b - a)) for a, b in zip(first, [*first[1:], len(words)])]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), batch.column(0)[i].as_py())), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], names=["bucket", "chunk", "words", "lengths"])
+            del words, parts
+            release()
 
 
 @dataclass(frozen=True)
@@ -164,6 +167,7 @@ def by_distinct_word(docs: DataFrame, value: Callable[[list[str]], list[list[int
             n = lengths[part]
             sizes.append(_squeeze(n))
             pools.append(_squeeze(pool[np.repeat(starts[part] - (np.cumsum(n, dtype=np.int64) - n), n) + np.arange(int(n.sum()))]))
+        release()
         return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "lengths": pa.array(sizes, pa.binary()), "pool": pa.array(pools, pa.binary())})
 
     values = words.groupBy("bucket").applyInArrow(handle, "chunk bigint, bucket int, lengths binary, pool binary")
@@ -180,6 +184,7 @@ def by_distinct_word(docs: DataFrame, value: Callable[[list[str]], list[list[int
             lengths, starts = np.empty(len(order), np.int32), np.empty(len(order), np.int64)
             lengths[order], starts[order] = sizes, np.cumsum(sizes, dtype=np.int64) - sizes
             parts.append(put(row, *(_spread(row.column(c)[0].as_py()) for c in ("sizes", "places", "times")), Values(pool, starts, lengths)))
+        release()
         return pa.concat_tables(parts)
 
     return chunks.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(place, schema)

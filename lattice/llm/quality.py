@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lattice.llm._shared import table
-from lattice.llm._text import as_text, ngrams, pieces, word_hashes
+from lattice.llm._text import as_text, ngrams, pieces, release, word_hashes
 
 BITS, MAX_ROWS, THRESHOLD = 18, 8000, 0.5
 _AGAIN, _TWICE = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95)
@@ -90,6 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int
             for at, part in pieces(as_text(batch.column(1))):
                 buckets, offsets = features(part, bits)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(buckets))], names=["label_id", "quality", "buckets"])
+            release()
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         some = [part for part in parts if len(part)]
@@ -118,6 +119,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
                 scores.append(np.where(count > 0, 1 / (1 + np.exp(-np.clip(logit, -35, 35))), 0.0))
             value = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=[*batch.schema.names, "quality_score"])
+            release()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
 
