@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text hashed in one go; a longer document is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _WORDS = np.zeros(256, dtype=np.uint8)
 _WORDS[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 1

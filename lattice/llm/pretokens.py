@@ -35,7 +35,7 @@ from lattice.llm._text import release, span_hashes
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The byte-level BPE pre-token pattern; white space is Unicode's, as (?U) makes it in Java.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"""
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 _CHUNK = "chunk bigint, doc_ids array<bigint>, words binary, lengths binary, sizes binary, places binary, times binary"
 
 

@@ -18,9 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
 from lattice.llm._shared import table
 from lattice.llm._text import as_text, ngrams, pieces, release, word_hashes
@@ -104,39 +104,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int
     return np.frombuffer(got[0]["weights"], dtype=np.float32) if got else np.zeros((1 << bits) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
-    """docs with quality_score in 0..1 of every row; the text goes to Python once, beside the columns that docs has."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+def score(text: Column, weights: np.ndarray, spark: SparkSession, bits: int = BITS) -> Column:
+    """The probability of quality 1 for a text; only the text goes to Python and only a number comes back."""
+    shared = spark.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(DoubleType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = shared.value
         for batch in batches:
-            scores = []
-            for _, part in pieces(as_text(batch.column(batch.schema.get_field_index("text")))):
+            scores = [np.zeros(0)]
+            for _, part in pieces(as_text(batch)):
                 buckets, offsets = features(part, bits)
                 count = np.diff(offsets)
                 logit = _sums(w[buckets], offsets) / np.sqrt(np.maximum(count, 1)) + w[-1]
                 scores.append(np.where(count > 0, 1 / (1 + np.exp(-np.clip(logit, -35, 35))), 0.0))
-            value = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=[*batch.schema.names, "quality_score"])
+            yield pa.array(np.concatenate(scores))
             release()
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
+    return F.round(run(text.cast("string")), 6)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
     """(doc_id, quality_score, is_kept) of every row."""
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    scored = score(slim, fit(docs, labels, max_rows)).select("doc_id", F.round("quality_score", 6).alias("quality_score"))
+    scored = docs.select("doc_id", score(F.col("text"), fit(docs, labels, max_rows), docs.sparkSession).alias("quality_score"))
     return scored.withColumn("is_kept", F.col("quality_score") >= threshold)
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of docs that are kept, with their columns."""
-    columns = docs.columns
-    plain = docs.toDF(*[f"c{i}" if c != "text" else "text" for i, c in enumerate(columns)]).withColumn("text", F.col("text").cast("string"))
-    scored = score(plain, fit(docs, labels, max_rows)).where(F.round("quality_score", 6) >= threshold)
-    return scored.drop("quality_score").toDF(*columns)
+    return docs.where(score(F.col("text"), fit(docs, labels, max_rows), docs.sparkSession) >= threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
