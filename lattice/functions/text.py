@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lattice.functions.vectors import unit
+from lattice.functions.vectors import bind, unit
 
 ROLE_MARKERS = tuple(f"<|{r}|>" for r in ("system", "user", "assistant")) + tuple(f"[{r}]" for r in ("SYSTEM", "USER", "ASSISTANT")) + tuple(f"{r}:" for r in ("System", "User", "Assistant"))
 
@@ -57,8 +57,7 @@ def complexity(text: Column) -> Column:
 
 def long_word_ratio(text: Column) -> Column:
     """Share of words of more than 6 characters; 0 without words."""
-    w = words(text)
-    return F.coalesce(F.size(F.filter(w, lambda x: F.length(x) > 6)) / F.nullif(F.size(w), F.lit(0)), F.lit(0.0))
+    return bind(words(text), lambda w: F.coalesce(F.size(F.filter(w, lambda x: F.length(x) > 6)) / F.nullif(F.size(w), F.lit(0)), F.lit(0.0)))
 
 
 def structural_parts(text: Column) -> list[Column]:
@@ -75,9 +74,12 @@ def structural_parts(text: Column) -> list[Column]:
 
 def structural_vector(text: Column, dim: int = 64) -> Column:
     """The parts, then their rotation over the further dimensions, scaled to length 1."""
-    f = structural_parts(text)[:dim]
-    rest = F.transform(F.sequence(F.lit(5), F.lit(dim - 1)), lambda j: (f[0] * (j % 3) + f[1] * ((j + 1) % 3) + f[2] * ((j + 2) % 3)) / 3.0) if dim > 5 else F.array().cast("array<double>")
-    return unit(F.concat(F.array(*f).cast("array<double>"), rest))
+
+    def spread(f: Column) -> Column:
+        rest = F.transform(F.sequence(F.lit(5), F.lit(dim - 1)), lambda j: (f[0] * (j % 3) + f[1] * ((j + 1) % 3) + f[2] * ((j + 2) % 3)) / 3.0) if dim > 5 else F.array().cast("array<double>")
+        return F.concat(F.slice(f, 1, min(dim, 5)), rest)
+
+    return unit(bind(F.array(*structural_parts(text)).cast("array<double>"), spread))
 
 
 def blended_vector(semantic: Column, text: Column, domain: Column | None = None, dim: int = 64) -> Column:

@@ -9,6 +9,11 @@ ZERO = 0.0
 MONTH_SECONDS = 2_592_000
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with value computed once: a lambda's body is run for each element, and with it whatever it mentions."""
+    return F.transform(F.array(value), f)[0]
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -25,7 +30,7 @@ def norm(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, 0 where a norm is 0."""
     product = norm(a) * norm(b)
-    return F.when(product == 0, F.lit(ZERO)).otherwise(dot(a, b) / F.when(product == 0, 1.0).otherwise(product))
+    return F.coalesce(dot(a, b) / F.nullif(product, F.lit(ZERO)), F.when(product == 0, F.lit(ZERO)))
 
 
 def cosine_padded(a: Column, b: Column, eps: float = 1e-8) -> Column:
@@ -78,15 +83,18 @@ def scale(a: Column, by: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector over its norm; a zero vector stays."""
-    n = norm(a)
-    return F.transform(doubles(a), lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+
+    def scaled(v: Column) -> Column:
+        return F.zip_with(v, F.array_repeat(F.coalesce(F.nullif(norm(v), F.lit(ZERO)), F.lit(1.0)), F.size(v)), lambda x, n: x / n)
+
+    return bind(doubles(a), scaled)
 
 
 def variance(a: Column) -> Column:
     """Population variance of the entries."""
     v = doubles(a)
     mean = F.aggregate(v, F.lit(ZERO), lambda s, x: s + x) / F.size(v)
-    return F.aggregate(v, F.lit(ZERO), lambda s, x: s + (x - mean) * (x - mean)) / F.size(v)
+    return bind(mean, lambda m: F.aggregate(v, F.lit(ZERO), lambda s, x: s + (x - m) * (x - m)) / F.size(v))
 
 
 def clip(x: Column, low: float, high: float) -> Column:

@@ -103,15 +103,15 @@ def enhanced_signature(df: DataFrame, label: str = "label", key: str = "unit_id"
     a = df.select(F.col(label).alias("g"), F.col(key).alias("a"), V.doubles(F.col("embedding")).alias("x"))
     b = df.select(F.col(label).alias("g"), F.col(key).alias("b"), V.doubles(F.col("embedding")).alias("y"))
     pairs = a.join(b, "g").where("a < b").where(V.cosine(F.col("x"), F.col("y")) > threshold).select("g", "a", "b")
-    tri = pairs.join(pairs.withColumnsRenamed({"a": "b", "b": "c"}), ["g", "b"]).join(pairs.withColumnRenamed("b", "c"), ["g", "a", "c"]).groupBy("g").agg(F.count(F.lit(1)).alias("triangles"))
+    tri = pairs.join(pairs.select("g", F.col("a").alias("b"), F.col("b").alias("c")), ["g", "b"]).join(pairs.select("g", "a", F.col("b").alias("c")), ["g", "a", "c"]).groupBy("g").agg(F.count(F.lit(1)).alias("triangles"))
     ends = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).groupBy("g", "id").agg(F.count(F.lit(1)).alias("d"))
     d = df.select(F.col(label).alias("g"), F.col(key).alias("id")).join(ends, ["g", "id"], "left").select("g", F.coalesce("d", F.lit(0)).cast("double").alias("d"))
     stats = d.groupBy("g").agg(F.count(F.lit(1)).alias("nodes"), (F.sum("d") / 2).cast("bigint").alias("edges"), F.avg("d").alias("mean_degree"), F.stddev_pop("d").alias("std_degree"), F.max("d").cast("int").alias("max_degree"), F.min("d").cast("int").alias("min_degree"))
     n = F.col("nodes")
     out = stats.join(tri, "g", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
     out = out.withColumn("avg_transition_prob", F.when(n > 1, 0.5).otherwise(1.0)).withColumn("stationary_distribution_entropy", F.least(F.log(n.cast("double")), F.lit(1.0)))
-    norms = norm_stats(df, label)
-    return out.join(norms, out["g"] == norms[label]).drop(norms[label]).withColumnRenamed("g", label)
+    norms = norm_stats(df, label).withColumnRenamed(label, "g")
+    return out.join(norms, "g").withColumnRenamed("g", label)
 
 
 def pattern_similarity(a: Column, b: Column) -> Column:

@@ -44,10 +44,10 @@ def ranked(df: DataFrame, by: list[str], order: list, name: str = "rank") -> Dat
 
 def _blocks(df: DataFrame, key: str, vector: str, blocks: int) -> tuple[DataFrame, DataFrame]:
     base = df.select(F.col(key).alias("id"), V.doubles(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own")).where("id is not null and v is not null")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("other")
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("other")
     rows = base.select("*", other)
     left = rows.where("own <= other").select(F.col("own").alias("a"), F.col("other").alias("b"), "id", "v")
-    right = rows.where("own >= other").select(F.col("other").alias("a"), F.col("own").alias("b"), "id", "v")
+    right = rows.where("own >= other").select(F.col("other").alias("a"), F.col("own").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))  # own attributes, else pruning confuses the sides
     return left, right
 
 
@@ -100,9 +100,9 @@ def knn(df: DataFrame, k: int, key: str = "unit_id", vector: str = "embedding",
     n = df.count() if rows is None else rows
     blocks = max(1, -(-n // block_rows))
     base = df.select(F.col(key).alias("id"), V.doubles(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own")).where("id is not null and v is not null")
-    rows_ = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("other"))
+    rows_ = base.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("other"))
     left = rows_.select(F.col("own").alias("a"), F.col("other").alias("b"), "id", "v")
-    right = rows_.select(F.col("other").alias("a"), F.col("own").alias("b"), "id", "v")
+    right = rows_.select(F.col("other").alias("a"), F.col("own").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))  # own attributes, else pruning confuses the sides
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         (ai, ax), (bi, bx) = _matrix(a), _matrix(b)

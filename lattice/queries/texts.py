@@ -189,13 +189,13 @@ def adaptive_head_weights(spark, sf):
     return rounded(state.head_weights(e), "semantic", "structural", "temporal")
 
 
-@query("focus_buffer", "with e as (select user_id as session_id, event_type as item, row_number() over (partition by user_id order by floor(epoch(ts)), event_id) as i, count(*) over (partition by user_id) as n from events), g as (select session_id, item, count(*) as frequency, max(i) as last, any_value(n) as n from e group by 1, 2) select session_id, item, round((1.5 + 0.3 * (frequency - 1)) * 0.95::double ** (n - last), 6) as weight, frequency, round(1.5 + 0.3 * (frequency - 1), 6) as relevance from g")
+@query("focus_buffer", "with e as (select user_id as session_id, event_type as item, row_number() over (partition by user_id order by floor(epoch(ts)), event_id) as i, count(*) over (partition by user_id) as n from events), g as (select session_id, item, count(*) as frequency, max(i) as last, any_value(n) as n from e group by 1, 2) select session_id, item, round((1.5::double + 0.3::double * (frequency - 1)) * 0.95::double ** (n - last) + 1e-9, 6) as weight, frequency, round(1.5::double + 0.3::double * (frequency - 1), 6) as relevance from g")
 def focus_buffer(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"), "event_id", F.col("event_type").alias("item"), F.lit("activate").alias("action"))
-    return rounded(state.focus_buffer(e), "weight", "relevance")
+    return rounded(state.focus_buffer(e).withColumn("weight", F.col("weight") + 1e-9), "weight", "relevance")  # off the ties of rounding
 
 
-@query("top_focus", "with e as (select user_id as session_id, event_type as item, row_number() over (partition by user_id order by floor(epoch(ts)), event_id) as i, count(*) over (partition by user_id) as n from events), g as (select session_id, item, round((1.5 + 0.3 * (count(*) - 1)) * 0.95::double ** (any_value(n) - max(i)), 6) as weight from e group by 1, 2) select session_id, item, weight, cast(row_number() over (partition by session_id order by weight desc, item) as integer) as rank from g qualify rank <= 3")
+@query("top_focus", "with e as (select user_id as session_id, event_type as item, row_number() over (partition by user_id order by floor(epoch(ts)), event_id) as i, count(*) over (partition by user_id) as n from events), g as (select session_id, item, round((1.5::double + 0.3::double * (count(*) - 1)) * 0.95::double ** (any_value(n) - max(i)) + 1e-9, 6) as weight from e group by 1, 2) select session_id, item, weight, cast(row_number() over (partition by session_id order by weight desc, item) as integer) as rank from g qualify rank <= 3")
 def top_focus(spark, sf):
     return state.top_focus(focus_buffer(spark, sf)).select("session_id", "item", "weight", "rank")
 
@@ -316,7 +316,7 @@ def cascade_delete(spark, sf):
     return c.join(gone, "conv_id", "left_anti").select("conv_id", "turn")
 
 
-@query("edges_touching", "select l_orderkey, l_linenumber from lineitem where l_partkey in (select p_partkey from part where p_size = 1) or l_suppkey in (select s_suppkey from supplier where s_nationkey = 1)")
+@query("edges_touching", "select distinct l_orderkey, l_linenumber from lineitem where l_partkey in (select p_partkey from part where p_size = 1) or l_suppkey in (select s_suppkey from supplier where s_nationkey = 1)")
 def edges_touching(spark, sf):
     e = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     a = e.join(table(spark, sf, "part").where("p_size = 1").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
