@@ -48,11 +48,15 @@ def _dotted(text: Column) -> Column:
 
 def complexity(text: Column) -> Column:
     """(min(mean words a sentence / 20, 1) + distinct / all words) / 2; sentences end at '.', 0 for no words."""
-    w = words(text)
-    parts = _dotted(text)
-    per = F.aggregate(F.transform(parts, lambda s: F.size(words(s))), F.lit(0), lambda a, n: a + n) / F.nullif(F.size(parts), F.lit(0))
-    variety = F.size(F.array_distinct(F.transform(w, lambda x: F.lower(x)))) / F.nullif(F.size(w), F.lit(0))
-    return F.coalesce((F.least(F.coalesce(per, F.lit(0.0)) / 20.0, F.lit(1.0)) + variety) / 2.0, F.lit(0.0))
+    parts = F.transform(_dotted(text), lambda s: F.size(words(s)))
+
+    def per_sentence(n: Column) -> Column:
+        return F.aggregate(n, F.lit(0), lambda a, x: a + x) / F.nullif(F.size(n), F.lit(0))
+
+    def variety(w: Column) -> Column:
+        return F.size(F.array_distinct(w)) / F.nullif(F.size(w), F.lit(0))
+
+    return F.coalesce((F.least(F.coalesce(bind(parts, per_sentence), F.lit(0.0)) / 20.0, F.lit(1.0)) + bind(words(F.lower(text)), variety)) / 2.0, F.lit(0.0))
 
 
 def long_word_ratio(text: Column) -> Column:
@@ -92,8 +96,11 @@ def blended_vector(semantic: Column, text: Column, domain: Column | None = None,
 
 def md5_vector(text: Column, dim: int = 16) -> Column:
     """The 16 bytes of the MD5 over 255, padded with zeros (or cut) to dim: a deterministic stand-in for an embedding."""
-    digest = F.md5(F.coalesce(text, F.lit("")))
-    head = F.transform(F.sequence(F.lit(0), F.lit(min(dim, 16) - 1)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0)
+
+    def numbers(digest: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(min(dim, 16) - 1)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0)
+
+    head = bind(F.md5(F.coalesce(text, F.lit(""))), numbers)
     return F.concat(head, F.array_repeat(F.lit(0.0), dim - 16)) if dim > 16 else head
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattice.functions import vectors as V
+from lattice.operators.similarity import distance_sums, pairwise
+from lattice.session import cut
 
 EPS = 1e-8
 
@@ -41,11 +43,9 @@ def inertia(df: DataFrame, label: str = "label") -> DataFrame:
 def silhouette(df: DataFrame, label: str = "label", key: str = "unit_id") -> DataFrame:
     """One row: the exact Euclidean silhouette (0 for rows alone in their cluster, and unless 1 < clusters < rows).
 
-    Distances of all pairs; mean distances by cluster are one aggregation. For bounded inputs, as the measure itself is quadratic.
+    Distances of all pairs in blocks, summed by cluster there. For bounded inputs, as the measure itself is quadratic.
     """
-    a = df.select(F.col(key).alias("i"), F.col(label).alias("li"), V.doubles(F.col("embedding")).alias("x"))
-    b = df.select(F.col(key).alias("j"), F.col(label).alias("lj"), V.doubles(F.col("embedding")).alias("y"))
-    far = a.crossJoin(b).where("i <> j").select("i", "li", "lj", V.l2(F.col("x"), F.col("y")).alias("d")).groupBy("i", "li", "lj").agg(F.avg("d").alias("d"))
+    far = distance_sums(df, label, key).withColumn("d", F.col("total") / F.col("n"))
     two = far.groupBy("i", "li").agg(F.min(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("own"), F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("other"))
     value = F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.nullif(F.greatest("own", "other"), F.lit(0.0)))
     return two.agg(F.coalesce(F.avg(F.coalesce(value, F.lit(0.0))), F.lit(0.0)).alias("silhouette"))
@@ -100,9 +100,8 @@ def norm_stats(df: DataFrame, label: str = "label") -> DataFrame:
 
 def enhanced_signature(df: DataFrame, label: str = "label", key: str = "unit_id", threshold: float = 0.5) -> DataFrame:
     """One row a cluster: graphlets and degrees of its graph of cosines above threshold, walk constants, norm statistics."""
-    a = df.select(F.col(label).alias("g"), F.col(key).alias("a"), V.doubles(F.col("embedding")).alias("x"))
-    b = df.select(F.col(label).alias("g"), F.col(key).alias("b"), V.doubles(F.col("embedding")).alias("y"))
-    pairs = a.join(b, "g").where("a < b").where(V.cosine(F.col("x"), F.col("y")) > threshold).select("g", "a", "b")
+    pairs = pairwise(df, threshold, key, strict=True, by=label).select(F.col(label).alias("g"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    pairs = cut(pairs)
     tri = pairs.join(pairs.select("g", F.col("a").alias("b"), F.col("b").alias("c")), ["g", "b"]).join(pairs.select("g", "a", F.col("b").alias("c")), ["g", "a", "c"]).groupBy("g").agg(F.count(F.lit(1)).alias("triangles"))
     ends = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).groupBy("g", "id").agg(F.count(F.lit(1)).alias("d"))
     d = df.select(F.col(label).alias("g"), F.col(key).alias("id")).join(ends, ["g", "id"], "left").select("g", F.coalesce("d", F.lit(0)).cast("double").alias("d"))

@@ -42,12 +42,12 @@ def ranked(df: DataFrame, by: list[str], order: list, name: str = "rank") -> Dat
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def _blocks(df: DataFrame, key: str, vector: str, blocks: int) -> tuple[DataFrame, DataFrame]:
-    base = df.select(F.col(key).alias("id"), V.doubles(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own")).where("id is not null and v is not null")
+def _blocks(df: DataFrame, key: str, vector: str, blocks: int, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    base = df.select((F.col(by) if by else F.lit(0)).alias("g"), F.col(key).alias("id"), V.doubles(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own")).where("id is not null and v is not null")
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("other")
     rows = base.select("*", other)
-    left = rows.where("own <= other").select(F.col("own").alias("a"), F.col("other").alias("b"), "id", "v")
-    right = rows.where("own >= other").select(F.col("other").alias("a"), F.col("own").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))  # own attributes, else pruning confuses the sides
+    left = rows.where("own <= other").select(F.col("g").alias("g"), F.col("own").alias("a"), F.col("other").alias("b"), "id", "v")
+    right = rows.where("own >= other").select(F.col("g").alias("g"), F.col("other").alias("a"), F.col("own").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))  # own attributes, else pruning confuses the sides
     return left, right
 
 
@@ -63,15 +63,16 @@ def _unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.where(length == 0, 1, length)[:, None]
 
 
-def pairwise(df: DataFrame, threshold: float, key: str = "unit_id", vector: str = "embedding", strict: bool = False, metric: str = "cosine", block_rows: int = BLOCK_ROWS, rows: int | None = None) -> DataFrame:
+def pairwise(df: DataFrame, threshold: float, key: str = "unit_id", vector: str = "embedding", strict: bool = False, metric: str = "cosine", block_rows: int = BLOCK_ROWS, rows: int | None = None, by: str | None = None) -> DataFrame:
     """(src, dst, similarity), src < dst, of all pairs with similarity >= threshold (> if strict).
 
+    by: only pairs of equal values of that column, which then comes first in the result.
     metric: cosine (0 for a zero vector) or combined (0.7 cosine + 0.3 / (1 + distance)). rows: the count, if it is known.
     Null ids and vectors take no part; all vectors must be of one dimension.
     """
-    n = df.count() if rows is None else rows
-    blocks = max(1, -(-n // block_rows))
-    left, right = _blocks(df, key, vector, blocks)
+    if rows is None:
+        rows = (df.groupBy(by).count().agg(F.coalesce(F.max("count"), F.lit(0))) if by else df.agg(F.count(F.lit(1)))).first()[0]
+    left, right = _blocks(df, key, vector, max(1, -(-rows // block_rows)), by)
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         (ai, ax), (bi, bx) = _matrix(a), _matrix(b)
@@ -89,10 +90,48 @@ def pairwise(df: DataFrame, threshold: float, key: str = "unit_id", vector: str
                 keep = x < y if same else x != y
                 x, y, s = x[keep], y[keep], s[keep]
                 out.append((np.minimum(x, y), np.maximum(x, y), s))
-        return pa.table({name: np.concatenate(c) for name, c in zip(("src", "dst", "similarity"), zip(*out))})
+        made = pa.table({name: np.concatenate(c) for name, c in zip(("src", "dst", "similarity"), zip(*out))})
+        if by is None:
+            return made
+        g = a.column("g") if len(a) else b.column("g")
+        return made.add_column(0, by, pa.array([g[0].as_py()] * len(made), g.type))
+
+    kinds = dict(df.dtypes)
+    keys = ["g", "a", "b"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, (f"{by} {kinds[by]}, " if by else "") + f"src {kinds[key]}, dst {kinds[key]}, similarity double")
 
-    kind = dict(df.dtypes)[key]
-    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, f"src {kind}, dst {kind}, similarity double")
+
+def distance_sums(df: DataFrame, label: str = "label", key: str = "unit_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(i, li, lj, total, n): for each row, the sum and number of Euclidean distances to the other rows of each label, in blocks."""
+    blocks = max(1, -(-df.count() // block_rows))
+    base = df.select(F.col(label).alias("l"), F.col(key).alias("id"), V.doubles(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own")).where("id is not null and v is not null")
+    rows = base.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("other"))
+    left, right = (rows.select(F.col(x).alias("a"), F.col(y).alias("b"), *[F.col(c).alias(c) for c in ("l", "id", "v")]) for x, y in (("own", "other"), ("other", "own")))
+    kinds = dict(df.dtypes)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(a) and len(b):
+            (ai, ax), (bi, bx) = _matrix(a), _matrix(b)
+            labels, at = np.unique(b.column("l").to_numpy(), return_inverse=True)
+            hot = np.zeros((len(bi), len(labels)))
+            hot[np.arange(len(bi)), at] = 1
+            al = a.column("l").to_numpy()
+            for cut_ in range(0, len(ai), 1024):
+                x, i = ax[cut_ : cut_ + 1024], ai[cut_ : cut_ + 1024]
+                far = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (bx**2).sum(axis=1)[None, :] - 2 * x @ bx.T, 0))
+                other = i[:, None] != bi[None, :]
+                far[~other] = 0
+                total, n = far @ hot, other.astype(float) @ hot
+                r, c = np.nonzero(n)
+                out.append((i[r], al[cut_ : cut_ + 1024][r], labels[c], total[r, c], n[r, c].astype(np.int64)))
+        names = ("i", "li", "lj", "total", "n")
+        if not out:
+            return pa.table({"i": pa.array([], a.schema.field("id").type if len(a) else b.schema.field("id").type), **{k: pa.array([], (a if len(a) else b).schema.field("l").type) for k in ("li", "lj")}, "total": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
+        return pa.table({name: np.concatenate(c) for name, c in zip(names, zip(*out))})
+
+    parts = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, f"i {kinds[key]}, li {kinds[label]}, lj {kinds[label]}, total double, n bigint")
+    return parts.groupBy("i", "li", "lj").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def knn(df: DataFrame, k: int, key: str = "unit_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, rows: int | None = None) -> DataFrame:
@@ -124,7 +163,10 @@ def knn(df: DataFrame, k: int, key: str = "unit_id", vector: str = "embedding",
 
 
 def within_groups(df: DataFrame, group: str, threshold: float, key: str = "unit_id", strict: bool = True) -> DataFrame:
-    """(group, src, dst, similarity) of pairs inside one group (the facts of one episode), similarity > threshold."""
+    """(group, src, dst, similarity) of pairs inside one group (the facts of one episode), similarity > threshold.
+
+    A join inside the JVM, for very many small groups; for few large ones use pairwise with `by`.
+    """
     a = df.select(F.col(group), F.col(key).alias("src"), F.col("embedding").alias("_a"))
     b = df.select(F.col(group), F.col(key).alias("dst"), F.col("embedding").alias("_b"))
     s = a.join(b, group).where("src < dst").select(group, "src", "dst", V.cosine(F.col("_a"), F.col("_b")).alias("similarity"))
