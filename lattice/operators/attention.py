@@ -87,7 +87,7 @@ def hierarchical(queries: DataFrame, concepts: DataFrame, members: DataFrame, un
     """
     if concepts.isEmpty():
         pairs = units.where("embedding is not null").crossJoin(queries.select("query_id", "query_vector")).select("query_id", "unit_id", V.cosine(F.col("embedding"), F.col("query_vector")).alias("unit_score")).where("unit_score >= 0.5")
-        none = pairs.select("query_id", "unit_id", F.lit(None).cast("bigint").alias("concept_id"), F.lit(0.0).alias("concept_score"), F.lit(None).cast("int").alias("concept_rank"), "unit_score")
+        none = pairs.select("query_id", "unit_id", F.lit(None).cast(dict(members.dtypes)["concept_id"]).alias("concept_id"), F.lit(0.0).alias("concept_score"), F.lit(None).cast("int").alias("concept_rank"), "unit_score")
         return ranked(none, ["query_id"], [F.desc("unit_score"), F.col("unit_id")]).where(F.col("rank") <= k)
     chosen = coarse(queries, concepts, coarse_k, focus)
     hits = members.join(F.broadcast(chosen), "concept_id") if coarse_k <= 100 and _few(queries) else members.join(chosen, "concept_id")

@@ -21,7 +21,7 @@ def unit_layer(queries: DataFrame, concepts: DataFrame, members: DataFrame, unit
     rows = hits.join(units.select("unit_id", "content", "embedding", *[c for c in ("created_at",) if c in units.columns]), "unit_id").join(queries.select("query_id", "query_vector"), "query_id")
     rows = rows.withColumn("cosine", V.cosine(F.col("embedding"), F.col("query_vector")))
     scored = attention.item_scores(rows)
-    return ranked(scored, ["query_id"], [F.desc(F.round("score", 12)), F.col("unit_id")], "_r").where(F.col("_r") <= k).select("query_id", F.col("unit_id").alias("id"), "content", "embedding", "concept_id", F.lit("units").alias("layer"), F.col("cosine").alias("semantic_similarity"), "score")
+    return ranked(scored, ["query_id"], [F.desc(F.round("score", 12)), F.col("unit_id")], "_r").where(F.col("_r") <= k).select("query_id", F.col("unit_id").alias("id"), "content", F.col("embedding").cast("array<double>").alias("embedding"), "concept_id", F.lit("units").alias("layer"), F.col("cosine").alias("semantic_similarity"), "score")
 
 
 def episode_layer(queries: DataFrame, episodes: DataFrame, k: int, threshold: float = 0.3) -> DataFrame:
@@ -29,7 +29,7 @@ def episode_layer(queries: DataFrame, episodes: DataFrame, k: int, threshold: fl
     q = queries.select("query_id", F.col("query_vector").alias("embedding"))
     hits = search(q, episodes, k, threshold, key="episode_id")
     rows = hits.join(episodes.select("episode_id", "content", "embedding"), "episode_id")
-    return rows.select("query_id", F.col("episode_id").alias("id"), "content", "embedding", F.lit(None).cast("bigint").alias("concept_id"), F.lit("episodes").alias("layer"), F.col("similarity").alias("semantic_similarity"), F.col("similarity").alias("score"))
+    return rows.select("query_id", F.col("episode_id").alias("id"), "content", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(None).alias("concept_id"), F.lit("episodes").alias("layer"), F.col("similarity").alias("semantic_similarity"), F.col("similarity").alias("score"))
 
 
 def retrieve(queries: DataFrame, tables: dict[str, DataFrame], mode: str = "hybrid", k: int = 10, coarse_k: int = 5, focus: DataFrame | None = None, weights: list[float] | None = None, rerank: bool = True) -> DataFrame:
@@ -75,7 +75,7 @@ def explain_results(results: DataFrame, queries: DataFrame, text: str = "query_t
     some = F.format_string("%d results were found for '%s'; their mean score is %.3f.", n.cast("int"), F.col("_q"), mean)
     overall = segment(F.lit("Summary"), F.when(n == 0, none).otherwise(some), F.when(n == 0, 0.5).otherwise(F.least(F.lit(0.9), mean + 0.1)))
     preview = lambda c: F.when(F.length(c) > 200, F.concat(F.substring(c, 1, 200), F.lit("..."))).otherwise(c)
-    each = F.transform(F.slice(F.coalesce("rows", F.array().cast("array<struct<rank:int,id:bigint,layer:string,score:double,content:string,semantic_similarity:double>>")), 1, 3), lambda r: segment(F.concat(F.lit("Result "), r["rank"].cast("string")), F.format_string("%s (%s), score %.3f: %s", r["id"].cast("string"), r["layer"], r["score"], preview(r["content"])), F.greatest(F.lit(0.1), F.least(F.lit(1.0), r["score"]))))
+    each = F.transform(F.slice(F.coalesce("rows", F.array().cast(dict(top.dtypes)["rows"])), 1, 3), lambda r: segment(F.concat(F.lit("Result "), r["rank"].cast("string")), F.format_string("%s (%s), score %.3f: %s", r["id"].cast("string"), r["layer"], r["score"], preview(r["content"])), F.greatest(F.lit(0.1), F.least(F.lit(1.0), r["score"]))))
     heads = segment(F.lit("Heads"), F.lit("Scores combine semantic similarity with the concept's score."), F.lit(0.8))
     method = segment(F.lit("Method"), F.lit("Concepts are ranked first, then the units of the best ones, then all layers together."), F.lit(0.9))
     segments = F.concat(F.array(overall), each, F.when(n > 0, F.array(heads)).otherwise(F.array().cast("array<struct<title:string,content:string,confidence:double>>")), F.array(method))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lattice.functions import vectors as V
 from lattice.operators import clustering, clusters
 from lattice.operators import graph as G
+from lattice.operators import patterns
 from lattice.queries._base import BOTH, CENTROIDS, E, U, edges, query, r, rounded, table, units, vertices
 
 S = f"{U}, {E}, {BOTH}"
@@ -214,6 +215,22 @@ def graph_counts(spark, sf):
     return u.agg(F.count(F.lit(1)).alias("units"), F.countDistinct("label").alias("concepts")).crossJoin(edges(spark, sf).agg(F.count(F.lit(1)).alias("edges")))
 
 
+@query("pattern_signature", f"with {GRAPHLETS}, d as (select unit_id, coalesce(sum(weight), 0) as d from u left join s on src = unit_id group by 1) select triangle, cast(paths - 3 * triangle as bigint) as wedge, round((select avg(d) from d), 6) as mean_degree, round((select sum(weight) from s) / (nodes * (nodes - 1.0::double)), 9) as density, cast(trunc((select sum(weight) from s)) as bigint) as num_edges from t, p, n")
+def pattern_signature(spark, sf):
+    out = patterns.signature(sym(spark, sf), vertices(spark, sf))
+    return out.select("graphlets.triangle", F.col("graphlets.wedge").cast("bigint").alias("wedge"), r("degree_stats.mean_degree").alias("mean_degree"), r("graph_properties.density", 9).alias("density"), "graph_properties.num_edges")
+
+
+@query("query_graph_signatures", "with k as (select user_id, count(distinct event_type) as k from events group by 1) select user_id, 0::bigint as triangle, cast(case when k > 1 then k * (k - 1) // 2 else 0 end as bigint) as wedge, k as edges, k + 1 as nodes, round(2 * k / (k + 1.0::double), 6) as mean_degree from k")
+def query_graph_signatures(spark, sf):
+    """Each user's answer is a graph of the user and the types of their events, as JSON text."""
+    e = table(spark, sf, "events").select("user_id", "event_type").distinct()
+    pair = F.array(F.concat(F.lit("u"), F.col("user_id").cast("string")), F.col("event_type"))
+    answers = e.groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(pair).alias("edges"))).alias("answer"))
+    out = patterns.query_signatures(answers, "user_id", "answer")
+    return out.select("user_id", "graphlets.triangle", "graphlets.wedge", "graphlets.edges", "graphlets.nodes", r("degree_stats.mean_degree").alias("mean_degree"))
+
+
 # --- clusters --------------------------------------------------------------------------------------------------------
 
 W = f"{U}, {CENTROIDS}, a as (select u.label, unit_id, v, list_inner_product(v, cv) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(cv, cv)) + 1e-8) as a from u join c using (label)), w as (select *, a / (sum(a) over (partition by label) + 1e-8) as w from a), wc as (select label, list(m order by p) as wv from (select label, p, sum(w * v[p]) / sum(w) as m from w, (select unnest(range(1, 65)) as p) group by label, p) group by label)"

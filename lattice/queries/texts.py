@@ -13,7 +13,6 @@ from lattice.operators import clusters
 from lattice.operators import similarity as S
 from lattice.queries._base import CENTROIDS, DOTTED, MD5, SENTENCES, U, WORDS, query, r, rounded, table, units
 
-TEXT = F.col("text")
 _W, _D, _S = (x.format(t="text") for x in (WORDS, DOTTED, SENTENCES))
 
 
@@ -23,7 +22,7 @@ def docs(spark, sf):
 
 @query("sentences", f"select doc_id, cast(p - 1 as integer) as pos, s[p] as sentence from (select doc_id, {_S} as s from documents) t, unnest(range(1, len(s) + 1)) as u(p)")
 def sentences(spark, sf):
-    return docs(spark, sf).select("doc_id", F.posexplode(T.sentences(TEXT)).alias("pos", "sentence"))
+    return docs(spark, sf).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 @query("semantic_chunks")
@@ -33,12 +32,12 @@ def semantic_chunks(spark, sf):
 
 @query("token_estimate", "select doc_id, cast(length(text) // 4 as bigint) as tokens from documents")
 def token_estimate(spark, sf):
-    return docs(spark, sf).select("doc_id", T.token_estimate(TEXT).alias("tokens"))
+    return docs(spark, sf).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query("truncate_tokens", "select doc_id, case when length(text) > 400 then substr(text, 1, 400) || '... [TRUNCATED]' else text end as text from documents")
 def truncate_tokens(spark, sf):
-    return docs(spark, sf).select("doc_id", T.truncate_tokens(TEXT, 100).alias("text"))
+    return docs(spark, sf).select("doc_id", T.truncate_tokens(F.col("text"), 100).alias("text"))
 
 
 def _replace_sql(column):
@@ -49,7 +48,7 @@ def _replace_sql(column):
 
 @query("sanitize", f"select conv_id, turn, {_replace_sql(chr(39) + '[USER]' + chr(39) + ' || text')} as text from conversations")
 def sanitize(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.sanitize(F.concat(F.lit("[USER]"), TEXT)).alias("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.sanitize(F.concat(F.lit("[USER]"), F.col("text"))).alias("text"))
 
 
 PER = f"coalesce(list_avg(list_transform({_D}, lambda y: len({WORDS.format(t='y')}))), 0)"
@@ -59,17 +58,17 @@ LONG = f"case when len({_W}) = 0 then 0 else len(list_filter({_W}, lambda y: len
 
 @query("complexity", f"select doc_id, round({COMPLEXITY}, 6) as complexity from documents")
 def complexity(spark, sf):
-    return docs(spark, sf).select("doc_id", r(T.complexity(TEXT)).alias("complexity"))
+    return docs(spark, sf).select("doc_id", r(T.complexity(F.col("text"))).alias("complexity"))
 
 
 @query("long_word_ratio", f"select doc_id, round({LONG}, 6) as ratio from documents")
 def long_word_ratio(spark, sf):
-    return docs(spark, sf).select("doc_id", r(T.long_word_ratio(TEXT)).alias("ratio"))
+    return docs(spark, sf).select("doc_id", r(T.long_word_ratio(F.col("text"))).alias("ratio"))
 
 
 @query("length_score", "select doc_id, round(least(length(text) / 1000.0::double, 1), 6) as score from documents")
 def length_score(spark, sf):
-    return docs(spark, sf).select("doc_id", r(T.length_score(TEXT)).alias("score"))
+    return docs(spark, sf).select("doc_id", r(T.length_score(F.col("text"))).alias("score"))
 
 
 PARTS = f"select doc_id, least(length(text) / 1000.0::double, 1) as a, least(len({_W}) / 100.0::double, 1) as b, least(len({_D}) / 10.0::double, 1) as c, least(coalesce(len({_W}) / nullif(len({_D}), 0)::double, 0) / 20, 1) as d, {LONG} as e from documents"
@@ -77,22 +76,22 @@ PARTS = f"select doc_id, least(length(text) / 1000.0::double, 1) as a, least(len
 
 @query("structural_features", f"with p as ({PARTS}), x as (select doc_id, list_concat([a, b, c, d, e], list_transform(range(5, 16), lambda j: (a * (j % 3) + b * ((j + 1) % 3) + c * ((j + 2) % 3)) / 3)) as v from p), n as (select doc_id, v, sqrt(list_inner_product(v, v)) as n from x) select doc_id, cast(p - 1 as integer) as pos, round(v[p] / case when n = 0 then 1 else n end, 6) as x from n, (select unnest(range(1, 17)) as p)")
 def structural_features(spark, sf):
-    return docs(spark, sf).select("doc_id", F.posexplode(T.structural_vector(TEXT, 16)).alias("pos", "x")).select("doc_id", "pos", r("x").alias("x"))
+    return docs(spark, sf).select("doc_id", F.posexplode(T.structural_vector(F.col("text"), 16)).alias("pos", "x")).select("doc_id", "pos", r("x").alias("x"))
 
 
 @query("md5_vector", f"select doc_id, cast(p - 1 as integer) as pos, round(v[p], 6) as x from (select doc_id, {MD5.format(t='text')} as v from documents), (select unnest(range(1, 17)) as p)")
 def md5_vector(spark, sf):
-    return docs(spark, sf).select("doc_id", F.posexplode(T.md5_vector(TEXT)).alias("pos", "x")).select("doc_id", "pos", r("x").alias("x"))
+    return docs(spark, sf).select("doc_id", F.posexplode(T.md5_vector(F.col("text"))).alias("pos", "x")).select("doc_id", "pos", r("x").alias("x"))
 
 
 @query("blended_vector")
 def blended_vector(spark, sf):
-    return docs(spark, sf).select("doc_id", F.posexplode(T.blended_vector(T.md5_vector(TEXT, 16), TEXT, dim=16)).alias("pos", "x")).select("doc_id", "pos", r("x").alias("x"))
+    return docs(spark, sf).select("doc_id", F.posexplode(T.blended_vector(T.md5_vector(F.col("text"), 16), F.col("text"), dim=16)).alias("pos", "x")).select("doc_id", "pos", r("x").alias("x"))
 
 
 @query("labels_and_names", "select doc_id, substr(coalesce(text, ''), 1, 80) as label, case when length(text) > 30 then substr(text, 1, 30) || '...' else text end as name from documents")
 def labels_and_names(spark, sf):
-    return docs(spark, sf).select("doc_id", T.label(TEXT).alias("label"), T.session_name(TEXT).alias("name"))
+    return docs(spark, sf).select("doc_id", T.label(F.col("text")).alias("label"), T.session_name(F.col("text")).alias("name"))
 
 
 @query("mode_decision", "select event_id, case when contains(lower(event_type), 'episodic') then 'episodic' when contains(lower(event_type), 'causal') then 'causal' else 'hybrid' end as mode from events")
@@ -102,7 +101,7 @@ def mode_decision(spark, sf):
 
 @query("context_rows", "select conv_id, turn, '| ' || role || ' | Unknown | ' || replace(text, chr(10), ' ') || ' |' as line from conversations")
 def context_rows(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.context_row(F.col("role"), F.lit(None).cast("string"), TEXT).alias("line"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.context_row(F.col("role"), F.lit(None).cast("string"), F.col("text")).alias("line"))
 
 
 # --- parsing ---------------------------------------------------------------------------------------------------------
@@ -110,7 +109,7 @@ def context_rows(spark, sf):
 
 @query("json_facts", f"with s as (select doc_id, {_S} as s from documents) select doc_id, coalesce(s[1], '') as summary, cast(len(s) as integer) as n_facts, coalesce(s[len(s)], '') as last_fact from s")
 def json_facts(spark, sf):
-    said = F.concat(F.lit("Here it is:\n"), ingest.template_answer(TEXT), F.lit("\nDone."))
+    said = F.concat(F.lit("Here it is:\n"), ingest.template_answer(F.col("text")), F.lit("\nDone."))
     return docs(spark, sf).select("doc_id", P.facts(said).alias("f")).select("doc_id", "f.summary", F.size("f.facts").alias("n_facts"), F.coalesce(F.try_element_at("f.facts", F.lit(-1)), F.lit("")).alias("last_fact"))
 
 
@@ -162,9 +161,9 @@ FEEDBACK = f"f as (select doc_id as seq, source as model_id, case when quality =
 
 
 def feedback(spark, sf):
-    d = docs(spark, sf).select("doc_id", "source", TEXT)
+    d = docs(spark, sf).select("doc_id", "source", F.col("text"))
     rows = table(spark, sf, "labels").join(d, "doc_id")
-    features = F.array(T.length_score(TEXT), (F.col("doc_id") % 7) / 7.0, *[F.lit(0.0)] * 8)
+    features = F.array(T.length_score(F.col("text")), (F.col("doc_id") % 7) / 7.0, *[F.lit(0.0)] * 8)
     return rows.select(F.col("doc_id").alias("seq"), F.col("source").alias("model_id"), F.when(F.col("quality") == 1, 1.0).otherwise(-1.0).alias("rating"), features.alias("features"))
 
 
@@ -262,7 +261,7 @@ GROUPS = f"{DOC_UNITS}, b as (select src, dst from e union select dst, src from
 
 def doc_units(spark, sf):
     """Documents as units with MD5 vectors."""
-    return docs(spark, sf).select(F.col("doc_id").alias("unit_id"), F.col("text").alias("content"), T.md5_vector(TEXT).alias("embedding"), F.lit(False).alias("is_archived"))
+    return docs(spark, sf).select(F.col("doc_id").alias("unit_id"), F.col("text").alias("content"), T.md5_vector(F.col("text")).alias("embedding"), F.lit(False).alias("is_archived"))
 
 
 @query("replay", f"with {DOC_UNITS} select src, dst, round(s, 6) as similarity from e union all select dst, src, round(s, 6) from e")
