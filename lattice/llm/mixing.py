@@ -36,7 +36,10 @@ LANGUAGE_WEIGHTS = {"lang:de": 0.08, "lang:es": 0.08, "lang:fr": 0.08}
 
 @dataclass
 class _Network:
-    """Successive shortest paths with potentials; integer capacities and costs."""
+    """Primal-dual min-cost flow: Dijkstra for the next path cost, then all flow of that cost at once. Integers only.
+
+    There are as few phases as different path costs (a handful: passes have few prices), however many patterns there are.
+    """
 
     heads: list[list[int]] = field(default_factory=list)
     to: list[int] = field(default_factory=list)
@@ -58,8 +61,7 @@ class _Network:
     def solve(self, source: int, sink: int) -> None:
         potential = [0] * len(self.heads)
         while True:
-            far = [None] * len(self.heads)
-            by = [-1] * len(self.heads)
+            far: list[int | None] = [None] * len(self.heads)
             far[source] = 0
             queue = [(0, source)]
             while queue:
@@ -70,20 +72,53 @@ class _Network:
                     if self.room[e] > 0:
                         y, z = self.to[e], d + self.cost[e] + potential[x] - potential[self.to[e]]
                         if far[y] is None or z < far[y]:
-                            far[y], by[y] = z, e
+                            far[y] = z
                             heapq.heappush(queue, (z, y))
             if far[sink] is None:
                 return
-            most = max(d for d in far if d is not None)
-            potential = [p + (most if d is None else d) for p, d in zip(potential, far)]
-            path, x = [], sink
-            while x != source:
-                path.append(by[x])
-                x = self.to[by[x] ^ 1]
-            push = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= push
-                self.room[e ^ 1] += push
+            potential = [p + (far[sink] if d is None or d > far[sink] else d) for p, d in zip(potential, far)]
+            while self._block(source, sink, potential):
+                pass
+
+    def _block(self, source: int, sink: int, potential: list[int]) -> bool:
+        """One blocking flow over arcs of no reduced cost, level by level; whether any was found."""
+
+        def tight(e: int, x: int) -> bool:
+            return self.room[e] > 0 and self.cost[e] + potential[x] == potential[self.to[e]]
+
+        level = [-1] * len(self.heads)
+        level[source], queue = 0, [source]
+        for x in queue:
+            for e in self.heads[x]:
+                if level[self.to[e]] < 0 and tight(e, x):
+                    level[self.to[e]] = level[x] + 1
+                    queue.append(self.to[e])
+        if level[sink] < 0:
+            return False
+        at = [0] * len(self.heads)
+        x, path = source, []
+        while True:
+            if x == sink:
+                push = min(self.room[e] for e in path)
+                for e in path:
+                    self.room[e] -= push
+                    self.room[e ^ 1] += push
+                x, path = source, []
+                continue
+            while at[x] < len(self.heads[x]):
+                e = self.heads[x][at[x]]
+                if level[self.to[e]] == level[x] + 1 and tight(e, x):
+                    break
+                at[x] += 1
+            if at[x] < len(self.heads[x]):
+                path.append(self.heads[x][at[x]])
+                x = self.to[path[-1]]
+            elif x == source:
+                return True
+            else:
+                level[x] = -1
+                x = self.to[path.pop() ^ 1]
+                at[x] += 1
 
 
 def route(tokens: dict[tuple[str, ...], int], quotas: dict[str, int], passes: int = PASSES) -> dict[tuple[tuple[str, ...], str], int]:
