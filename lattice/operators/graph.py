@@ -159,7 +159,8 @@ def random_walk_stats(edges: DataFrame, vertices: DataFrame, length: int = 5) ->
 def simulated_walks(edges: DataFrame, vertices: DataFrame, walks: int = 100, length: int = 5, seed: int = 42) -> DataFrame:
     """One row: the share of seeded random walks that return to their start and of distinct paths. A walk steps by one joined draw per round."""
     ids = vertices.select("id").distinct().withColumn("r", F.xxhash64("id", F.lit(seed)))
-    starts = ids.crossJoin(edges.sparkSession.range(walks).withColumnRenamed("id", "walk")).orderBy(F.xxhash64("r", "walk")).limit(walks).select(F.row_number().over(Window.orderBy("r", "walk")).alias("walk"), F.col("id").alias("at"))
+    few = ids.orderBy("r", "id").limit(walks)  # starts; fewer vertices than walks start several each
+    starts = few.crossJoin(edges.sparkSession.range(walks).withColumnRenamed("id", "walk")).orderBy("walk", "r").limit(walks).select(F.row_number().over(Window.orderBy("r", "walk")).alias("walk"), F.col("id").alias("at"))
     cum = Window.partitionBy("src").orderBy("dst")
     summed = sum_duplicates(edges).where("weight > 0")
     steps = summed.withColumn("hi", F.sum("weight").over(cum) / F.sum("weight").over(Window.partitionBy("src"))).withColumn("lo", F.coalesce(F.lag("hi").over(cum), F.lit(0.0)))
