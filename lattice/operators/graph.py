@@ -59,6 +59,12 @@ def neighbours(edges: DataFrame, node: Column, limit: int = 100) -> DataFrame:
     return sum_duplicates(edges).where(F.col("src") == node).select(F.col("dst").alias("id"), "weight").orderBy(F.desc("weight"), "id").limit(limit)
 
 
+def top_neighbours(edges: DataFrame, limit: int = 100) -> DataFrame:
+    """(src, dst, weight, rank): the neighbours of every vertex, heaviest first."""
+    w = Window.partitionBy("src").orderBy(F.desc(F.round("weight", 12)), "dst")
+    return sum_duplicates(edges).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
 def pagerank(edges: DataFrame, vertices: DataFrame | None = None, damping: float = 0.85, iterations: int = 10, tolerance: float | None = None, dangling: bool = False) -> DataFrame:
     """(id, rank): rank <- (1-d)/n + d * P'rank from 1/n. Mass of vertices without out-edges leaks unless dangling.
 

@@ -29,13 +29,64 @@ def top_k(df: DataFrame, query: Column, k: int, threshold: float | None = None,
     return scored.orderBy(F.desc("similarity"), key).limit(k)
 
 
-def search(queries: DataFrame, units: DataFrame, k: int, threshold: float | None = None, metric: str = "cosine", query_id: str = "query_id", key: str = "unit_id") -> DataFrame:
-    """(query_id, key, similarity, rank) for many queries at once; each query is ranked in its own window."""
-    q = queries.select(query_id, F.col("embedding").alias("_q"))
-    pairs = units.select(key, F.col("embedding").alias("_v")).crossJoin(q).select(query_id, key, V.similarity(F.col("_q"), F.col("_v"), metric).alias("similarity"))
-    if threshold is not None:
-        pairs = pairs.where(F.col("similarity") >= threshold)
-    return ranked(pairs, [query_id], [F.desc("similarity"), F.col(key)], "rank").where(F.col("rank") <= k)
+def _scores(q: np.ndarray, u: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "inner":
+        return q @ u.T
+    if metric in ("inverse_l2", "inverse_squared_l2"):
+        square = np.maximum((q**2).sum(axis=1)[:, None] + (u**2).sum(axis=1)[None, :] - 2 * q @ u.T, 0)
+        return 1 / (1 + (square if metric == "inverse_squared_l2" else np.sqrt(square)))
+    cosine = _unit_rows(q) @ _unit_rows(u).T
+    if metric == "inverse_cosine":
+        return 1 / (2 - cosine)
+    if metric != "cosine":
+        raise ValueError(f"no such metric: {metric}")
+    return cosine
+
+
+def search(queries: DataFrame, units: DataFrame, k: int | None = None, threshold: float | None = None, metric: str = "cosine", query_id: str = "query_id", key: str = "unit_id", vector: str = "embedding", exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, key, similarity, rank) for many queries at once: the k best units of each (None: all), at least threshold.
+
+    Blocks of queries meet blocks of units; a block keeps its k best for each query (and ties at the edge), and the best of
+    those are ranked by similarity, then key. Null vectors and ids take no part. metric: as of lattice.functions.vectors.
+    """
+    kinds = dict(queries.dtypes)[query_id], dict(units.dtypes)[key]
+    sides = []
+    for df, name, v in ((queries, query_id, "embedding"), (units, key, vector)):
+        n = df.count()
+        blocks = max(1, -(-n // block_rows))
+        sides.append((df.select(F.col(name).alias("id"), V.doubles(F.col(v)).alias("v"), F.pmod(F.xxhash64(name), F.lit(blocks)).alias("own")).where("id is not null and v is not null"), blocks))
+    (q, nq), (u, nu) = sides
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = q.withColumn("other", spread(nu)).select(F.col("own").alias("a"), F.col("other").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))
+    right = u.withColumn("other", spread(nq)).select(F.col("other").alias("a"), F.col("own").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({query_id: pa.array([], _arrow(kinds[0])), key: pa.array([], _arrow(kinds[1])), "similarity": pa.array([], pa.float64())})
+        (ai, ax), (bi, bx) = _matrix(a), _matrix(b)
+        rows, columns, values = [], [], []
+        for at in range(0, len(ai), 512):
+            s = _scores(ax[at : at + 512], bx, metric)
+            if exclude_self:
+                s[ai[at : at + 512, None] == bi[None, :]] = -np.inf
+            keep = np.isfinite(s)
+            if threshold is not None:
+                keep &= s >= threshold
+            if k is not None and k < len(bi):
+                keep &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] - 1e-9
+            i, j = np.nonzero(keep)
+            rows.append(at + i)
+            columns.append(j)
+            values.append(s[i, j])
+        return pa.table({query_id: a.column("id").combine_chunks().take(pa.array(np.concatenate(rows))), key: b.column("id").combine_chunks().take(pa.array(np.concatenate(columns))), "similarity": np.concatenate(values)})
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, f"{query_id} {kinds[0]}, {key} {kinds[1]}, similarity double")
+    out = ranked(found, [query_id], [F.desc(F.round("similarity", 9)), F.col(key)], "rank")
+    return out if k is None else out.where(F.col("rank") <= k)
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[kind]
 
 
 def ranked(df: DataFrame, by: list[str], order: list, name: str = "rank") -> DataFrame:

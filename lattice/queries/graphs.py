@@ -91,11 +91,9 @@ def activation_3(spark, sf):
     return rounded(G.spread_activation(sym(spark, sf), seeds), "activation")
 
 
-@query("neighbours", f"with {S} select dst as id, round(weight, 6) as weight from s where src = (select min(src) from s) order by weight desc, dst limit 100")
+@query("neighbours", f"with {S} select src, dst, round(weight, 6) as weight, cast(row_number() over (partition by src order by round(weight, 12) desc, dst) as integer) as rank from s qualify rank <= 100")
 def neighbours(spark, sf):
-    e = sym(spark, sf)
-    first = e.agg(F.min("src").alias("node"))
-    return rounded(G.neighbours(e.join(F.broadcast(first), F.col("src") == F.col("node")), F.col("src")), "weight")
+    return rounded(G.top_neighbours(sym(spark, sf)), "weight")
 
 
 COMPONENTS = f"{S}, reach(id, to_id) as (select unit_id, unit_id from u union select reach.id, s.dst from reach join s on s.src = reach.to_id), comp as (select id, min(to_id) as component from reach group by id)"
@@ -155,37 +153,32 @@ def approximation_quality(spark, sf):
     return rounded(rounded(out, "frobenius_error", "relative_error"), "element_accuracy", places=9)
 
 
-def _small(spark, sf):
-    """Vertices of labels 0 and 1 and the edges between them of cosine 0.15 or more, both ways: small enough for exact spectra and diameters."""
-    u = units(spark, sf).where("label < 2")
-    from lattice.operators.similarity import pairwise
-    from lattice.session import cut
-
-    return cut(G.both_ways(pairwise(u, 0.15).select("src", "dst", F.col("similarity").alias("weight")))), u.select(F.col("unit_id").alias("id"))
+def _whole(spark, sf):
+    return sym(spark, sf), vertices(spark, sf)
 
 
 @query("graph_properties")
 def graph_properties(spark, sf):
-    e, v = _small(spark, sf)
+    e, v = _whole(spark, sf)
     return rounded(G.properties(e, v), "density", "mean_degree", "std_degree", "clustering_coefficient", "degree_mixing", "spectral_radius", "spectral_gap", places=4)
 
 
 @query("approximation_validation")
 def approximation_validation(spark, sf):
-    e, v = _small(spark, sf)
-    out = G.validate_approximation(G.properties(e, v), G.properties(e.where("weight >= 0.16"), v))
+    e, v = _whole(spark, sf)
+    out = G.validate_approximation(G.properties(e, v), G.properties(e.where("weight >= 0.31"), v))
     return rounded(out, "original", "approximated", "difference", places=4)
 
 
 @query("rank_ratio")
 def rank_ratio(spark, sf):
-    e, v = _small(spark, sf)
-    return G.rank_ratio(e, e.where("weight >= 0.2"), v)
+    e, v = _whole(spark, sf)
+    return G.rank_ratio(e, e.where("weight >= 0.35"), v)
 
 
 @query("spectral_power_iteration")
 def spectral_power_iteration(spark, sf):
-    e, v = _small(spark, sf)
+    e, v = _whole(spark, sf)
     return rounded(G.spectral(e, v, exact_up_to=0, iterations=20), "spectral_radius", places=3)
 
 

@@ -10,17 +10,19 @@ from lattice.operators import similarity as S
 from lattice.queries._base import CENTROIDS, E, LEAST, Q0, U, edges, one_query, query, r, rounded, table, units
 
 COS = "list_cosine_similarity(v, w)"
+ALL = "p as (select a.unit_id as query_id, b.unit_id, a.v as w, b.v as v from u a, u b where a.unit_id <> b.unit_id)"
 
 
-def scored(spark, sf, metric):
-    return units(spark, sf).crossJoin(F.broadcast(one_query(spark, sf))).where("unit_id <> query_id").select("unit_id", V.similarity(F.col("embedding"), F.col("query_vector"), metric).alias("similarity"))
+def as_queries(spark, sf):
+    """Every unit as a query."""
+    return units(spark, sf).select(F.col("unit_id").alias("query_id"), "embedding")
 
 
 def _top(metric, sql):
     def run(spark, sf):
-        return rounded(scored(spark, sf, metric).orderBy(F.desc("similarity"), "unit_id").limit(10), "similarity")
+        return rounded(S.search(as_queries(spark, sf), units(spark, sf), 10, metric=metric, exclude_self=True), "similarity")
 
-    return run, f"with {U}, {Q0} select unit_id, round({sql}, 6) as similarity from u, q where unit_id <> query_id order by {sql} desc, unit_id limit 10"
+    return run, f"with {U}, {ALL} select query_id, unit_id, round({sql}, 6) as similarity, cast(row_number() over (partition by query_id order by round({sql}, 9) desc, unit_id) as integer) as rank from p qualify rank <= 10"
 
 
 for _name, _metric, _sql in (
@@ -28,15 +30,22 @@ for _name, _metric, _sql in (
     ("inv_l2_search", "inverse_l2", "1 / (1 + list_distance(v, w))"),
     ("inv_squared_l2_search", "inverse_squared_l2", "1 / (1 + list_distance(v, w) ** 2)"),
     ("inv_cosine_search", "inverse_cosine", f"1 / (2 - {COS})"),
-    ("coarse_inner_scores", "inner", "list_inner_product(v, w)"),
+    ("inner_search", "inner", "list_inner_product(v, w)"),
 ):
     _run, _text = _top(_metric, _sql)
     query(_name, _text)(_run)
 
 
-@query("threshold_search", f"with {U}, {Q0} select unit_id, round({COS}, 6) as similarity from u, q where unit_id <> query_id and {COS} >= 0.2")
+@query("threshold_search", f"with {U}, {ALL} select query_id, unit_id, round({COS}, 6) as similarity from p where {COS} >= 0.2")
 def threshold_search(spark, sf):
-    return rounded(scored(spark, sf, "cosine").where("similarity >= 0.2"), "similarity")
+    return rounded(S.search(as_queries(spark, sf), units(spark, sf), threshold=0.2, exclude_self=True).drop("rank"), "similarity")
+
+
+@query("one_query_search", f"with {U}, {Q0} select unit_id, round({COS}, 6) as similarity from u, q where unit_id <> query_id order by {COS} desc, unit_id limit 10")
+def one_query_search(spark, sf):
+    """The form for one query, inside Catalyst: a broadcast row, a projection and a top-k."""
+    rows = units(spark, sf).crossJoin(F.broadcast(one_query(spark, sf))).where("unit_id <> query_id")
+    return rounded(S.top_k(rows, F.col("query_vector"), 10).select("unit_id", "similarity"), "similarity")
 
 
 @query("pairwise_edges", f"with {U}, {E} select src, dst, round(weight, 6) as similarity from e")
@@ -54,9 +63,9 @@ def group_pairs(spark, sf):
     return rounded(S.within_groups(units(spark, sf), "label", 0.25), "similarity")
 
 
-@query("combined_similarity", f"with {U}, {Q0} select unit_id, round(0.7 * {COS} + 0.3 / (1 + list_distance(v, w)), 6) as similarity from u, q")
+@query("combined_similarity", f"with {U}, x as (select a.unit_id as src, b.unit_id as dst, 0.7 * list_cosine_similarity(a.v, b.v) + 0.3 / (1 + list_distance(a.v, b.v)) as s from u a join u b on a.unit_id < b.unit_id) select src, dst, round(s, 6) as similarity from x where s >= 0.3")
 def combined_similarity(spark, sf):
-    return units(spark, sf).crossJoin(F.broadcast(one_query(spark, sf))).select("unit_id", r(V.combined_similarity(F.col("embedding"), F.col("query_vector"))).alias("similarity"))
+    return rounded(S.pairwise(units(spark, sf), 0.3, metric="combined"), "similarity")
 
 
 @query("vector_stats", f"with {U} select unit_id, round(sqrt(list_inner_product(v, v)), 6) as magnitude, round(list_var_pop(v), 8) as variance from u")
@@ -64,9 +73,10 @@ def vector_stats(spark, sf):
     return units(spark, sf).select("unit_id", r(V.norm(F.col("embedding"))).alias("magnitude"), r(V.variance(F.col("embedding")), 8).alias("variance"))
 
 
-@query("pagination_page2", f"with {U}, {Q0} select unit_id, round({COS}, 6) as similarity from u, q where unit_id <> query_id order by {COS} desc, unit_id limit 10 offset 10")
+@query("pagination_page2", f"with {U}, {ALL} select query_id, unit_id, round({COS}, 6) as similarity from p where {COS} >= 0.2 order by round({COS}, 9) desc, query_id, unit_id limit 10 offset 10")
 def pagination_page2(spark, sf):
-    return rounded(S.page(scored(spark, sf, "cosine"), [F.desc("similarity"), F.col("unit_id")], 2, 10), "similarity")
+    found = S.search(as_queries(spark, sf), units(spark, sf), threshold=0.2, exclude_self=True)
+    return rounded(S.page(found, [F.desc(F.round("similarity", 9)), F.col("query_id"), F.col("unit_id")], 2, 10).drop("rank"), "similarity")
 
 
 @query("pagination_info", "select 2::bigint as page, 10::bigint as page_size, count(*) as total_items, cast(ceil(count(*) / 10.0) as bigint) as total_pages, 2 < ceil(count(*) / 10.0) as has_next, true as has_prev, case when 2 < ceil(count(*) / 10.0) then 3::bigint end as next_page, 1::bigint as prev_page from embeddings")
@@ -76,9 +86,9 @@ def pagination_info(spark, sf):
 
 # --- heads -----------------------------------------------------------------------------------------------------------
 
-QUERIES3 = "q as (select vec_id as query_id, embedding::double[] as w from embeddings where vec_id in (0, 1, 2))"
+QUERIES = "q as (select vec_id as query_id, embedding::double[] as w from embeddings)"
 TIMES = "t as (select user_id % 10 as label, max(ts) as concept_time from events group by 1), now as (select max(ts) as query_time from events)"
-SEMANTIC = f"{U}, {QUERIES3}, {CENTROIDS}, sem as (select query_id, label, {COS.replace('v, w', 'cv, w')} as x from c, q), semantic as (select query_id, label as concept_id, exp(x) / sum(exp(x)) over (partition by query_id) as semantic from sem)"
+SEMANTIC = f"{U}, {QUERIES}, {CENTROIDS}, sem as (select query_id, label, {COS.replace('v, w', 'cv, w')} as x from c, q), semantic as (select query_id, label as concept_id, exp(x) / sum(exp(x)) over (partition by query_id) as semantic from sem)"
 AGES = f"{TIMES}, age as (select label, abs(floor(epoch(query_time)) - floor(epoch(concept_time))) as a from t, now), decay as (select label, exp(-coalesce(a, 2 * max(a) over ()) / 2592000.0) as x from age), temporal as (select label as concept_id, exp(x) / sum(exp(x)) over () as temporal from decay)"
 SIGNATURES = """pr as (select a.label as g, a.unit_id as a, b.unit_id as b from u a join u b on a.label = b.label and a.unit_id < b.unit_id where list_cosine_similarity(a.v, b.v) > 0.2),
  tri as (select x.g, count(*) as triangle from pr x join pr y on x.g = y.g and x.b = y.a join pr z on z.g = x.g and z.a = x.a and z.b = y.b group by x.g),
@@ -89,21 +99,22 @@ STRUCTURAL = f"""{SIGNATURES}, ps as (select y.g, (0.3 * (least(x.triangle, y.tr
  structural as (select g as concept_id, exp(x) / sum(exp(x)) over () as structural from ps)"""
 
 
-def queries3(spark, sf):
-    return units(spark, sf).where(F.col("unit_id").isin(0, 1, 2)).select(F.col("unit_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def all_queries(spark, sf):
+    """Every unit as a query."""
+    return units(spark, sf).select(F.col("unit_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 def concepts(spark, sf):
     return clusters.centroids(units(spark, sf)).withColumnRenamed("label", "concept_id")
 
 
-def pairs3(spark, sf):
-    return concepts(spark, sf).crossJoin(F.broadcast(queries3(spark, sf)))
+def all_pairs(spark, sf):
+    return concepts(spark, sf).crossJoin(all_queries(spark, sf))
 
 
 @query("semantic_head", f"with {SEMANTIC} select query_id, concept_id, round(semantic, 6) as semantic from semantic")
 def semantic_head(spark, sf):
-    return rounded(attention.semantic_head(pairs3(spark, sf)).select("query_id", "concept_id", "semantic"), "semantic")
+    return rounded(attention.semantic_head(all_pairs(spark, sf)).select("query_id", "concept_id", "semantic"), "semantic")
 
 
 def times(spark, sf):
@@ -144,7 +155,7 @@ def structural_head(spark, sf):
 
 
 def heads(spark, sf):
-    pairs = pairs3(spark, sf).join(times(spark, sf), "concept_id", "left").join(structure(spark, sf), "concept_id").crossJoin(F.broadcast(now(spark, sf)))
+    pairs = all_pairs(spark, sf).join(times(spark, sf), "concept_id", "left").join(structure(spark, sf), "concept_id").crossJoin(F.broadcast(now(spark, sf)))
     return attention.structural_head(attention.temporal_head(attention.semantic_head(pairs)))
 
 
@@ -176,10 +187,10 @@ def attention_debug(spark, sf):
 
 @query("attention_weights_valid", f"with {SEMANTIC} select query_id, round(sum(semantic), 6) as sum, round(min(semantic), 6) as min, round(max(semantic), 6) as max, abs(sum(semantic) - 1) < 1e-6 as is_normalized, round(max(semantic) - min(semantic), 6) as range from semantic group by query_id")
 def attention_weights_valid(spark, sf):
-    return rounded(attention.validate_weights(attention.semantic_head(pairs3(spark, sf)), ["query_id"], "semantic"), "sum", "min", "max", "range")
+    return rounded(attention.validate_weights(attention.semantic_head(all_pairs(spark, sf)), ["query_id"], "semantic"), "sum", "min", "max", "range")
 
 
-STAGES = f"{U}, {QUERIES3}, {CENTROIDS}, one as (select query_id, label as concept_id, list_inner_product(cv, w) / (sqrt(list_inner_product(cv, cv)) * sqrt(list_inner_product(w, w)) + 1e-8) as concept_score from c, q), top as (select *, row_number() over (partition by query_id order by concept_score desc, concept_id) as concept_rank from one qualify concept_rank <= 5), two as (select top.*, u.unit_id, list_inner_product(v, w) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(w, w)) + 1e-8) as unit_score, list_cosine_similarity(v, w) as cosine from top join u on u.label = top.concept_id join q using (query_id))"
+STAGES = f"{U}, {QUERIES}, {CENTROIDS}, one as (select query_id, label as concept_id, list_inner_product(cv, w) / (sqrt(list_inner_product(cv, cv)) * sqrt(list_inner_product(w, w)) + 1e-8) as concept_score from c, q), top as (select *, row_number() over (partition by query_id order by concept_score desc, concept_id) as concept_rank from one qualify concept_rank <= 5), two as (select top.*, u.unit_id, list_inner_product(v, w) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(w, w)) + 1e-8) as unit_score, list_cosine_similarity(v, w) as cosine from top join u on u.label = top.concept_id join q using (query_id))"
 
 
 def members(spark, sf):
@@ -188,12 +199,12 @@ def members(spark, sf):
 
 @query("coarse_concepts", f"with {STAGES} select query_id, concept_id, round(concept_score, 6) as concept_score, cast(concept_rank as integer) as concept_rank from top")
 def coarse_concepts(spark, sf):
-    return rounded(attention.coarse(queries3(spark, sf), concepts(spark, sf)), "concept_score")
+    return rounded(attention.coarse(all_queries(spark, sf), concepts(spark, sf)), "concept_score")
 
 
 @query("hierarchical_retrieve", f"with {STAGES} select query_id, unit_id, concept_id, round(concept_score, 6) as concept_score, round(unit_score, 6) as unit_score, cast(row_number() over (partition by query_id order by unit_score desc, unit_id) as integer) as rank from two qualify rank <= 10")
 def hierarchical_retrieve(spark, sf):
-    return rounded(attention.hierarchical(queries3(spark, sf), concepts(spark, sf), members(spark, sf), units(spark, sf)).select("query_id", "unit_id", "concept_id", "concept_score", "unit_score", "rank"), "concept_score", "unit_score")
+    return rounded(attention.hierarchical(all_queries(spark, sf), concepts(spark, sf), members(spark, sf), units(spark, sf)).select("query_id", "unit_id", "concept_id", "concept_score", "unit_score", "rank"), "concept_score", "unit_score")
 
 
 FOCUS = "f as (select user_id % 500 as unit_id, count(*) / 100.0::double as weight from events group by 1)"
@@ -211,13 +222,13 @@ def focus_concepts(spark, sf):
 @query("focused_retrieve", f"with {STAGES.replace('one as (select query_id, label as concept_id, ', f'{FOCUS}, fw as (select label, sum(coalesce(weight, 0)) as focus from u left join f using (unit_id) group by label), one as (select query_id, c.label as concept_id, 0.5 * focus + ').replace('from c, q)', 'from c join fw on fw.label = c.label, q)')} select query_id, unit_id, concept_id, round(concept_score, 6) as concept_score, round(unit_score, 6) as unit_score, cast(row_number() over (partition by query_id order by unit_score desc, unit_id) as integer) as rank from two qualify rank <= 10")
 def focused_retrieve(spark, sf):
     f = attention.focus_weights(members(spark, sf), focus(spark, sf))
-    return rounded(attention.hierarchical(queries3(spark, sf), concepts(spark, sf), members(spark, sf), units(spark, sf), focus=f).select("query_id", "unit_id", "concept_id", "concept_score", "unit_score", "rank"), "concept_score", "unit_score")
+    return rounded(attention.hierarchical(all_queries(spark, sf), concepts(spark, sf), members(spark, sf), units(spark, sf), focus=f).select("query_id", "unit_id", "concept_id", "concept_score", "unit_score", "rank"), "concept_score", "unit_score")
 
 
 @query("item_retrieve", f"with {STAGES}, k as (select *, row_number() over (partition by query_id order by unit_score desc, unit_id) as r from two qualify r <= 10) select query_id, unit_id, concept_id, round(0.7 * cosine + 0.3 * concept_score, 6) as score, cast(row_number() over (partition by query_id order by round(0.7 * cosine + 0.3 * concept_score, 12) desc, unit_id) as integer) as rank from k")
 def item_retrieve(spark, sf):
-    hits = attention.hierarchical(queries3(spark, sf), concepts(spark, sf), members(spark, sf), units(spark, sf)).drop("rank")
-    rows = hits.join(units(spark, sf).select("unit_id", "embedding"), "unit_id").join(F.broadcast(queries3(spark, sf)), "query_id").withColumn("cosine", V.cosine(F.col("embedding"), F.col("query_vector")))
+    hits = attention.hierarchical(all_queries(spark, sf), concepts(spark, sf), members(spark, sf), units(spark, sf)).drop("rank")
+    rows = hits.join(units(spark, sf).select("unit_id", "embedding"), "unit_id").join(all_queries(spark, sf), "query_id").withColumn("cosine", V.cosine(F.col("embedding"), F.col("query_vector")))
     return rounded(S.ranked(attention.item_scores(rows), ["query_id"], [F.desc(F.round("score", 12)), F.col("unit_id")]).select("query_id", "unit_id", "concept_id", "score", "rank"), "score")
 
 
@@ -237,8 +248,13 @@ def multi_head_attention(spark, sf):
     return rounded(attention.multi_head(concepts(spark, sf).select(F.col("concept_id").alias("id"), F.col("centroid").alias("embedding"))), "weight")
 
 
-@query("layer_fusion", f"with {U}, {Q0}, {CENTROIDS} select 'units' as layer, unit_id as id, round(list_cosine_similarity(v, w), 6) as similarity, round(list_cosine_similarity(v, w), 6) as score from u, q union all select 'concepts', label, round(list_cosine_similarity(cv, w), 6), round(0.5 * list_cosine_similarity(cv, w), 6) from c, q")
+@query("coarse_inner_scores", f"with {U}, {QUERIES}, {CENTROIDS} select query_id, label as concept_id, round(list_inner_product(cv, w), 6) as similarity, cast(row_number() over (partition by query_id order by round(list_inner_product(cv, w), 9) desc, label) as integer) as rank from c, q qualify rank <= 5")
+def coarse_inner_scores(spark, sf):
+    return rounded(S.search(as_queries(spark, sf), concepts(spark, sf), 5, metric="inner", key="concept_id", vector="centroid"), "similarity")
+
+
+@query("layer_fusion", f"with {U}, {QUERIES}, {CENTROIDS} select query_id, 'units' as layer, unit_id as id, round(list_cosine_similarity(v, w), 6) as similarity, round(list_cosine_similarity(v, w), 6) as score from u, q union all select query_id, 'concepts', label, round(list_cosine_similarity(cv, w), 6), round(0.5 * list_cosine_similarity(cv, w), 6) from c, q")
 def layer_fusion(spark, sf):
-    q = one_query(spark, sf).select("query_vector")
+    q = all_queries(spark, sf)
     layers = {"units": units(spark, sf).select(F.col("unit_id").alias("id"), "embedding").crossJoin(q), "concepts": concepts(spark, sf).select(F.col("concept_id").cast("bigint").alias("id"), F.col("centroid").alias("embedding")).crossJoin(q)}
-    return rounded(attention.layer_fusion(layers, F.col("query_vector"), {"concepts": 0.5}).select("layer", "id", "similarity", "score"), "similarity", "score")
+    return rounded(attention.layer_fusion(layers, F.col("query_vector"), {"concepts": 0.5}).select("query_id", "layer", "id", "similarity", "score"), "similarity", "score")

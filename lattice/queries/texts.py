@@ -10,7 +10,6 @@ from lattice.functions import vectors as V
 from lattice.operators import consolidation as C
 from lattice.operators import ingest, retrieve, state
 from lattice.operators import clusters
-from lattice.operators import similarity as S
 from lattice.queries._base import CENTROIDS, DOTTED, MD5, SENTENCES, U, WORDS, query, r, rounded, table, units
 
 _W, _D, _S = (x.format(t="text") for x in (WORDS, DOTTED, SENTENCES))
@@ -331,7 +330,7 @@ def consolidation_summary(spark, sf):
 
 @query("training_pipeline")
 def training_pipeline(spark, sf):
-    out = ingest.ingest(docs(spark, sf).where("n_chars < 400"), threshold=0.95)
+    out = ingest.ingest(docs(spark, sf), threshold=0.95)
     one = F.lit(1)
     return out["episodes"].agg(F.count(one).alias("episodes")).crossJoin(out["units"].agg(F.count(one).alias("units"))).crossJoin(out["edges"].agg(F.count(one).alias("edges")))
 
@@ -339,11 +338,11 @@ def training_pipeline(spark, sf):
 def _retrieved(spark, sf, mode):
     u = units(spark, sf).select("unit_id", "embedding", "label", F.concat(F.lit("unit "), F.col("unit_id").cast("string"), F.lit(".")).alias("content"))
     tables = {"units": u, "concepts": clusters.centroids(u).withColumnRenamed("label", "concept_id").withColumn("concept_id", F.col("concept_id").cast("bigint")), "members": u.select(F.col("label").cast("bigint").alias("concept_id"), "unit_id"), "episodes": u.select(F.col("unit_id").alias("episode_id"), "embedding", "content")}
-    queries = u.where(F.col("unit_id").isin(0, 1, 2)).select(F.col("unit_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("content").alias("query_text"))
+    queries = u.select(F.col("unit_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("content").alias("query_text"))
     return queries, retrieve.retrieve(queries.select("query_id", "query_vector"), tables, mode)
 
 
-@query("episodic_retrieve", f"with {U}, q as (select unit_id as query_id, v as w from u where unit_id in (0, 1, 2)) select query_id, unit_id as id, round(list_cosine_similarity(v, w), 6) as rl_score, cast(row_number() over (partition by query_id order by round(list_cosine_similarity(v, w), 12) desc, unit_id) as integer) as rank from u, q where list_cosine_similarity(v, w) >= 0.3 qualify rank <= 10")
+@query("episodic_retrieve", f"with {U}, q as (select unit_id as query_id, v as w from u) select query_id, unit_id as id, round(list_cosine_similarity(v, w), 6) as rl_score, cast(row_number() over (partition by query_id order by round(list_cosine_similarity(v, w), 12) desc, unit_id) as integer) as rank from u, q where list_cosine_similarity(v, w) >= 0.3 qualify rank <= 10")
 def episodic_retrieve(spark, sf):
     return rounded(_retrieved(spark, sf, "episodic")[1].select("query_id", "id", "rl_score", "rank"), "rl_score")
 
@@ -362,9 +361,3 @@ def explanations(spark, sf):
 @query("context_tables")
 def context_tables(spark, sf):
     return retrieve.context_table(_retrieved(spark, sf, "hybrid")[1])
-
-
-@query("search_many", f"with {U} select a.unit_id as query_id, b.unit_id as unit_id, round(list_cosine_similarity(a.v, b.v), 6) as similarity, cast(row_number() over (partition by a.unit_id order by list_cosine_similarity(a.v, b.v) desc, b.unit_id) as integer) as rank from u a, u b where a.unit_id < 20 qualify rank <= 5")
-def search_many(spark, sf):
-    u = units(spark, sf)
-    return rounded(S.search(u.where("unit_id < 20").select(F.col("unit_id").alias("query_id"), "embedding"), u, 5), "similarity")

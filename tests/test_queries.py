@@ -47,4 +47,4 @@ def test_query_without_sql_runs(spark, name):
 
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
-    assert df.count() == 30 and "unit_score" in df.columns
+    assert df.count() == 5000 and "unit_score" in df.columns
