@@ -27,7 +27,7 @@ TABLES: dict[str, str] = {
     "training_jobs": f"id string, workspace_id string, status string, progress int, message string, metadata map<string,string>, {_STAMPS}",
     "settings": f"id string, workspace_id string, key string, value string, {_STAMPS}",
     "ranker_state": f"id string, model_id string, weights array<double>, metadata map<string,string>, {_STAMPS}",
-    "chat_sessions": f"id string, workspace_id string, name string, focus_state map<string,double>, {_STAMPS}",
+    "chat_sessions": f"id string, workspace_id string, name string, focus_state string, {_STAMPS}",
     "chat_messages": "id string, session_id string, role string, content string, mode_used string, metadata map<string,string>, created_at timestamp",
     "personas": f"id string, workspace_id string, name string, personality string, voice_style string, {_STAMPS}",
     "consciousness": "id string, workspace_id string, mood string, thought_summary string, focus_topics array<string>, created_at timestamp",

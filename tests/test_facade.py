@@ -91,3 +91,24 @@ def test_providers(spark):
     assert providers.with_retries(flaky, 3, 0)() == "ok"
     with pytest.raises(ZeroDivisionError):
         providers.with_retries(lambda: 1 / 0, 2, 0)()
+
+
+def test_agent(spark, tmp_path):
+    from lattice.agent import Agent
+
+    engine = Engine(spark, str(tmp_path / "a"))
+    engine.create_workspace("w")
+    engine.train("w", spark.createDataFrame([(1, "Cats sleep a lot. Dogs bark at night. Rain falls in spring.")], "doc_id bigint, text string"), least_chunk=10)
+    judged = F.lit("<decision>SEARCH</decision><query>Dogs bark at night.</query>")
+    agent = Agent(engine, "w", generate=lambda p: F.concat(F.lit("re: "), F.substring(p, 1, 4)), decide=lambda q: F.lit("Episodic, I think"), evaluate=lambda p: judged)
+    assert agent.mode("Cats?") == "episodic"
+    assert agent.chat("s", "Cats sleep a lot.") == "re: Cats"
+    agent.decide = None
+    assert agent.chat("s", "Dogs bark at night.").startswith("re: ")
+    focus = agent.focus("s")
+    assert focus and max(v[0] for v in focus.values()) == 1.5
+    agent.chat("s", "Rain?")
+    assert agent.history("s").count() == 6
+    found = agent.research("Cats?", rounds=2)
+    assert {r["round"] for r in found.select("round").distinct().collect()} == {1, 2}
+    assert agent.reflect("s")["mood"] == "Stable" and engine.store.latest("consciousness", ["workspace_id"]).count() == 1
