@@ -11,6 +11,9 @@ are shuffled once, by chunk; both branches below read that one exchange:
 
 So what is shuffled by word is a chunk's distinct words, compressed, not its occurrences; and no table grows in one place: the
 distinct-word table is as many parts as there are shuffle partitions, never broadcast or collected.
+
+Rows are expected in a repeatable order, as a file scan gives them: a chunk is named by its place and content, and a
+task that is run again after a loss must make the same chunks. Write the result of a shuffle before it is encoded.
 """
 
 from __future__ import annotations
