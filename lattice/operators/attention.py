@@ -5,6 +5,8 @@ All take many queries at once: a row per (query, concept), softmax and normalisa
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,16 +92,48 @@ def hierarchical(queries: DataFrame, concepts: DataFrame, members: DataFrame, un
         none = pairs.select("query_id", "unit_id", F.lit(None).cast(dict(members.dtypes)["concept_id"]).alias("concept_id"), F.lit(0.0).alias("concept_score"), F.lit(None).cast("int").alias("concept_rank"), "unit_score")
         return ranked(none, ["query_id"], [F.desc("unit_score"), F.col("unit_id")]).where(F.col("rank") <= k)
     chosen = coarse(queries, concepts, coarse_k, focus)
-    hits = members.join(F.broadcast(chosen), "concept_id") if coarse_k <= 100 and _few(queries) else members.join(chosen, "concept_id")
-    first = ranked(hits, ["query_id", "unit_id"], [F.col("concept_rank")], "_n").where("_n = 1").drop("_n")
-    scored = first.join(units.where("embedding is not null").select("unit_id", "embedding"), "unit_id").join(queries.select("query_id", "query_vector"), "query_id")
-    scored = scored.withColumn("unit_score", V.cosine_padded(F.col("embedding"), F.col("query_vector"))).drop("embedding", "query_vector")
-    return ranked(scored, ["query_id"], [F.desc(F.round("unit_score", 12)), F.col("unit_id")]).where(F.col("rank") <= k)
+    scored = _members_of(chosen, queries, members, units, k)
+    first = ranked(scored, ["query_id", "unit_id"], [F.col("concept_rank")], "_n").where("_n = 1").drop("_n")
+    return ranked(first, ["query_id"], [F.desc(F.round("unit_score", 12)), F.col("unit_id")]).where(F.col("rank") <= k)
 
 
-def _few(queries: DataFrame, most: int = 1000) -> bool:
-    """Whether the queries are so few that their chosen concepts may be broadcast; a bounded look."""
-    return queries.limit(most + 1).count() <= most
+def _members_of(chosen: DataFrame, queries: DataFrame, members: DataFrame, units: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
+    """chosen with unit_id and unit_score of the k best units of each chosen concept (and ties at the edge).
+
+    A query's best units are among the best of each concept that holds them, so no more need leave a concept. The queries
+    of a concept meet blocks of its units, a matrix product each; large concepts are several blocks.
+    """
+    held = members.join(units.where("embedding is not null").select("unit_id", V.doubles(F.col("embedding")).alias("v")), "unit_id")
+    most = members.groupBy("concept_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    blocks = max(1, -(-most // block_rows))
+    right = held.select("concept_id", F.pmod(F.xxhash64("unit_id"), F.lit(blocks)).alias("b"), "unit_id", "v")
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("b")
+    left = chosen.join(queries.select("query_id", V.doubles(F.col("query_vector")).alias("w")), "query_id").select("query_id", F.col("concept_id").alias("concept_id"), "concept_score", "concept_rank", "w", each)
+
+    def meet(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        columns = ["query_id", "concept_id", "concept_score", "concept_rank"]
+        if not len(asked) or not len(stored):
+            return pa.table({c: pa.array([], t) for c, t in zip([*columns, "unit_id", "unit_score"], types)})
+        q, u = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for t, c in ((asked, "w"), (stored, "v")))
+        length = np.sqrt((u * u).sum(axis=1))
+        rows, at, values = [], [], []
+        for cut_ in range(0, len(q), 512):
+            x = q[cut_ : cut_ + 512]
+            s = (x @ u.T) / (np.sqrt((x * x).sum(axis=1))[:, None] * length[None, :] + EPS)
+            keep = s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] - 1e-9 if k < len(u) else np.ones(s.shape, dtype=bool)
+            i, j = np.nonzero(keep)
+            rows.append(cut_ + i)
+            at.append(j)
+            values.append(s[i, j])
+        taken = asked.select(columns).take(pa.array(np.concatenate(rows)))
+        return taken.append_column("unit_id", stored.column("unit_id").take(pa.array(np.concatenate(at)))).append_column("unit_score", pa.array(np.concatenate(values)))
+
+    known = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    kinds = [dict(chosen.dtypes)["query_id"], dict(chosen.dtypes)["concept_id"], "double", "int", dict(members.dtypes)["unit_id"], "double"]
+    types = [known[x] for x in kinds]
+    names = ["query_id", "concept_id", "concept_score", "concept_rank", "unit_id", "unit_score"]
+    keys = ["concept_id", "b"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, ", ".join(f"{n} {t}" for n, t in zip(names, kinds)))
 
 
 def item_scores(hits: DataFrame, weight: float = 0.7) -> DataFrame:
