@@ -124,10 +124,10 @@ def list_parse(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(P.string_list(said), "|").alias("items"))
 
 
-@query("detailed_facts", "select event_id, event_type as aku, 0.8::double as confidence, '' as reasoning from events")
+@query("detailed_facts", "select event_id, event_type as fact, 0.8::double as confidence, '' as reasoning from events")
 def detailed_facts(spark, sf):
-    said = F.concat(F.lit('{"akus": ["'), F.col("event_type"), F.lit('"]}'))
-    return table(spark, sf, "events").select("event_id", P.detailed_facts(said).alias("d")).select("event_id", F.col("d.akus")[0].alias("aku"), F.col("d.confidence_scores")[0].alias("confidence"), "d.reasoning")
+    said = F.concat(F.lit('{"units": ["'), F.col("event_type"), F.lit('"]}'))
+    return table(spark, sf, "events").select("event_id", P.detailed_facts(said).alias("d")).select("event_id", F.col("d.units")[0].alias("fact"), F.col("d.confidence_scores")[0].alias("confidence"), "d.reasoning")
 
 
 @query("graph_parse", "select event_id, 'u' || user_id as src, event_type as dst, 1.0::double as weight from events union select event_id, event_type, 'u' || user_id, 1.0::double from events")

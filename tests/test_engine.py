@@ -41,7 +41,7 @@ def test_extraction_answers(spark):
     assert got("no json").asDict() == {"summary": "no json", "facts": []}
     assert one(spark, parse.string_list(F.lit('["a","b"]')).alias("f")).f == ["a", "b"]
     d = one(spark, parse.detailed_facts(F.lit("- a\n- b")).alias("d")).d
-    assert d.akus == ["a", "b"] and d.confidence_scores == [0.7, 0.7]
+    assert d.units == ["a", "b"] and d.confidence_scores == [0.7, 0.7]
 
 
 def test_query_graph(spark):
