@@ -7,10 +7,12 @@ connected components.
 
 Graph and search work on many vectors at once in NumPy: nodes are inserted in batches (each sees the graph so far and the
 rest of its batch), neighbours are chosen by the diversity heuristic, and a beam search advances all queries of a block
-together. Two things make the result safe. A query whose beam holds nothing but near copies has its beam doubled until
-it doesn't, so big groups are not cut off. And in each (shard, block) task an audit compares `audit_rows` of the queries
-with brute force: as long as less than `target` of their near copies were found, beams double, in the end up to the
-whole shard.
+together. Three things make the result safe. A shard's rows are first covered by balls of near copies, and the graph
+holds only the balls' leaders, so copies can't fill all links; a ball's other rows are compared exactly with the queries
+that can be near copies of them. A query whose beam holds nothing but near copies has its beam doubled until it doesn't,
+so big groups are not cut off. And for each pair of shards an audit compares queries with brute force until `audit_rows`
+of them, leaders first, have a partner other than themselves: as long as less than `target` of these queries find all of
+their partners, beams double, in the end up to the whole shard. Where partners are rare that compares all queries.
 
 Defined results: vectors that are null, of length 0, of another dimension than the most frequent one, or that hold a
 null or NaN are in no group; nor are null ids, which give no row. Of a repeated id the least vector counts. Empty tables
@@ -164,34 +166,97 @@ class Graph:
         return beam_search(self.x, self.layers[0], queries, entry, min(beam, len(self.x)))
 
 
-def near_pairs(graph: Graph, queries: np.ndarray, threshold: float, beam: int = BEAM, audit_rows: int = AUDIT_ROWS, target: float = TARGET, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, node) of cosine about threshold or more, beams widened until the audit passes."""
+def balls(x: np.ndarray, threshold: float) -> np.ndarray:
+    """For each row the row that leads it: itself, or the first leader of cosine threshold or more. Leaders are in no other's ball."""
+    high = np.float32(threshold + 1e-5)
+    lead, leaders = np.arange(len(x)), np.zeros(0, int)
+    for at in range(0, len(x), 512):
+        rows = np.arange(at, min(at + 512, len(x)))
+        if len(leaders):
+            near = x[rows] @ x[leaders].T >= high
+            lead[rows] = np.where(near.any(axis=1), leaders[near.argmax(axis=1)], rows)
+        rows = rows[lead[rows] == rows]
+        near = x[rows] @ x[rows].T >= high
+        free = np.ones(len(rows), dtype=bool)
+        for i in range(len(rows)):
+            if free[i]:
+                theirs = near[i] & free
+                theirs[: i + 1] = False
+                lead[rows[theirs]] = rows[i]
+                free[theirs] = False
+        leaders = np.concatenate([leaders, rows[free]])
+    return lead
+
+
+def near_pairs(graph: Graph, queries: np.ndarray, threshold: float, beam: int = BEAM, audit_rows: int = AUDIT_ROWS, target: float = TARGET, block: int = 256, own: np.ndarray | None = None, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, node) of cosine about threshold or more, beams widened until the audit passes.
+
+    own: the node that is the query itself, -1 for none. Queries are compared with brute force in the given order (else a
+    random one) until audit_rows of them have a partner other than themselves; those compared need no search.
+    """
     n = len(graph.x)
     low = np.float32(threshold - 1e-5)
-    audit = np.unique(np.linspace(0, len(queries) - 1, min(audit_rows, len(queries))).astype(int))
-    truth = queries[audit] @ graph.x.T >= low
-    expected = int(truth.sum())
+    own = np.full(len(queries), -1) if own is None else own
+    order = np.random.default_rng(len(queries)).permutation(len(queries)) if order is None else order
 
-    def find(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def exact(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r, node = np.nonzero(queries[rows] @ graph.x.T >= low)
+        return rows[r], node
+
+    def find(rows: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
         for at in range(0, len(rows), block):
             part, w = rows[at : at + block], width
             while len(part):
                 if w >= n:
-                    r, node = np.nonzero(queries[part] @ graph.x.T >= low)
-                    out.append((part[r], node))
+                    out.append(exact(part))
                     break
                 ids, sims = graph.search(queries[part], w)
                 full = sims[:, -1] >= low
                 r, c = np.nonzero((sims >= low) & ~full[:, None])
                 out.append((part[r], ids[r, c]))
                 part, w = part[full], 2 * w
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int))
-
-    while True:
-        if len(find(audit, beam)[0]) >= target * expected:
-            return find(np.arange(len(queries)), beam)
+        return out
+
+    def partners(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The number of partners of each query."""
+        return sum((np.bincount(r[node != own[r]], minlength=len(queries)) for r, node in found), np.zeros(len(queries), int))
+
+    known, at = [], 0
+    expected = partners(known)
+    while at < len(order) and (expected > 0).sum() < audit_rows:
+        known.append(exact(order[at : at + block]))
+        expected += partners(known[-1:])
+        at += block
+    audit, rest = np.flatnonzero(expected), order[at:]
+    while len(rest) and beam < n and (partners(find(audit, beam))[audit] >= expected[audit]).mean() < target:
         beam *= 2
+    found = known + find(rest, beam)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
+def ball_pairs(x: np.ndarray, lead: np.ndarray, queries: np.ndarray, threshold: float, step: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, row of x): for each query and ball whose leader is no near copy of it, a near copy among the rest, if there is one."""
+    rest = np.flatnonzero(lead != np.arange(len(lead)))
+    rest = rest[np.argsort(lead[rest], kind="stable")]
+    leaders, start = np.unique(lead[rest], return_index=True)
+    ends = np.append(start, len(rest))[1:]
+    wide = np.cos(min(np.pi, 2 * np.arccos(min(1.0, threshold)))) - 1e-3  # a near copy of a member is no farther from the leader
+    out = [(np.zeros(0, int), np.zeros(0, int))]
+    for at in range(0, len(queries), 1024):
+        q = queries[at : at + 1024]
+        near = q @ x[leaders].T
+        near = (near >= wide) & (near < threshold + 1e-5)
+        for b in np.flatnonzero(near.any(axis=0)):
+            rows, members = np.flatnonzero(near[:, b]), rest[start[b] : ends[b]]
+            theirs = x[members].astype(np.float64).T
+            for cut in range(0, len(rows), most := max(1, step // len(members))):
+                some = rows[cut : cut + most]
+                cosine = q[some].astype(np.float64) @ theirs
+                best = cosine.argmax(axis=1)
+                hit = cosine[np.arange(len(some)), best] >= threshold - 1e-7
+                out.append((some[hit] + at, members[best[hit]]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def near_duplicate_groups(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, links: int = LINKS, dim: int | None = None) -> DataFrame:
@@ -208,10 +273,11 @@ def near_duplicate_groups(vectors: DataFrame, threshold: float = THRESHOLD, shar
         length = np.linalg.norm(x, axis=1)
         some = length > 0
         unit = (x[some] / length[some, None]).astype(np.float32)
-        graph = Graph(unit, links)
-        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "ids": [rows["vec_id"].to_numpy()[some].tobytes()], "unit": [unit.tobytes()], "layers": [[layer.astype(np.int32).tobytes() for layer in graph.layers]], "top": [graph.top]})
+        lead = balls(unit, threshold)
+        graph = Graph(unit[np.unique(lead)], links)
+        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "ids": [rows["vec_id"].to_numpy()[some].tobytes()], "unit": [unit.tobytes()], "lead": [lead.astype(np.int32).tobytes()], "layers": [[layer.astype(np.int32).tobytes() for layer in graph.layers]], "top": [graph.top]})
 
-    graphs = written(points.select("vec_id", "embedding", shard).groupBy("shard").applyInPandas(build, "shard bigint, ids binary, unit binary, layers array<binary>, top int"), "graphs").repartition(shards, "shard")
+    graphs = written(points.select("vec_id", "embedding", shard).groupBy("shard").applyInPandas(build, "shard bigint, ids binary, unit binary, lead binary, layers array<binary>, top int"), "graphs").repartition(shards, "shard")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,18 +288,28 @@ def near_duplicate_groups(vectors: DataFrame, threshold: float = THRESHOLD, shar
                 if not len(theirs) or not len(mine):
                     continue
                 graph = Graph.__new__(Graph)
-                graph.x = np.frombuffer(get("unit"), dtype=np.float32).reshape(-1, dim)
+                x, lead, asking = np.frombuffer(get("unit"), dtype=np.float32).reshape(-1, dim), *(np.frombuffer(get(c), dtype=np.int32).astype(np.int64) for c in ("lead", "query_lead"))
+                leaders, line = np.unique(lead), np.arange(len(mine))
+                graph.x = x[leaders]
                 graph.layers = [np.frombuffer(b, dtype=np.int32).reshape(len(graph.x), -1).astype(np.int64) for b in get("layers")]
                 graph.top = get("top")
                 queries = np.frombuffer(get("query_unit"), dtype=np.float32).reshape(-1, dim)
-                r, node = near_pairs(graph, queries, threshold)
-                cosine = np.einsum("nd,nd->n", queries[r].astype(np.float64), graph.x[node].astype(np.float64))
+                own = np.full(len(mine), -1)
+                if get("shard") == get("query_shard"):
+                    own[leaders] = np.arange(len(leaders))
+                mixed = np.random.default_rng(len(mine)).permutation(len(mine))  # the audit takes leaders first: a big group counts once
+                r, node = near_pairs(graph, queries, threshold, own=own, order=mixed[np.argsort(asking[mixed] != mixed, kind="stable")])
+                found = [(r, leaders[node]), ball_pairs(x, lead, queries, threshold)]
+                if get("shard") == get("query_shard"):
+                    found.append((line, lead))
+                r, node = (np.concatenate(c) for c in zip(*found))
+                cosine = np.einsum("nd,nd->n", queries[r].astype(np.float64), x[node].astype(np.float64))
                 good = (cosine >= threshold - 1e-7) & (mine[r] != theirs[node])
                 pairs = list(forest(mine[r][good], theirs[node][good]))
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["src", "dst"])
 
-    asked = graphs.select(F.col("ids").alias("query_ids"), F.col("unit").alias("query_unit"))
-    edges = written(graphs.select("ids", "unit", "layers", "top").crossJoin(asked).mapInArrow(search, "src bigint, dst bigint"), "pairs")
+    asked = graphs.select(*(F.col(c).alias(f"query_{c}") for c in ("shard", "ids", "unit", "lead")))
+    edges = written(graphs.select("shard", "ids", "unit", "lead", "layers", "top").crossJoin(asked).mapInArrow(search, "src bigint, dst bigint"), "pairs")
     groups = connected_components(edges).select(F.col("vertex").alias("vec_id"), F.col("component").alias("group_id"))
     return ids.join(groups, "vec_id", "left").select("vec_id", F.coalesce("group_id", "vec_id").alias("group_id")).withColumn("is_kept", F.col("vec_id") == F.col("group_id"))
 

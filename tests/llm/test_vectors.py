@@ -107,3 +107,46 @@ def test_dedup_edge_cases(spark):
     found = {r.vec_id: r.group_id for r in hnsw_dedup.near_duplicate_groups(df).collect()}
     assert found == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 9: 0}
     assert hnsw_dedup.near_duplicate_groups(frame(spark, [], [])).count() == 0
+
+
+def beside_a_hot_group(noise, towards=0.8, seed=1, hot=3000, pairs=150):
+    """Vectors and each one's partner: -1 for none, -2 in the group of `hot` copies."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    near = lambda v, n: unit(v + n * unit(rng.normal(size=v.shape)))
+    one = unit(rng.normal(size=(1, 32)))
+    two = unit(unit(rng.normal(size=(pairs, 32))) + towards * one)
+    x = np.concatenate([near(np.repeat(one, hot, axis=0), noise), two, unit(rng.normal(size=(800, 32))), near(two, 0.1)])
+    mixed = rng.permutation(len(x))
+    place = np.argsort(mixed)
+    partner = np.full(len(x), -1)
+    partner[place[:hot]] = -2
+    first, last = place[hot : hot + pairs], place[-pairs:]
+    partner[first], partner[last] = last, first
+    return x[mixed].astype(np.float32), partner
+
+
+def test_pairs_beside_a_hot_group_are_found():
+    x, partner = beside_a_hot_group(0.05, 0.0)
+    rows = np.flatnonzero(partner >= 0)
+    asked = np.sort(np.concatenate([rows, np.flatnonzero(partner == -2)[:40]]))
+    r, node = hnsw_dedup.near_pairs(hnsw_dedup.Graph(x), x[asked], 0.95)
+    found = set(zip(asked[r].tolist(), node.tolist()))
+    assert np.mean([(i, partner[i]) in found for i in rows.tolist()]) >= 0.98
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.22])
+def test_groups_beside_a_hot_group_equal_brute_force(spark, noise):
+    x, _ = beside_a_hot_group(noise)
+    expected = groups_by_brute_force(x, 0.95)
+    found = {r.vec_id: r.group_id for r in hnsw_dedup.near_duplicate_groups(frame(spark, range(len(x)), x), shard_rows=2500).collect()}
+    assert sum(found[i] != expected[i] for i in range(len(x))) <= 0.01 * 150
+
+
+def test_members_of_a_ball_are_found_beyond_its_leader():
+    turn = lambda degrees: [np.cos(np.radians(degrees)), np.sin(np.radians(degrees))]
+    x = np.array([turn(0), turn(15), turn(90)], dtype=np.float32)
+    lead = hnsw_dedup.balls(x, 0.95)
+    assert lead.tolist() == [0, 0, 2]
+    r, node = hnsw_dedup.ball_pairs(x, lead, np.array([turn(30), turn(40)], dtype=np.float32), 0.95)
+    assert (r.tolist(), node.tolist()) == ([0], [1])
