@@ -99,21 +99,48 @@ def perturbations(functions: int, count: int) -> np.ndarray:
 
 
 def nearest(queries: np.ndarray, ids: np.ndarray, points: np.ndarray, point_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact (row, id, distance) of the k nearest points of each query, itself left out; ties by the lesser id."""
+    """Exact (row, id, distance) of the k nearest points of each query, itself left out; ties by the lesser id.
+
+    Every point whose rough distance is within the error bound of the k-th is ranked exactly.
+    """
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    squares = np.einsum("ij,ij->i", points, points, dtype=np.float64)
+    if len(points) > k + 1:  # of equal vectors only the k + 1 least ids can be among the k nearest
+        order = np.argsort(point_ids, kind="stable")
+        points, point_ids = np.ascontiguousarray(points[order]), point_ids[order]
+        same = np.unique(points.view(np.dtype((np.void, points.dtype.itemsize * points.shape[1]))).ravel(), return_inverse=True)[1] if points.shape[1] else np.zeros(len(points), int)
+        by = np.argsort(same, kind="stable")
+        start = np.flatnonzero(np.append(True, same[by][1:] != same[by][:-1]))
+        rank = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
+        keep = by[rank <= k]
+        points, point_ids = points[keep], point_ids[keep]
+    dim = points.shape[1]
+    centre = points.mean(axis=0, dtype=np.float64) if len(points) else 0.0
+    near = (points - centre).astype(np.float32)
+    squares = np.einsum("ij,ij->i", near, near, dtype=np.float64)
+    unsure = 4 * (dim + 8) * float(np.finfo(np.float32).eps)  # of the squared lengths, the error of a rough squared distance
     step = max(1, 4_000_000 // max(1, len(points)))
-    for at in range(0, len(queries), step):
+    few = min(len(points), k + 1)  # the query itself may be among them
+    for at in range(0, len(queries) if len(points) else 0, step):
         q = queries[at : at + step]
-        rough = squares - 2.0 * (q @ points.T)
-        few = min(len(points), k + 8)  # rough distances are float32: a few more than k are ranked exactly
-        some = np.argpartition(rough, few - 1, axis=1)[:, :few] if few < len(points) else np.broadcast_to(np.arange(len(points)), (len(q), len(points)))
-        exact = np.sqrt(((q[:, None, :].astype(np.float64) - points[some]) ** 2).sum(axis=2))
-        exact = np.where(point_ids[some] == ids[at : at + step, None], np.inf, np.round(exact, 6))
-        order = np.lexsort((point_ids[some], exact), axis=1)[:, :k]
-        found = np.take_along_axis(exact, order, axis=1)
-        row, _ = np.nonzero(np.isfinite(found))
-        out.append((row + at, point_ids[np.take_along_axis(some, order, axis=1)][np.isfinite(found)], found[np.isfinite(found)]))
+        moved = (q - centre).astype(np.float32)
+        lengths = np.einsum("ij,ij->i", moved, moved, dtype=np.float64)
+        rough = squares - 2.0 * (moved @ near.T)
+        kth = np.partition(rough + unsure * squares, few - 1, axis=1)[:, few - 1] + (1 + unsure) * lengths
+        limit = (np.sqrt(np.maximum(kth, 0)) + 2e-6) ** 2 - (1 - unsure) * lengths  # distances are compared by six decimals
+        row, point = np.nonzero(~(rough - unsure * squares > limit[:, None]))
+        exact = np.empty(len(row))
+        for cut in range(0, len(row), 100_000):
+            some = slice(cut, cut + 100_000)
+            gap = q[row[some]].astype(np.float64) - points[point[some]]
+            exact[some] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        other = point_ids[point] != ids[at : at + step][row]
+        row, neighbour, exact = row[other], point_ids[point[other]], np.round(exact[other], 6)
+        order = np.lexsort((neighbour, exact, row))
+        row = row[order]
+        start = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
+        best = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row)))) < k
+        order = order[best]
+        out.append((row[best] + at, neighbour[order], exact[order]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out))

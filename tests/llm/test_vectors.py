@@ -55,6 +55,28 @@ def test_ann_edge_cases(spark):
     assert ann.neighbours(frame(spark, [1], [[1, 2]])).count() == 0
 
 
+def test_ties_beyond_the_candidates_go_to_the_lesser_ids(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.tile(rng.normal(size=(1, 16)), (100, 1)), rng.normal(size=(100, 16))]).astype(np.float32)
+    ids = rng.permutation(1000)[: len(x)]
+    hot = np.sort(ids[:100])
+    row, neighbour, distance = ann.nearest(x, ids, x, ids, 10)
+    found = {i: neighbour[ids[row] == i].tolist() for i in ids.tolist()}
+    assert all(found[i] == [j for j in hot.tolist() if j != i][:10] for i in hot.tolist())
+    rows = ann.neighbours(frame(spark, ids, x)).where("rank <= 10").collect()
+    best = {(r.vec_id, r.rank): r.neighbour_id for r in rows}
+    assert all([best[i, n + 1] for n in range(10)] == found[i] for i in hot.tolist())
+
+
+@pytest.mark.parametrize("norm, noise", [(1.0, 1e-4), (1000.0, 0.05)])
+def test_dense_near_copies_are_ranked_exactly(norm, noise):
+    rng = np.random.default_rng(9)
+    x = (norm * np.ones((1, 16)) + noise * rng.normal(size=(400, 16))).astype(np.float32)
+    true, _ = true_neighbours(x, 10)
+    row, neighbour, _ = ann.nearest(x, np.arange(400), x, np.arange(400), 10)
+    assert all(set(neighbour[row == i].tolist()) == true[i] for i in range(400))
+
+
 def groups_by_brute_force(x, threshold):
     u = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1), 1e-30)[:, None]
     parent = list(range(len(x)))
