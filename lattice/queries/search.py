@@ -137,11 +137,16 @@ def signatures(spark, sf):
     return s.select(F.col("label").alias("concept_id"), F.struct(n.alias("triangle"), F.col("edges"), F.col("nodes")).alias("graphlets"), F.struct("mean_degree", "std_degree").alias("degree_stats"))
 
 
-def structure(spark, sf):
-    """(concept_id, pattern_similarity) to the signature of label 0: its graphlets and degrees."""
+def structures(spark, sf):
+    """(query_label, concept_id, pattern_similarity) of every signature to every other: graphlets and degrees."""
     s = signatures(spark, sf)
-    q = s.where("concept_id = 0").select(F.col("graphlets").alias("qg"), F.col("degree_stats").alias("qd"))
-    return s.crossJoin(q).select("concept_id", clusters.combine_features([(0.3, clusters.graphlet_similarity(F.col("qg"), F.col("graphlets"), ("triangle", "edges", "nodes"))), (0.2, clusters.degree_similarity(F.col("qd"), F.col("degree_stats")))]).alias("pattern_similarity"))
+    q = s.select(F.col("concept_id").alias("query_label"), F.col("graphlets").alias("qg"), F.col("degree_stats").alias("qd"))
+    return s.crossJoin(q).select("query_label", "concept_id", clusters.combine_features([(0.3, clusters.graphlet_similarity(F.col("qg"), F.col("graphlets"), ("triangle", "edges", "nodes"))), (0.2, clusters.degree_similarity(F.col("qd"), F.col("degree_stats")))]).alias("pattern_similarity"))
+
+
+def structure(spark, sf):
+    """(concept_id, pattern_similarity) to the signature of label 0, as the SQL of the queries below has it."""
+    return structures(spark, sf).where("query_label = 0").drop("query_label")
 
 
 @query("pattern_similarity", f"with {U}, {STRUCTURAL} select g as concept_id, round(x, 6) as pattern_similarity from ps")
@@ -185,6 +190,45 @@ def attention_debug(spark, sf):
     return rounded(attention.debug_report(heads(spark, sf)), "raw", "normalized")
 
 
+# The same with every label's signature as a query, and each unit ranked by the structure of its own label.
+
+STRUCTURES = STRUCTURAL.replace("select y.g,", "select x.g as query_label, y.g,").replace(" where x.g = 0", "").replace("select g as concept_id", "select query_label, g as concept_id").replace("over () as structural", "over (partition by query_label) as structural")
+
+
+def _by_label_sql(weights):
+    own = "h as (select query_id, concept_id, semantic, structural, temporal from semantic join temporal using (concept_id) join structural using (concept_id) join u on u.unit_id = query_id and u.label = query_label)"
+    return _combined_sql(weights).replace(STRUCTURAL, STRUCTURES).replace("h as (select * from semantic join temporal using (concept_id) join structural using (concept_id))", own)
+
+
+def heads_by_label(spark, sf):
+    labels = units(spark, sf).select(F.col("unit_id").alias("query_id"), F.col("label").alias("query_label"))
+    pairs = all_pairs(spark, sf).join(labels, "query_id").join(times(spark, sf), "concept_id", "left").join(structures(spark, sf), ["query_label", "concept_id"]).crossJoin(F.broadcast(now(spark, sf)))
+    return attention.structural_head(attention.temporal_head(attention.semantic_head(pairs)))
+
+
+@query("pattern_similarity_all_labels", f"with {U}, {STRUCTURES} select query_label, g as concept_id, round(x, 6) as pattern_similarity from ps")
+def pattern_similarity_all_labels(spark, sf):
+    return rounded(structures(spark, sf), "pattern_similarity")
+
+
+@query("structural_head_all_labels", f"with {U}, {STRUCTURES} select query_label, concept_id, round(structural, 6) as structural from structural")
+def structural_head_all_labels(spark, sf):
+    return rounded(attention.structural_head(structures(spark, sf), by="query_label").select("query_label", "concept_id", "structural"), "structural")
+
+
+TOP = " select query_id, concept_id, round(score, 6) as score, cast(row_number() over (partition by query_id order by score desc, concept_id) as integer) as rank from n qualify rank <= 5"
+
+
+@query("combined_heads_all_labels", _by_label_sql(attention.FIXED) + TOP)
+def combined_heads_all_labels(spark, sf):
+    return rounded(attention.combine_heads(heads_by_label(spark, sf), k=5).select("query_id", "concept_id", "score", "rank"), "score")
+
+
+@query("combined_heads_adaptive_all_labels", _by_label_sql(attention.ADAPTIVE) + TOP)
+def combined_heads_adaptive_all_labels(spark, sf):
+    return rounded(attention.combine_heads(heads_by_label(spark, sf), attention.ADAPTIVE, k=5).select("query_id", "concept_id", "score", "rank"), "score")
+
+
 @query("attention_weights_valid", f"with {SEMANTIC} select query_id, round(sum(semantic), 6) as sum, round(min(semantic), 6) as min, round(max(semantic), 6) as max, abs(sum(semantic) - 1) < 1e-6 as is_normalized, round(max(semantic) - min(semantic), 6) as range from semantic group by query_id")
 def attention_weights_valid(spark, sf):
     return rounded(attention.validate_weights(attention.semantic_head(all_pairs(spark, sf)), ["query_id"], "semantic"), "sum", "min", "max", "range")
