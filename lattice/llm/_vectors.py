@@ -9,23 +9,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattice.llm._shared import written
 
-def usable(vectors: DataFrame, dim: int) -> Column:
-    """Rows of an id and a vector of dim entries, none of them null or NaN."""
-    v = F.col("embedding").cast("array<double>")
-    return F.col("vec_id").isNotNull() & F.coalesce((F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+
+def usable(dim: int) -> Column:
+    """Rows of an id and a vector of dim entries, none of them null, NaN or infinite."""
+    v = F.col("embedding")
+    return F.col("vec_id").isNotNull() & F.coalesce((F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
 
 
 def clean(vectors: DataFrame, dim: int | None) -> tuple[DataFrame, int]:
     """(vec_id, embedding array<float>) of the usable rows, one for each vec_id (the least vector of repeats), and the dimension.
 
     dim None: the most frequent dimension of the table, the greater of equally frequent ones; 0 for an empty table.
+    Vectors are shuffled only where ids repeat, and only those of repeated ids.
     """
     slim = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     if dim is None:
         sizes = slim.where("embedding is not null").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
         dim = sizes["dim"] if sizes else 0
-    return slim.where(usable(slim, dim)).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), dim
+    good = slim.where(usable(dim))
+    repeated = written(good.groupBy("vec_id").count().where("count > 1").select("vec_id"), "repeated")
+    if repeated.isEmpty():
+        return good, dim
+    least = good.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return good.join(repeated, "vec_id", "left_anti").unionByName(least), dim
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:

@@ -122,12 +122,41 @@ def test_beams_widen_for_groups_larger_than_the_beam():
     assert len(r) >= 0.98 * true
 
 
+def test_planted_queries_have_the_cosine_asked_for():
+    x = clustered(300, 16, 6)
+    asked = hnsw_dedup.planted(x, 0.95, 50)
+    best = (asked.astype(float) @ x.astype(float).T).max(axis=1)
+    assert (best >= 0.95 - 1e-6).all() and abs(np.linalg.norm(asked, axis=1) - 1).max() < 1e-5
+
+
+def test_marks_and_beams_equal_a_plain_search():
+    """With a beam as wide as a connected graph, the search gives every node by its cosine."""
+    x = clustered(120, 8, 9)
+    graph = hnsw_dedup.Graph(x)
+    ids, sims = graph.search(x[:30], 120)
+    assert all(sorted(row[row >= 0].tolist()) == sorted(set(row[row >= 0].tolist())) for row in ids)
+    assert all(np.allclose(s[i >= 0], x[q] @ x[i[i >= 0]].T, atol=1e-5) for q, (i, s) in enumerate(zip(ids, sims)))
+    assert (ids >= 0).mean() > 0.9
+
+
+def test_leaders_in_a_graph_of_their_own():
+    """Balls of which no leader is near the query: the second graph finds those that comparing all leaders finds."""
+    rng = np.random.default_rng(7)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    heads = unit(rng.normal(size=(600, 24)))
+    x = np.concatenate([heads, unit(heads + 0.3 * unit(rng.normal(size=heads.shape)))]).astype(np.float32)
+    asked = unit(x[600:] + 0.3 * unit(rng.normal(size=heads.shape))).astype(np.float32)
+    lead = np.concatenate([np.arange(600), np.arange(600)])
+    plain, by_graph = (set(zip(*(c.tolist() for c in hnsw_dedup.ball_pairs(x, lead, asked, 0.95, g)))) for g in (None, hnsw_dedup.Graph(x[:600])))
+    assert by_graph <= plain and len(by_graph) >= 0.99 * len(plain) > 100
+
+
 def test_dedup_edge_cases(spark):
-    x = [[1, 0], [1, 0], [0, 1], None, [1, None], [float("nan"), 0], [1, 2, 3], [0, 0], [2, 2], [3, 0]]
-    ids = [0, 1, 2, 3, 4, 5, 6, 7, None, 9]
+    x = [[1, 0], [1, 0], [0, 1], None, [1, None], [float("nan"), 0], [1, 2, 3], [0, 0], [2, 2], [3, 0], [float("inf"), 1]]
+    ids = [0, 1, 2, 3, 4, 5, 6, 7, None, 9, 10]
     df = frame(spark, ids, x).selectExpr("*", "1 as group_id", "2 as shard", "3 as ids")
     found = {r.vec_id: r.group_id for r in hnsw_dedup.near_duplicate_groups(df).collect()}
-    assert found == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 9: 0}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 9: 0, 10: 10}
     assert hnsw_dedup.near_duplicate_groups(frame(spark, [], [])).count() == 0
 
 
@@ -168,7 +197,8 @@ def test_groups_beside_a_hot_group_equal_brute_force(spark, noise):
 def test_members_of_a_ball_are_found_beyond_its_leader():
     turn = lambda degrees: [np.cos(np.radians(degrees)), np.sin(np.radians(degrees))]
     x = np.array([turn(0), turn(15), turn(90)], dtype=np.float32)
-    lead = hnsw_dedup.balls(x, 0.95)
-    assert lead.tolist() == [0, 0, 2]
+    lead = hnsw_dedup.Graph(x, threshold=0.95).lead
+    assert lead[2] == 2 and lead[0] == lead[1]
+    lead = np.array([0, 0, 2])
     r, node = hnsw_dedup.ball_pairs(x, lead, np.array([turn(30), turn(40)], dtype=np.float32), 0.95)
     assert (r.tolist(), node.tolist()) == ([0], [1])
