@@ -59,7 +59,7 @@ MIT | available | available under the (terms of the )?mit license
 ISC | permission | permission to use, copy, modify,? and/?(or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
 0BSD | permission | permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted\.
 BSD-Source-Code | redistribution | redistribution and use in source and binary forms,? with or without modification,? are permitted provided that the following conditions are met
-BSD-3-Clause | neither | neither the name of [^.\n]{1,120} may be used to endorse or promote products derived from this software without specific prior written permission
+BSD-3-Clause | neither | neither the name of [\s\S]{1,200}? may be used to endorse or promote products derived from this software without specific prior written permission
 BSD-4-Clause | advertising | all advertising materials mentioning features or use of this software must display the following acknowledgement
 BSD-2-Clause | licensed | licensed under the (simplified|2-clause) bsd license
 BSD-3-Clause | licensed | licensed under the (modified|new|revised|3-clause) bsd license
@@ -100,7 +100,7 @@ BUSL-1.1 | business | use of this software is governed by the business source li
 Elastic-2.0 | elastic | licensed under the elastic license 2\.0
 ODbL-1.0 | open | made available under the open database license
 Proprietary | proprietary | proprietary and confidential
-Proprietary | unauthorized | unauthorized (copying|use|distribution)[^.\n]{0,60} is strictly prohibited
+Proprietary | unauthorized | unauthorized (copying|use|distribution)[\s\S]{0,80}? is strictly prohibited
 All-Rights-Reserved | rights | copyright [^\n]{0,80}all rights reserved
 Public-Domain | dedicated | dedicated to the public domain
 Public-Domain | placed | placed in the public domain

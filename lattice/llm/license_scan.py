@@ -12,6 +12,7 @@ give the detections of each row. Other columns are ignored. Offsets count charac
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,9 +48,15 @@ def rules(text: str = RULES) -> list[Rule]:
 def suppress(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     """Detections (start, end, rule) without those within one that comes first, in the order of their places."""
     taken: list[tuple[int, int, Rule]] = []
+    starts: list[int] = []  # of the detections taken that lie in no other taken one: both ends ascend
+    ends: list[int] = []
     for start, end, rule in sorted(found, key=lambda d: (d[2].priority, d[0] - d[1], d[0], d[2].number)):
-        if not any(s <= start and end <= e for s, e, _ in taken):
-            taken.append((start, end, rule))
+        at = bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        taken.append((start, end, rule))
+        low, high = bisect_left(starts, start), bisect_right(ends, end)  # those within this one
+        starts[low : max(low, high)], ends[low : max(low, high)] = [start], [end]
     return sorted(taken, key=lambda d: (d[0], d[1], d[2].number))
 
 

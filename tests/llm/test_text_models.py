@@ -141,6 +141,32 @@ def test_scan_equals_brute_force(spark):
         assert sorted(out.get(i, [])) == by_brute_force(t), t
 
 
+def test_wrapped_license_text():
+    """The third clause as license files wrap it, with a holder's name that has a full stop."""
+    text = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+3. Neither the name of Acme Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+    found = license_scan.Scanner(license_scan.rules()).scan(text)
+    assert [r.license_id for *_, r in found] == ["BSD-Source-Code", "BSD-3-Clause"]
+
+
+def test_suppression_equals_its_definition():
+    rng = random.Random(7)
+    rules = license_scan.rules()
+    for _ in range(400):
+        found = [(a, a + rng.randint(1, 12), rng.choice(rules)) for a in (rng.randint(0, 30) for _ in range(rng.randint(0, 25)))]
+        taken = []
+        for d in sorted(found, key=lambda d: (d[2].priority, d[0] - d[1], d[0], d[2].number)):
+            if not any(t[0] <= d[0] and d[1] <= t[1] for t in taken):
+                taken.append(d)
+        assert license_scan.suppress(found) == sorted(taken, key=lambda d: (d[0], d[1], d[2].number))
+    many = [(2 * i, 2 * i + 1, rules[0]) for i in range(200_000)]
+    assert license_scan.suppress(many) == many
+
+
 def test_keywords_are_in_every_match():
     import re
 
