@@ -210,32 +210,36 @@ def plan(docs: DataFrame, members: Column, weights: dict[str, float] | None = No
     return Plan([(p, int(k), bound.get(p)) for p, (k, _) in sorted(parts.items())], flow)
 
 
-def _repeats(docs: DataFrame, members: Column, made: Plan, seed: str, keep_unmatched: bool) -> Column:
-    """How often a row is drawn, by the plan's bounds (a map with one entry a pattern)."""
-    rows = [F.lit(x) for p, k, b in made.bounds for x in (p, k)]
-    ends = [F.lit(x) for p, k, b in made.bounds if b is not None for x in (p, b)]
-    pattern = F.array_join(members, _SEPARATOR)
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("bigint")
-    times = F.coalesce(F.create_map(*rows)[pattern], F.lit(0)) if rows else F.lit(0)
-    more = F.coalesce((draw <= F.create_map(*ends)[pattern]).cast("int"), F.lit(0)) if ends else F.lit(0)
-    drawn = F.when(token_estimate() > 0, times + more).otherwise(0)
-    return F.when(F.size(members) == 0, F.lit(int(keep_unmatched))).otherwise(drawn).cast("int")
+def _drawn(docs: DataFrame, members: Column, made: Plan, seed: str, keep_unmatched: bool) -> tuple[DataFrame, list[str]]:
+    """docs with columns of new names (the second value): how often a row is drawn, its pattern and its tokens.
+
+    The plan is broadcast: a row a pattern, max_patterns at most.
+    """
+    times, pattern, tokens, draw, passes, bound = names = [f"_{uuid.uuid4().hex}" for _ in range(6)]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(made.bounds, f"{pattern} string, {passes} bigint, {bound} bigint"))
+    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("bigint")
+    rows = docs.withColumns({pattern: F.array_join(members, _SEPARATOR), tokens: token_estimate(), draw: hashed}).join(bounds, pattern, "left")
+    drawn = F.coalesce(F.col(passes), F.lit(0)) + F.coalesce((F.col(draw) <= F.col(bound)).cast("int"), F.lit(0))
+    often = F.when(F.col(pattern) == "", F.lit(int(keep_unmatched))).when(F.col(tokens) > 0, drawn).otherwise(0)
+    return rows.withColumn(times, often.cast("int")).select(*docs.columns, times, pattern, tokens), names[:3]
 
 
 def repeats(docs: DataFrame, members: Column | None = None, seed: str = SEED, **options) -> DataFrame:
     """(doc_id, pattern, tokens, repeats) of every row; repeats is how often it is drawn."""
     members = memberships() if members is None else members
     made = plan(docs, members, seed=seed, **options)
-    return docs.select("doc_id", F.array_join(members, "+").alias("pattern"), token_estimate().alias("tokens"), _repeats(docs, members, made, seed, False).alias("repeats"))
+    rows, (times, pattern, tokens) = _drawn(docs.select("doc_id", members.alias("members"), "text"), F.col("members"), made, seed, False)
+    return rows.select("doc_id", F.translate(pattern, _SEPARATOR, "+").alias("pattern"), F.col(tokens).alias("tokens"), F.col(times).alias("repeats"))
 
 
 def draw(docs: DataFrame, members: Column | None = None, seed: str = SEED, keep_unmatched: bool = False, **options) -> DataFrame:
     """The rows of docs, each as often as it is drawn, with the columns of docs."""
     members = memberships() if members is None else members
     made = plan(docs, members, seed=seed, **options)
-    times = _repeats(docs, members, made, seed, keep_unmatched)
+    rows, (times, _, _) = _drawn(docs, members, made, seed, keep_unmatched)
     copy = f"_{uuid.uuid4().hex}"  # clashes with no column
-    return docs.select("*", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))).alias(copy)).drop(copy)
+    each = F.explode(F.when(F.col(times) > 0, F.sequence(F.lit(1), F.col(times))).otherwise(F.array().cast("array<int>"))).alias(copy)
+    return rows.select(*docs.columns, each).drop(copy)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
