@@ -44,7 +44,7 @@ class Agent:
         results = cut(engine.retrieve(self.workspace, {"q": question}, mode, k, focus=self._concept_focus(kept) if items else None))
         asked = spark.createDataFrame([("q", question)], "query_id string, query_text string")
         reply = retrieve.answer(asked, results, self.generate, self.most_tokens).first()["answer"]
-        found = [r["id"] for r in results.where("layer = 'units'").orderBy("rank").select("id").limit(20).collect()]
+        found = [r["id"] for r in results.where("layer = 'units'").orderBy("rank").select("id").collect()]  # at most k
         items = state.update_focus(items, time.time(), found, "activate")
         engine.store.upsert("chat_sessions", spark.createDataFrame([(session, self.workspace, question[:30], json.dumps(items))], "id string, workspace_id string, name string, focus_state string"), ["id"])
         for role, content in (("user", question), ("assistant", reply)):

@@ -98,9 +98,9 @@ def md5_vector(text: Column, dim: int = 16) -> Column:
     """The 16 bytes of the MD5 over 255, padded with zeros (or cut) to dim: a deterministic stand-in for an embedding."""
 
     def numbers(digest: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(min(dim, 16) - 1)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0)
+        return F.array(*[F.ascii(F.substring(digest, i + 1, 1)) / 255.0 for i in range(min(dim, 16))])
 
-    head = bind(F.md5(F.coalesce(text, F.lit(""))), numbers)
+    head = bind(F.decode(F.unhex(F.md5(F.coalesce(text, F.lit("")))), "ISO-8859-1"), numbers)  # a character a byte
     return F.concat(head, F.array_repeat(F.lit(0.0), dim - 16)) if dim > 16 else head
 
 

@@ -5,13 +5,15 @@ All take many queries at once: a row per (query, concept), softmax and normalisa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattice.functions import vectors as V
-from lattice.operators.similarity import ranked
+from lattice.operators.similarity import ranked, search, usable
 
 EPS = 1e-8
 FIXED = {"semantic": 0.4, "structural": 0.4, "temporal": 0.2}
@@ -73,12 +75,12 @@ def focus_weights(members: DataFrame, focus: DataFrame) -> DataFrame:
 
 def coarse(queries: DataFrame, concepts: DataFrame, k: int = 5, focus: DataFrame | None = None, factor: float = 0.5) -> DataFrame:
     """Stage one: (query_id, concept_id, concept_score, concept_rank) of the k best concepts."""
-    pairs = concepts.where("centroid is not null").crossJoin(queries.select("query_id", "query_vector"))
-    score = V.cosine_padded(F.col("centroid"), F.col("query_vector"))
+    bonus = None
     if focus is not None:
-        pairs = pairs.join(focus, "concept_id", "left")
-        score = score + factor * F.coalesce("focus", F.lit(0.0))
-    return ranked(pairs.select("query_id", "concept_id", score.alias("concept_score")), ["query_id"], [F.desc(F.round("concept_score", 12)), F.col("concept_id")], "concept_rank").where(F.col("concept_rank") <= k)
+        bonus = "_bonus"
+        concepts = concepts.join(focus.select("concept_id", (factor * F.coalesce("focus", F.lit(0.0))).alias(bonus)), "concept_id", "left")
+    found = search(queries.select("query_id", F.col("query_vector").alias("embedding")), concepts, k, metric="cosine_padded", key="concept_id", vector="centroid", bonus=bonus)
+    return found.select("query_id", "concept_id", F.col("similarity").alias("concept_score"), F.col("rank").alias("concept_rank"))
 
 
 def hierarchical(queries: DataFrame, concepts: DataFrame, members: DataFrame, units: DataFrame, coarse_k: int = 5, k: int = 10, focus: DataFrame | None = None) -> DataFrame:
@@ -88,9 +90,8 @@ def hierarchical(queries: DataFrame, concepts: DataFrame, members: DataFrame, un
     stays with the best ranked. Where there is no concept at all, units of similarity 0.5 or more are returned, of no concept.
     """
     if concepts.isEmpty():
-        pairs = units.where("embedding is not null").crossJoin(queries.select("query_id", "query_vector")).select("query_id", "unit_id", V.cosine(F.col("embedding"), F.col("query_vector")).alias("unit_score")).where("unit_score >= 0.5")
-        none = pairs.select("query_id", "unit_id", F.lit(None).cast(dict(members.dtypes)["concept_id"]).alias("concept_id"), F.lit(0.0).alias("concept_score"), F.lit(None).cast("int").alias("concept_rank"), "unit_score")
-        return ranked(none, ["query_id"], [F.desc("unit_score"), F.col("unit_id")]).where(F.col("rank") <= k)
+        found = search(queries.select("query_id", F.col("query_vector").alias("embedding")), units, k, 0.5)
+        return found.select("query_id", "unit_id", F.lit(None).cast(dict(members.dtypes)["concept_id"]).alias("concept_id"), F.lit(0.0).alias("concept_score"), F.lit(None).cast("int").alias("concept_rank"), F.col("similarity").alias("unit_score"), "rank")
     chosen = coarse(queries, concepts, coarse_k, focus)
     scored = _members_of(chosen, queries, members, units, k)
     first = ranked(scored, ["query_id", "unit_id"], [F.col("concept_rank")], "_n").where("_n = 1").drop("_n")
@@ -103,12 +104,12 @@ def _members_of(chosen: DataFrame, queries: DataFrame, members: DataFrame, units
     A query's best units are among the best of each concept that holds them, so no more need leave a concept. The queries
     of a concept meet blocks of its units, a matrix product each; large concepts are several blocks.
     """
-    held = members.join(units.where("embedding is not null").select("unit_id", V.doubles(F.col("embedding")).alias("v")), "unit_id")
+    held = members.join(usable(units.select(F.col("unit_id").alias("id"), V.doubles(F.col("embedding")).alias("v"))).withColumnRenamed("id", "unit_id"), "unit_id")
     most = members.groupBy("concept_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     blocks = max(1, -(-most // block_rows))
-    right = held.select("concept_id", F.pmod(F.xxhash64("unit_id"), F.lit(blocks)).alias("b"), "unit_id", "v")
+    right = held.select("concept_id", F.size("v").alias("dim"), F.pmod(F.xxhash64("unit_id"), F.lit(blocks)).alias("b"), "unit_id", "v")
     each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("b")
-    left = chosen.join(queries.select("query_id", V.doubles(F.col("query_vector")).alias("w")), "query_id").select("query_id", F.col("concept_id").alias("concept_id"), "concept_score", "concept_rank", "w", each)
+    left = chosen.join(queries.select("query_id", V.doubles(F.col("query_vector")).alias("w")), "query_id").select("query_id", F.col("concept_id").alias("concept_id"), "concept_score", "concept_rank", "w", F.size("w").alias("dim"), each)
 
     def meet(asked: pa.Table, stored: pa.Table) -> pa.Table:
         columns = ["query_id", "concept_id", "concept_score", "concept_rank"]
@@ -132,7 +133,7 @@ def _members_of(chosen: DataFrame, queries: DataFrame, members: DataFrame, units
     kinds = [dict(chosen.dtypes)["query_id"], dict(chosen.dtypes)["concept_id"], "double", "int", dict(members.dtypes)["unit_id"], "double"]
     types = [known[x] for x in kinds]
     names = ["query_id", "concept_id", "concept_score", "concept_rank", "unit_id", "unit_score"]
-    keys = ["concept_id", "b"]
+    keys = ["concept_id", "dim", "b"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, ", ".join(f"{n} {t}" for n, t in zip(names, kinds)))
 
 
@@ -147,18 +148,95 @@ def coarse_scores(query: Column, vectors: DataFrame, k: int = 5, connectivity: s
     return vectors.withColumn("score", score * F.col(connectivity) if connectivity else score).orderBy(F.desc("score"), key).limit(k)
 
 
-def graph_attention(edges: DataFrame, values: DataFrame, key: str = "id", vector: str = "embedding", scale: float | None = None) -> DataFrame:
+_PARTIAL = "most double, total double, attended array<double>"
+
+
+def _merge(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, attended): partial softmax sums (greatest score, sum of exponentials, weighted sum of vectors) joined to whole ones."""
+    kinds = dict(parts.dtypes)
+
+    def one(rows: pa.Table) -> pa.Table:
+        most, total = (rows.column(c).to_numpy() for c in ("most", "total"))
+        x = rows.column("attended").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        weight = np.exp(most - most.max())
+        value = (weight @ x) / (weight @ total)
+        return pa.table({**{c: rows.column(c).slice(0, 1) for c in keys}, "attended": pa.array([value.tolist()], pa.list_(pa.float64()))})
+
+    return parts.groupBy(*keys).applyInArrow(one, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", attended array<double>")
+
+
+def graph_attention(edges: DataFrame, values: DataFrame, key: str = "id", vector: str = "embedding", scale: float | None = None, salts: int = 32) -> DataFrame:
     """(id, attended): for each source of an edge, softmax over its targets of q.k / scale, then the weighted sum of their vectors.
 
-    scale defaults to the root of the dimension. This is sparse attention over the edges, without learned projections.
+    scale defaults to the root of the dimension. This is sparse attention over the edges, without learned projections. The
+    targets of a source are summed in `salts` parts that are joined afterwards, so a hub is not one task.
     """
     q = values.select(F.col(key).alias("src"), V.doubles(F.col(vector)).alias("q"))
     v = values.select(F.col(key).alias("dst"), V.doubles(F.col(vector)).alias("v"))
     by = F.sqrt(F.size("q").cast("double")) if scale is None else F.lit(scale)
-    scored = edges.select("src", "dst").distinct().join(q, "src").join(v, "dst").withColumn("_s", V.dot(F.col("q"), F.col("v")) / by)
-    weighed = softmax_over(scored, "_s", ["src"], "weight").select("src", "weight", F.posexplode("v").alias("pos", "x"))
-    sums = weighed.groupBy("src", "pos").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
-    return sums.groupBy(F.col("src").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("attended"))
+    scored = edges.select("src", "dst").distinct().join(q, "src").join(v, "dst").select("src", F.pmod(F.xxhash64("dst"), F.lit(salts)).alias("salt"), (V.dot(F.col("q"), F.col("v")) / by).alias("s"), "v").where("s is not null")
+    kind = dict(scored.dtypes)["src"]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode()
+            at, s = coded.indices.to_numpy(), batch.column(2).to_numpy()
+            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1) if len(s) else np.zeros((0, 0))
+            n = len(coded.dictionary)
+            most = np.full(n, -np.inf)
+            np.maximum.at(most, at, s)
+            w = np.exp(s - most[at])
+            sums = np.zeros((n, x.shape[1]))
+            np.add.at(sums, at, w[:, None] * x)
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(most), pa.array(np.bincount(at, weights=w, minlength=n)), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["src", "most", "total", "attended"])
+
+    parts = scored.repartition("src", "salt").mapInArrow(part, f"src {kind}, {_PARTIAL}")
+    return _merge(parts, ["src"]).withColumnRenamed("src", "id")
+
+
+def multi_head_attend(values: DataFrame, heads: int = 8, projections: dict[str, np.ndarray] | None = None, key: str = "id", vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
+    """(id, attended): scaled dot-product attention of every row to all rows, by heads, which are then joined again.
+
+    projections: matrices query, key, value and output (vector times matrix); what is missing is the identity. Blocks of
+    queries meet blocks of keys and send on partial softmax sums, so nothing of rows x rows is held or shuffled.
+    """
+    given = {name: np.asarray(m, dtype=float) for name, m in (projections or {}).items()}
+    n = values.count()
+    blocks = max(1, -(-n // block_rows))
+    base = usable(values.select(F.col(key).alias("id"), V.doubles(F.col(vector)).alias("v"))).select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("other")
+    left, right = (base.select("*", other).select(F.col("dim").alias("dim"), F.col(x).alias("a"), F.col(y).alias("b"), F.col("id").alias("id"), F.col("v").alias("v")) for x, y in (("own", "other"), ("other", "own")))
+    kind = dict(values.dtypes)[key]
+
+    def project(x: np.ndarray, name: str) -> np.ndarray:
+        return x @ given[name] if name in given else x
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(a) and len(b):
+            q, k = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for t in (a, b))
+            q, k, v = project(q, "query"), project(k, "key"), project(k, "value")
+            size, wide = q.shape[1] // heads, v.shape[1] // heads
+            for h in range(heads):
+                s = q[:, h * size : (h + 1) * size] @ k[:, h * size : (h + 1) * size].T / np.sqrt(size)
+                most = s.max(axis=1)
+                w = np.exp(s - most[:, None])
+                out.append((h, most, w.sum(axis=1), w @ v[:, h * wide : (h + 1) * wide]))
+        ids = a.column("id").combine_chunks()
+        return pa.table({
+            "id": pa.concat_arrays([ids] * len(out)) if out else ids.slice(0, 0),
+            "head": pa.array(np.repeat([o[0] for o in out], len(a)).astype(np.int32)),
+            "most": pa.array(np.concatenate([np.zeros(0), *(o[1] for o in out)])),
+            "total": pa.array(np.concatenate([np.zeros(0), *(o[2] for o in out)])),
+            "attended": pa.array([row for o in out for row in o[3].tolist()], pa.list_(pa.float64())),
+        })
+
+    parts = left.groupBy("dim", "a", "b").cogroup(right.groupBy("dim", "a", "b")).applyInArrow(meet, f"id {kind}, head int, {_PARTIAL}")
+    whole = _merge(parts, ["id", "head"]).groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("head", "attended"))), lambda x: x["attended"])).alias("attended"))
+    if "output" not in given:
+        return whole
+    columns = [F.array(*[F.lit(float(x)) for x in column]) for column in given["output"].T]
+    return whole.select("id", F.array(*[V.dot(F.col("attended"), c) for c in columns]).alias("attended"))
 
 
 def attention_weights(edges: DataFrame, values: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:

@@ -148,43 +148,84 @@ def graphlets(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def random_walk_stats(edges: DataFrame, vertices: DataFrame, length: int = 5) -> DataFrame:
-    """One row: the mean diagonal of P**length (return probability) and the population std of its column sums (path diversity)."""
+    """One row: the mean diagonal of P**length (return probability) and the population std of its column sums (path diversity).
+
+    Column sums take one vector product a step; the diagonal comes from the halves of the power, so that for 5 steps no
+    more than P**3 is filled.
+    """
     summed = sum_duplicates(edges)
     p = cut(summed.withColumn("p", F.col("weight") / F.nullif(F.sum("weight").over(Window.partitionBy("src")), F.lit(0.0))).where("p is not null").select("src", "dst", "p"))
-    power = p
-    for _ in range(length - 1):
+    ids = vertices.select("id").distinct()
+    power, half = p, p if length // 2 == 1 else None
+    for i in range(2, length - length // 2 + 1):
         step = power.alias("l").join(p.alias("r"), F.col("l.dst") == F.col("r.src")).groupBy(F.col("l.src").alias("src"), F.col("r.dst").alias("dst")).agg(F.sum(F.col("l.p") * F.col("r.p")).alias("p"))
         power = cut(step)
-    ids = vertices.select("id").distinct()
+        half = power if i == length // 2 else half
+    if half is None:
+        home = power.where("src = dst").agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("home"))
+    else:
+        back = half.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("p").alias("q"))
+        home = power.join(back, ["src", "dst"]).agg(F.coalesce(F.sum(F.col("p") * F.col("q")), F.lit(0.0)).alias("home"))
+    sums = p.groupBy(F.col("dst").alias("id")).agg(F.sum("p").alias("s"))
+    for _ in range(length - 1):
+        sums = p.join(sums, p["src"] == sums["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("s")).alias("s"))
     n = ids.agg(F.count(F.lit(1)).alias("n"))
-    home = power.where("src = dst").agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("home"))
-    sums = ids.join(power.groupBy(F.col("dst").alias("id")).agg(F.sum("p").alias("s")), "id", "left").agg(F.coalesce(F.stddev_pop(F.coalesce("s", F.lit(0.0))), F.lit(0.0)).alias("path_diversity"))
-    return home.crossJoin(n).crossJoin(sums).select(F.coalesce(F.col("home") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)).alias("return_probability"), "path_diversity")
+    spread = ids.join(sums, "id", "left").agg(F.coalesce(F.stddev_pop(F.coalesce("s", F.lit(0.0))), F.lit(0.0)).alias("path_diversity"))
+    return home.crossJoin(n).crossJoin(spread).select(F.coalesce(F.col("home") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)).alias("return_probability"), "path_diversity")
+
+
+def numbered_neighbours(edges: DataFrame, cells: int = 64) -> DataFrame:
+    """(src, dst, i): the distinct targets of positive weight of each source, numbered from 0; a hub is numbered in cells."""
+    e = edges.where("weight > 0").select("src", "dst").distinct().withColumn("cell", F.pmod(F.xxhash64("dst"), F.lit(cells)))
+    sizes = e.groupBy("src", "cell").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select("src", "cell", (F.sum("size").over(Window.partitionBy("src").orderBy("cell")) - F.col("size")).alias("before"))
+    inside = e.withColumn("inside", F.row_number().over(Window.partitionBy("src", "cell").orderBy("dst")) - 1)
+    return inside.join(before, ["src", "cell"]).select("src", "dst", (F.col("before") + F.col("inside")).alias("i"))
 
 
 def simulated_walks(edges: DataFrame, vertices: DataFrame, walks: int = 100, length: int = 5, seed: int = 42) -> DataFrame:
-    """One row: the share of seeded random walks that return to their start and of distinct paths. A walk steps by one joined draw per round."""
-    ids = vertices.select("id").distinct().withColumn("r", F.xxhash64("id", F.lit(seed)))
-    few = ids.orderBy("r", "id").limit(walks)  # starts; fewer vertices than walks start several each
-    starts = few.crossJoin(edges.sparkSession.range(walks).withColumnRenamed("id", "walk")).orderBy("walk", "r").limit(walks).select(F.row_number().over(Window.orderBy("r", "walk")).alias("walk"), F.col("id").alias("at"))
-    cum = Window.partitionBy("src").orderBy("dst")
-    summed = sum_duplicates(edges).where("weight > 0")
-    steps = summed.withColumn("hi", F.sum("weight").over(cum) / F.sum("weight").over(Window.partitionBy("src"))).withColumn("lo", F.coalesce(F.lag("hi").over(cum), F.lit(0.0)))
-    paths = starts.select("walk", "at", F.array("at").alias("path"))
-    for i in range(length):
-        u = F.pmod(F.xxhash64("walk", F.lit(i), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        drawn = paths.withColumn("u", u).join(steps, (F.col("at") == F.col("src")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")), "left")
-        paths = drawn.select("walk", F.coalesce("dst", "at").alias("at"), F.when(F.col("dst").isNotNull(), F.concat("path", F.array("dst"))).otherwise(F.col("path")).alias("path"))
+    """One row: the share of walks that return to their start and of distinct paths, of `walks` seeded walks from every vertex.
+
+    A step goes to any neighbour of positive weight alike; a vertex without one ends the walk. Each step is one join by
+    vertex and number of the neighbour, so walks that meet in a hub spread over its neighbours.
+    """
+    steps = numbered_neighbours(edges)
+    degree = steps.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    steps = cut(steps.join(degree.withColumnsRenamed({"src": "dst", "degree": "onward"}), "dst", "left").select("src", "i", "dst", F.coalesce("onward", F.lit(0)).alias("onward")))
+    starts = vertices.select("id").distinct().join(degree, F.col("id") == F.col("src"), "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    paths = starts.select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk"), F.col("id").alias("at"), "degree", F.array("id").alias("path"))
+    for step in range(length):
+        number = F.when(F.col("degree") > 0, F.pmod(F.xxhash64("start", "walk", F.lit(step), F.lit(seed)), F.col("degree")))
+        drawn = paths.withColumn("n", number).join(steps, (F.col("at") == F.col("src")) & (F.col("n") == F.col("i")), "left")
+        on = F.col("dst").isNotNull()
+        paths = drawn.select("start", "walk", F.coalesce("dst", "at").alias("at"), F.coalesce("onward", F.lit(0)).alias("degree"), F.when(on, F.concat("path", F.array("dst"))).otherwise(F.col("path")).alias("path"))
     one = F.lit(1)
-    return paths.agg((F.sum((F.size("path") > 1).cast("int") * (F.col("path")[0] == F.col("at")).cast("int")) / F.count(one)).alias("return_probability"), (F.countDistinct("path") / F.count(one)).alias("path_diversity"))
+    back = F.sum(((F.size("path") > 1) & (F.col("at") == F.col("start"))).cast("int"))
+    return paths.agg(F.coalesce(back / F.nullif(F.count(one), F.lit(0)), F.lit(0.0)).alias("return_probability"), F.coalesce(F.countDistinct("path") / F.nullif(F.count(one), F.lit(0)), F.lit(0.0)).alias("path_diversity"))
+
+
+def _led(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Undirected pairs a < b with the directions that exist (ab, ba: 0 or 1); and the same as u, v with u the end of lesser degree."""
+    pairs = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max((F.col("src") < F.col("dst")).cast("int")).alias("ab"), F.max((F.col("src") > F.col("dst")).cast("int")).alias("ba"))
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    rank = pairs.join(degree.withColumnsRenamed({"id": "a", "d": "da"}), "a").join(degree.withColumnsRenamed({"id": "b", "d": "db"}), "b")
+    first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    return pairs, rank.select(pick("a", "b", "u"), pick("b", "a", "v"), pick("ab", "ba", "uv"), pick("ba", "ab", "vu"))
 
 
 def local_density(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(id, local_density): linked ordered pairs of out-neighbours over all such pairs; 0 for fewer than 2."""
-    e = edges.where("src <> dst").select("src", "dst").distinct()
-    pairs = e.alias("x").join(e.alias("y"), "src").where("x.dst <> y.dst").select("src", F.col("x.dst").alias("a"), F.col("y.dst").alias("b"))
-    linked = pairs.join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_semi").groupBy("src").agg(F.count(F.lit(1)).alias("linked"))
-    k = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
+    """(id, local_density): linked ordered pairs of out-neighbours over all such pairs; 0 for fewer than 2.
+
+    From triangles, each found at its corner of least degree, so a hub opens no more wedges than its neighbours.
+    """
+    pairs, led = _led(edges)
+    wedges = led.join(led.select("u", F.col("v").alias("w"), F.col("uv").alias("uw"), F.col("vu").alias("wu")), "u").where("v < w")
+    t = wedges.join(pairs.select(F.col("a").alias("v"), F.col("b").alias("w"), F.col("ab").alias("vw"), F.col("ba").alias("wv")), ["v", "w"])
+    corner = lambda s, x, y, xy, yx: F.struct(F.col(s).alias("src"), (F.col(x) * F.col(y) * (F.col(xy) + F.col(yx))).alias("linked"))
+    corners = t.select(F.explode(F.array(corner("u", "uv", "uw", "vw", "wv"), corner("v", "vu", "vw", "uw", "wu"), corner("w", "wu", "wv", "uv", "vu"))).alias("c"))
+    linked = corners.groupBy(F.col("c.src").alias("src")).agg(F.sum("c.linked").alias("linked"))
+    k = edges.where("src <> dst").select("src", "dst").distinct().groupBy("src").agg(F.count(F.lit(1)).alias("k"))
     joined = vertices.select("id").distinct().join(k, F.col("id") == k["src"], "left").drop("src").join(linked, F.col("id") == linked["src"], "left").drop("src")
     return joined.select("id", F.when(F.col("k") >= 2, F.coalesce("linked", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("local_density"))
 
@@ -233,7 +274,7 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 1000) -> DataFram
 
 
 def diameter(edges: DataFrame, vertices: DataFrame, exact_up_to: int = 100, samples: int = 10, seed: int = 42) -> DataFrame:
-    """One row: the greatest finite distance from all vertices, or from a seeded sample of them in larger graphs.
+    """One row: the greatest finite distance from all vertices, or, beyond exact_up_to of them, from a seeded sample: a lower bound.
 
     No vertex: inf. One: 0. No vertex reaches another: inf.
     """
@@ -266,14 +307,22 @@ def spectral(edges: DataFrame, vertices: DataFrame, exact_up_to: int = 1000, ite
 
         return placed.repartition(1).mapInPandas(eigen, "spectral_radius double, spectral_gap double")
     summed = cut(sum_duplicates(edges))
-    x = ids.withColumn("x", F.lit(1.0 / math.sqrt(n)))
-    length = 0.0
-    for _ in range(iterations):
-        y = cut(summed.join(x, summed["dst"] == x["id"]).groupBy(F.col("src").alias("id")).agg(F.sum(F.col("weight") * F.col("x")).alias("x")))
-        before, length = length, math.sqrt(y.agg(F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0))).first()[0])
-        if not length or abs(length - before) < 1e-10:
+    x, length = ids.withColumn("x", F.lit(1.0 / math.sqrt(n))), 0.0
+    size = F.sqrt(F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0)))
+    for i in range(iterations):
+        y = summed.join(x, summed["dst"] == x["id"]).groupBy(F.col("src").alias("id")).agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
+        if i % CUT_EVERY < CUT_EVERY - 1 and i + 1 < iterations:
+            x = y  # lengths are taken, and vectors scaled, once every few products
+            continue
+        x, y = cut(x), cut(y)
+        before, own, length = length, x.agg(size).first()[0], y.agg(size).first()[0]
+        if not own or not length:
+            length = 0.0
             break
-        x = y.select("id", (F.col("x") / length).alias("x"))
+        length /= own
+        if abs(length - before) < 1e-10:
+            break
+        x = y.select("id", (F.col("x") / (length * own)).alias("x"))
     return edges.sparkSession.range(1).select(F.lit(length).alias("spectral_radius"), F.lit(None).cast("double").alias("spectral_gap"))
 
 
@@ -300,12 +349,40 @@ def k_candidates(density_: float, coefficient: float, n: int, fewest: int = 5, m
     return out if len(out) <= most else [out[round(i * (len(out) - 1) / (most - 1))] for i in range(most)]
 
 
-def properties(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """One row of graph properties: size, density, degrees, clustering, mixing, components, diameter, spectrum."""
+def export(units: DataFrame, members: DataFrame, relations: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """(kind, source, target, weight): nodes (unit, concept; target null), typed edges and memberships of a graph, in one table.
+
+    relations: (src, dst, type, weight). positions: (unit_id, x, y, z), which are then added to the units.
+    """
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def part(df: DataFrame, kind, source, target=text, weight=number, place=(number,) * 3) -> DataFrame:
+        where = [p.alias(a) for a, p in zip("xyz", place)] if positions is not None else []
+        return df.select(kind.alias("kind"), source.cast("string").alias("source"), target.cast("string").alias("target"), weight.cast("double").alias("weight"), *where)
+
+    placed = units if positions is None else units.join(positions, "unit_id", "left")
+    place = (number,) * 3 if positions is None else tuple(F.col(a) for a in "xyz")
+    return (
+        part(placed, F.lit("unit"), F.col("unit_id"), place=place)
+        .unionByName(part(members.select("concept_id").distinct(), F.lit("concept"), F.col("concept_id")))
+        .unionByName(part(relations, F.col("type"), F.col("src"), F.col("dst"), F.col("weight")))
+        .unionByName(part(members, F.lit("member"), F.col("concept_id"), F.col("unit_id")))
+    )
+
+
+def counts(units: DataFrame, members: DataFrame, relations: DataFrame) -> DataFrame:
+    """One row: units, concepts, edges."""
+    one = F.lit(1)
+    return units.agg(F.count(one).alias("units")).crossJoin(members.agg(F.countDistinct("concept_id").alias("concepts"))).crossJoin(relations.agg(F.count(one).alias("edges")))
+
+
+def properties(edges: DataFrame, vertices: DataFrame, extremes: bool = True) -> DataFrame:
+    """One row of graph properties: size, density, degrees, clustering, mixing, components and, as extremes, diameter and spectrum."""
     ids = vertices.select("id").distinct()
     parts = [
         ids.agg(F.count(F.lit(1)).alias("num_nodes")), edges.agg(F.count(F.lit(1)).alias("num_edges")), density(edges, ids), degree_stats(edges, ids), doubled_clustering_coefficient(edges, ids),
-        degree_mixing(edges, ids), components(edges, ids).agg(F.countDistinct("component").alias("num_connected_components")), diameter(edges, ids), spectral(edges, ids),
+        degree_mixing(edges, ids), components(edges, ids).agg(F.countDistinct("component").alias("num_connected_components")),
+        *([diameter(edges, ids), spectral(edges, ids)] if extremes else []),
     ]
     row = parts[0]
     for part in parts[1:]:
@@ -341,10 +418,15 @@ def approximation_quality(original: DataFrame, sparse: DataFrame, vertices: Data
     return sums.crossJoin(n).select(e.alias("frobenius_error"), F.coalesce(e / F.nullif(t, F.lit(0.0)), F.lit(0.0)).alias("relative_error"), F.coalesce(1 - F.coalesce("far", F.lit(0)) / F.nullif(F.col("n") * F.col("n"), F.lit(0)), F.lit(1.0)).alias("element_accuracy"))
 
 
-def rank_ratio(original: DataFrame, sparse: DataFrame, vertices: DataFrame) -> DataFrame:
-    """One row: the rank of the approximation over the rank of the original, dense in one task; for small graphs."""
+def rank_ratio(original: DataFrame, sparse: DataFrame, vertices: DataFrame, most: int = 5000) -> DataFrame:
+    """One row: the rank of the approximation over the rank of the original: two dense matrices in one task.
+
+    Ranks are exact, so graphs of more than `most` vertices raise an error instead of being sampled.
+    """
+    n = vertices.select("id").distinct().count()
+    if n > most:
+        raise ValueError(f"ranks are exact and dense: {n} vertices are more than {most}")
     ids = vertices.select("id").distinct().withColumn("at", F.row_number().over(Window.orderBy("id")) - 1)
-    n = ids.count()
 
     def placed(e: DataFrame, which: int) -> DataFrame:
         return e.join(ids.withColumnsRenamed({"id": "src", "at": "i"}), "src").join(ids.withColumnsRenamed({"id": "dst", "at": "j"}), "dst").select(F.lit(which).alias("which"), "i", "j", "weight")

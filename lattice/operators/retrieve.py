@@ -12,6 +12,7 @@ from lattice.functions import vectors as V
 from lattice.operators import attention, state
 from lattice.operators.similarity import ranked, search
 
+#: Layers of a mode; an unknown mode is hybrid.
 LAYERS = {"episodic": ("episodes",), "causal": ("units",), "hybrid": ("units", "episodes")}
 
 
@@ -38,10 +39,10 @@ def retrieve(queries: DataFrame, tables: dict[str, DataFrame], mode: str = "hybr
     (query_id, id, content, layer, concept_id, semantic_similarity, score, rl_score, rank): the k best of all layers by the
     ranker's score, else by score, falling back to the similarity.
     """
-    parts = []
-    if "units" in LAYERS[mode]:
+    parts, layers = [], LAYERS.get(mode, LAYERS["hybrid"])
+    if "units" in layers:
         parts.append(unit_layer(queries, tables["concepts"], tables["members"], tables["units"], k, coarse_k, focus))
-    if "episodes" in LAYERS[mode]:
+    if "episodes" in layers:
         parts.append(episode_layer(queries, tables["episodes"], k))
     rows = parts[0]
     for part in parts[1:]:

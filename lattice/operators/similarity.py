@@ -3,6 +3,9 @@
 One query against many rows is a column expression and a top-k, which Spark runs as TakeOrderedAndProject. All pairs go
 through block kernels: rows are spread over blocks, each pair of blocks meets in one task, and a matrix product in
 double precision finds the pairs, so the work is split evenly whatever the threshold.
+
+Vectors of different dimensions have no similarity: they form no pair and are never neighbours. Nor do vectors that hold
+a null or NaN.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ def _scores(q: np.ndarray, u: np.ndarray, metric: str) -> np.ndarray:
     if metric in ("inverse_l2", "inverse_squared_l2"):
         square = np.maximum((q**2).sum(axis=1)[:, None] + (u**2).sum(axis=1)[None, :] - 2 * q @ u.T, 0)
         return 1 / (1 + (square if metric == "inverse_squared_l2" else np.sqrt(square)))
+    if metric == "cosine_padded":
+        return q @ u.T / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((u * u).sum(axis=1))[None, :] + 1e-8)
     cosine = _unit_rows(q) @ _unit_rows(u).T
     if metric == "inverse_cosine":
         return 1 / (2 - cosine)
@@ -43,30 +48,34 @@ def _scores(q: np.ndarray, u: np.ndarray, metric: str) -> np.ndarray:
     return cosine
 
 
-def search(queries: DataFrame, units: DataFrame, k: int | None = None, threshold: float | None = None, metric: str = "cosine", query_id: str = "query_id", key: str = "unit_id", vector: str = "embedding", exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search(queries: DataFrame, units: DataFrame, k: int | None = None, threshold: float | None = None, metric: str = "cosine", query_id: str = "query_id", key: str = "unit_id", vector: str = "embedding", exclude_self: bool = False, block_rows: int = BLOCK_ROWS, bonus: str | None = None) -> DataFrame:
     """(query_id, key, similarity, rank) for many queries at once: the k best units of each (None: all), at least threshold.
 
+    bonus: a column of units that is added to the similarity.
+
     Blocks of queries meet blocks of units; a block keeps its k best for each query (and ties at the edge), and the best of
     those are ranked by similarity, then key. Null vectors and ids take no part. metric: as of lattice.functions.vectors.
     """
     kinds = dict(queries.dtypes)[query_id], dict(units.dtypes)[key]
     sides = []
-    for df, name, v in ((queries, query_id, "embedding"), (units, key, vector)):
+    for df, name, v, more in ((queries, query_id, "embedding", None), (units, key, vector, bonus)):
         n = df.count()
         blocks = max(1, -(-n // block_rows))
-        sides.append((df.select(F.col(name).alias("id"), V.doubles(F.col(v)).alias("v"), F.pmod(F.xxhash64(name), F.lit(blocks)).alias("own")).where("id is not null and v is not null"), blocks))
+        added = F.coalesce(F.col(more).cast("double"), F.lit(0.0)) if more else F.lit(0.0)
+        sides.append((usable(df.select(F.col(name).alias("id"), V.doubles(F.col(v)).alias("v"), F.pmod(F.xxhash64(name), F.lit(blocks)).alias("own"), added.alias("more"))), blocks))
     (q, nq), (u, nu) = sides
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    left = q.withColumn("other", spread(nu)).select(F.col("own").alias("a"), F.col("other").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))
-    right = u.withColumn("other", spread(nq)).select(F.col("other").alias("a"), F.col("own").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))
+    left = q.withColumn("other", spread(nu)).select(F.size("v").alias("dim"), F.col("own").alias("a"), F.col("other").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))
+    right = u.withColumn("other", spread(nq)).select(F.size("v").alias("dim"), F.col("other").alias("a"), F.col("own").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"), F.col("more").alias("more"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
             return pa.table({query_id: pa.array([], _arrow(kinds[0])), key: pa.array([], _arrow(kinds[1])), "similarity": pa.array([], pa.float64())})
         (ai, ax), (bi, bx) = _matrix(a), _matrix(b)
+        more = b.column("more").to_numpy()
         rows, columns, values = [], [], []
         for at in range(0, len(ai), 512):
-            s = _scores(ax[at : at + 512], bx, metric)
+            s = _scores(ax[at : at + 512], bx, metric) + more[None, :]
             if exclude_self:
                 s[ai[at : at + 512, None] == bi[None, :]] = -np.inf
             keep = np.isfinite(s)
@@ -80,11 +89,16 @@ def search(queries: DataFrame, units: DataFrame, k: int | None = None, threshold
             values.append(s[i, j])
         return pa.table({query_id: a.column("id").combine_chunks().take(pa.array(np.concatenate(rows))), key: b.column("id").combine_chunks().take(pa.array(np.concatenate(columns))), "similarity": np.concatenate(values)})
 
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, f"{query_id} {kinds[0]}, {key} {kinds[1]}, similarity double")
+    found = left.groupBy("dim", "a", "b").cogroup(right.groupBy("dim", "a", "b")).applyInArrow(meet, f"{query_id} {kinds[0]}, {key} {kinds[1]}, similarity double")
     out = ranked(found, [query_id], [F.desc(F.round("similarity", 9)), F.col(key)], "rank")
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def usable(rows: DataFrame) -> DataFrame:
+    """Rows (id, v, ...) of an id and a vector without nulls and NaN."""
+    return rows.where(F.col("id").isNotNull() & F.coalesce(~F.exists("v", lambda x: x.isNull() | F.isnan(x)), F.lit(False)))
+
+
 def _arrow(kind: str) -> pa.DataType:
     return {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[kind]
 
@@ -94,11 +108,12 @@ def ranked(df: DataFrame, by: list[str], order: list, name: str = "rank") -> Dat
 
 
 def _blocks(df: DataFrame, key: str, vector: str, blocks: int, by: str | None = None) -> tuple[DataFrame, DataFrame]:
-    base = df.select((F.col(by) if by else F.lit(0)).alias("g"), F.col(key).alias("id"), V.doubles(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own")).where("id is not null and v is not null")
+    base = usable(df.select((F.col(by) if by else F.lit(0)).alias("g"), F.col(key).alias("id"), V.doubles(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own")))
+    base = base.withColumn("dim", F.size("v"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("other")
     rows = base.select("*", other)
-    left = rows.where("own <= other").select(F.col("g").alias("g"), F.col("own").alias("a"), F.col("other").alias("b"), "id", "v")
-    right = rows.where("own >= other").select(F.col("g").alias("g"), F.col("other").alias("a"), F.col("own").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))  # own attributes, else pruning confuses the sides
+    left = rows.where("own <= other").select(F.col("g").alias("g"), F.col("dim").alias("dim"), F.col("own").alias("a"), F.col("other").alias("b"), "id", "v")
+    right = rows.where("own >= other").select(F.col("g").alias("g"), F.col("dim").alias("dim"), F.col("other").alias("a"), F.col("own").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))  # own attributes, else pruning confuses the sides
     return left, right
 
 
@@ -119,7 +134,7 @@ def pairwise(df: DataFrame, threshold: float, key: str = "unit_id", vector: str
 
     by: only pairs of equal values of that column, which then comes first in the result.
     metric: cosine (0 for a zero vector) or combined (0.7 cosine + 0.3 / (1 + distance)). rows: the count, if it is known.
-    Null ids and vectors take no part; all vectors must be of one dimension.
+    Null ids and vectors take no part.
     """
     if rows is None:
         rows = (df.groupBy(by).count().agg(F.coalesce(F.max("count"), F.lit(0))) if by else df.agg(F.count(F.lit(1)))).first()[0]
@@ -148,16 +163,16 @@ def pairwise(df: DataFrame, threshold: float, key: str = "unit_id", vector: str
         return made.add_column(0, by, pa.array([g[0].as_py()] * len(made), g.type))
 
     kinds = dict(df.dtypes)
-    keys = ["g", "a", "b"]
+    keys = ["g", "dim", "a", "b"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, (f"{by} {kinds[by]}, " if by else "") + f"src {kinds[key]}, dst {kinds[key]}, similarity double")
 
 
 def distance_sums(df: DataFrame, label: str = "label", key: str = "unit_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(i, li, lj, total, n): for each row, the sum and number of Euclidean distances to the other rows of each label, in blocks."""
     blocks = max(1, -(-df.count() // block_rows))
-    base = df.select(F.col(label).alias("l"), F.col(key).alias("id"), V.doubles(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own")).where("id is not null and v is not null")
-    rows = base.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("other"))
-    left, right = (rows.select(F.col(x).alias("a"), F.col(y).alias("b"), *[F.col(c).alias(c) for c in ("l", "id", "v")]) for x, y in (("own", "other"), ("other", "own")))
+    base = usable(df.select(F.col(label).alias("l"), F.col(key).alias("id"), V.doubles(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own")))
+    rows = base.withColumn("dim", F.size("v")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("other"))
+    left, right = (rows.select(F.col(x).alias("a"), F.col(y).alias("b"), *[F.col(c).alias(c) for c in ("dim", "l", "id", "v")]) for x, y in (("own", "other"), ("other", "own")))
     kinds = dict(df.dtypes)
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -181,7 +196,7 @@ def distance_sums(df: DataFrame, label: str = "label", key: str = "unit_id", vec
             return pa.table({"i": pa.array([], a.schema.field("id").type if len(a) else b.schema.field("id").type), **{k: pa.array([], (a if len(a) else b).schema.field("l").type) for k in ("li", "lj")}, "total": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
         return pa.table({name: np.concatenate(c) for name, c in zip(names, zip(*out))})
 
-    parts = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, f"i {kinds[key]}, li {kinds[label]}, lj {kinds[label]}, total double, n bigint")
+    parts = left.groupBy("dim", "a", "b").cogroup(right.groupBy("dim", "a", "b")).applyInArrow(meet, f"i {kinds[key]}, li {kinds[label]}, lj {kinds[label]}, total double, n bigint")
     return parts.groupBy("i", "li", "lj").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
@@ -189,10 +204,10 @@ def knn(df: DataFrame, k: int, key: str = "unit_id", vector: str = "embedding",
     """(src, dst, similarity, rank): the exact k most cosine-similar other rows of each; ties by dst."""
     n = df.count() if rows is None else rows
     blocks = max(1, -(-n // block_rows))
-    base = df.select(F.col(key).alias("id"), V.doubles(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own")).where("id is not null and v is not null")
+    base = usable(df.select(F.col(key).alias("id"), V.doubles(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own"))).withColumn("dim", F.size("v"))
     rows_ = base.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("other"))
-    left = rows_.select(F.col("own").alias("a"), F.col("other").alias("b"), "id", "v")
-    right = rows_.select(F.col("other").alias("a"), F.col("own").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))  # own attributes, else pruning confuses the sides
+    left = rows_.select("dim", F.col("own").alias("a"), F.col("other").alias("b"), "id", "v")
+    right = rows_.select(F.col("dim").alias("dim"), F.col("other").alias("a"), F.col("own").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))  # own attributes, else pruning confuses the sides
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         (ai, ax), (bi, bx) = _matrix(a), _matrix(b)
@@ -209,14 +224,14 @@ def knn(df: DataFrame, k: int, key: str = "unit_id", vector: str = "embedding",
         return pa.table({name: np.concatenate(c) for name, c in zip(("src", "dst", "similarity"), zip(*out))})
 
     kind = dict(df.dtypes)[key]
-    best = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, f"src {kind}, dst {kind}, similarity double")
+    best = left.groupBy("dim", "a", "b").cogroup(right.groupBy("dim", "a", "b")).applyInArrow(meet, f"src {kind}, dst {kind}, similarity double")
     return ranked(best, ["src"], [F.desc(F.round("similarity", 9)), F.col("dst")]).where(F.col("rank") <= k)
 
 
 def within_groups(df: DataFrame, group: str, threshold: float, key: str = "unit_id", strict: bool = True) -> DataFrame:
     """(group, src, dst, similarity) of pairs inside one group (the facts of one episode), similarity > threshold.
 
-    A join inside the JVM, for very many small groups; for few large ones use pairwise with `by`.
+    A join inside the JVM, for very many groups of a bounded size; for large ones use pairwise with `by`, which works in blocks.
     """
     a = df.select(F.col(group), F.col(key).alias("src"), F.col("embedding").alias("_a"))
     b = df.select(F.col(group), F.col(key).alias("dst"), F.col("embedding").alias("_b"))

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from lattice.queries import _base, graphs, search, texts  # noqa: F401
+    from lattice.queries import _base, graphs, search, stores, texts  # noqa: F401
 
     return dict(_base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from lattice.queries import _base, graphs, search, texts  # noqa: F401
+    from lattice.queries import _base, graphs, search, stores, texts  # noqa: F401
 
     return dict(_base.SQL)

@@ -78,6 +78,19 @@ def pagerank_10(spark, sf):
     return rounded(G.pagerank(sym(spark, sf), vertices(spark, sf), iterations=10), "rank", places=9)
 
 
+def _converged_sql(most, tolerance):
+    changes = " union all ".join(f"select {i + 1} as i, sum(abs(a.rank - b.rank)) as change from r{i + 1} a join r{i} b using (id)" for i in range(most))
+    ranks = " union all ".join(f"select {i} as i, id, rank from r{i}" for i in range(most))
+    steps = _pagerank_sql(most).rsplit(" select id, round", 1)[0]
+    return f"{steps}, changes as ({changes}), stop as (select min(i) - 1 as i from changes where change < {tolerance!r}) select id, round(rank, 9) as rank from ({ranks}) join stop using (i)"
+
+
+@query("pagerank_converged", _converged_sql(40, 1e-6))
+def pagerank_converged(spark, sf):
+    """Up to 100 rounds, until the ranks change by less than 1e-6 in all."""
+    return rounded(G.pagerank(sym(spark, sf), vertices(spark, sf), iterations=100, tolerance=1e-6), "rank", places=9)
+
+
 def _activation_sql(n):
     steps = ["a0 as (select distinct src as id, case when src in (0, 1, 2) then 1.0::double else 0.0::double end as a from s)"]
     for i in range(n):
@@ -157,17 +170,41 @@ def _whole(spark, sf):
     return sym(spark, sf), vertices(spark, sf)
 
 
-@query("graph_properties")
+def _properties_sql(t, where):
+    """CTEs of graph properties, their names ending in t."""
+    return (
+        f"e{t} as (select * from e where {where}), s{t} as (select src, dst, weight from e{t} union all select dst, src, weight from e{t}), d{t} as (select unit_id as id, coalesce(sum(weight), 0) as d from u left join s{t} on src = unit_id group by 1), "
+        f"k{t} as (select src, count(*) as k from s{t} group by 1), l{t} as (select x.src, count(*) as linked from s{t} x join s{t} y on x.src = y.src and x.dst <> y.dst join s{t} z on z.src = x.dst and z.dst = y.dst group by 1), "
+        f"ld{t} as (select unit_id as id, case when k >= 2 then coalesce(linked, 0) / (k * (k - 1.0::double)) else 0.0::double end as d from u left join k{t} k on k.src = unit_id left join l{t} l on l.src = unit_id), "
+        f"reach{t}(id, to_id) as (select unit_id, unit_id from u union select r.id, s.dst from reach{t} r join s{t} s on s.src = r.to_id), comp{t} as (select id, min(to_id) as component from reach{t} group by id), "
+        f"x{t} as (select avg(d) as m, avg(d * d) as q from d{t}), mix{t} as (select sum(a.d * b.d) / sum(weight) as x from s{t} s join d{t} a on a.id = s.src join d{t} b on b.id = s.dst), "
+        f"p{t} as (select (select count(*) from u) as num_nodes, (select count(*) from s{t}) as num_edges, (select count(*) from s{t}) / ((select count(*) from u) * ((select count(*) from u) - 1.0::double)) as density, "
+        f"(select avg(d) from d{t}) as mean_degree, (select stddev_pop(d) from d{t}) as std_degree, (select cast(trunc(max(d)) as integer) from d{t}) as max_degree, (select cast(trunc(min(d)) as integer) from d{t}) as min_degree, "
+        f"(select avg(2 * d) from ld{t}) as clustering_coefficient, (select (x - m * m) / (q - m * m) from mix{t}, x{t}) as degree_mixing, (select count(distinct component) from comp{t}) as num_connected_components)"
+    )
+
+
+@query("graph_properties", f"with recursive {U}, {E}, {_properties_sql(1, 'true')} select num_nodes, num_edges, round(density, 6) as density, round(mean_degree, 6) as mean_degree, round(std_degree, 6) as std_degree, max_degree, min_degree, round(clustering_coefficient, 6) as clustering_coefficient, round(degree_mixing, 6) as degree_mixing, num_connected_components from p1")
 def graph_properties(spark, sf):
     e, v = _whole(spark, sf)
-    return rounded(G.properties(e, v), "density", "mean_degree", "std_degree", "clustering_coefficient", "degree_mixing", "spectral_radius", "spectral_gap", places=4)
+    return rounded(G.properties(e, v, extremes=False), "density", "mean_degree", "std_degree", "clustering_coefficient", "degree_mixing")
 
 
-@query("approximation_validation")
+@query("graph_extremes")
+def graph_extremes(spark, sf):
+    """Diameter (a lower bound above 100 vertices) and spectrum."""
+    e, v = _whole(spark, sf)
+    return rounded(G.diameter(e, v).crossJoin(G.spectral(e, v)), "spectral_radius", "spectral_gap", places=4)
+
+
+_COMPARED = " union all ".join(f"select '{c}' as property, p1.{c}::double as original, p2.{c}::double as approximated from p1, p2" for c in G.COMPARED)
+
+
+@query("approximation_validation", f"with recursive {U}, {E}, {_properties_sql(1, 'true')}, {_properties_sql(2, 'weight >= 0.31')}, c as ({_COMPARED}), g as (select *, case when original <> 0 then abs(original - approximated) / abs(original) else abs(original - approximated) end as difference from c) select property, round(original, 6) as original, round(approximated, 6) as approximated, round(difference, 6) as difference, difference <= 0.1 as passed from g union all select 'edges_kept', p1.num_edges::double, p2.num_edges::double, round(1 - p2.num_edges / p1.num_edges::double, 6), p2.num_edges / p1.num_edges::double >= 0.1 from p1, p2")
 def approximation_validation(spark, sf):
     e, v = _whole(spark, sf)
-    out = G.validate_approximation(G.properties(e, v), G.properties(e.where("weight >= 0.31"), v))
-    return rounded(out, "original", "approximated", "difference", places=4)
+    out = G.validate_approximation(G.properties(e, v, extremes=False), G.properties(e.where("weight >= 0.31"), v, extremes=False))
+    return rounded(out, "original", "approximated", "difference")
 
 
 @query("rank_ratio")
@@ -179,7 +216,7 @@ def rank_ratio(spark, sf):
 @query("spectral_power_iteration")
 def spectral_power_iteration(spark, sf):
     e, v = _whole(spark, sf)
-    return rounded(G.spectral(e, v, exact_up_to=0, iterations=20), "spectral_radius", places=3)
+    return rounded(G.spectral(e, v, exact_up_to=0), "spectral_radius", places=3)
 
 
 @query("simulated_walks")
@@ -189,12 +226,9 @@ def simulated_walks(spark, sf):
 
 @query("graph_export", f"with {U}, {E} select 'unit' as kind, cast(unit_id as varchar) as source, null as target, null::double as weight from u union all select 'concept', 'c' || label, null, null from (select distinct label from u) union all select 'semantic', cast(src as varchar), cast(dst as varchar), round(weight, 3) from e union all select 'member', 'c' || label, cast(unit_id as varchar), null from u")
 def graph_export(spark, sf):
-    u, none, nothing = units(spark, sf), F.lit(None).cast("string"), F.lit(None).cast("double")
-    concept = F.concat(F.lit("c"), F.col("label").cast("string"))
-    nodes = u.select(F.lit("unit").alias("kind"), F.col("unit_id").cast("string").alias("source"), none.alias("target"), nothing.alias("weight"))
-    rows = nodes.unionByName(u.select(concept.alias("source")).distinct().select(F.lit("concept").alias("kind"), "source", none.alias("target"), nothing.alias("weight")))
-    rel = edges(spark, sf).select(F.lit("semantic").alias("kind"), F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), r("weight", 3).alias("weight"))
-    return rows.unionByName(rel).unionByName(u.select(F.lit("member").alias("kind"), concept.alias("source"), F.col("unit_id").cast("string").alias("target"), nothing.alias("weight")))
+    u = units(spark, sf)
+    members = u.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("concept_id"), "unit_id")
+    return G.export(u.select("unit_id"), members, edges(spark, sf).select("src", "dst", F.lit("semantic").alias("type"), r("weight", 3).alias("weight")))
 
 
 @query("graph_positions")
@@ -205,7 +239,7 @@ def graph_positions(spark, sf):
 @query("graph_counts", f"with {U}, {E} select (select count(*) from u) as units, (select count(distinct label) from u) as concepts, (select count(*) from e) as edges")
 def graph_counts(spark, sf):
     u = units(spark, sf)
-    return u.agg(F.count(F.lit(1)).alias("units"), F.countDistinct("label").alias("concepts")).crossJoin(edges(spark, sf).agg(F.count(F.lit(1)).alias("edges")))
+    return G.counts(u.select("unit_id"), u.select(F.col("label").alias("concept_id"), "unit_id"), edges(spark, sf))
 
 
 @query("pattern_signature", f"with {GRAPHLETS}, d as (select unit_id, coalesce(sum(weight), 0) as d from u left join s on src = unit_id group by 1) select triangle, cast(paths - 3 * triangle as bigint) as wedge, round((select avg(d) from d), 6) as mean_degree, round((select sum(weight) from s) / (nodes * (nodes - 1.0::double)), 9) as density, cast(trunc((select sum(weight) from s)) as bigint) as num_edges from t, p, n")

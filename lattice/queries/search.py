@@ -60,7 +60,7 @@ def knn_graph(spark, sf):
 
 @query("group_pairs", f"with {U} select a.label, a.unit_id as src, b.unit_id as dst, round(list_cosine_similarity(a.v, b.v), 6) as similarity from u a join u b on a.label = b.label and a.unit_id < b.unit_id where list_cosine_similarity(a.v, b.v) > 0.25")
 def group_pairs(spark, sf):
-    return rounded(S.within_groups(units(spark, sf), "label", 0.25), "similarity")
+    return rounded(S.pairwise(units(spark, sf), 0.25, strict=True, by="label"), "similarity")
 
 
 @query("combined_similarity", f"with {U}, x as (select a.unit_id as src, b.unit_id as dst, 0.7 * list_cosine_similarity(a.v, b.v) + 0.3 / (1 + list_distance(a.v, b.v)) as s from u a join u b on a.unit_id < b.unit_id) select src, dst, round(s, 6) as similarity from x where s >= 0.3")
@@ -94,9 +94,10 @@ SIGNATURES = """pr as (select a.label as g, a.unit_id as a, b.unit_id as b from
  tri as (select x.g, count(*) as triangle from pr x join pr y on x.g = y.g and x.b = y.a join pr z on z.g = x.g and z.a = x.a and z.b = y.b group by x.g),
  dg as (select u.label as g, u.unit_id, count(p.g) as d from u left join pr p on p.g = u.label and (p.a = u.unit_id or p.b = u.unit_id) group by 1, 2),
  sg as (select dg.g, coalesce(max(triangle), 0) as triangle, sum(d) / 2 as edges, count(*) as nodes, avg(d) as md, stddev_pop(d) as sd from dg left join tri on tri.g = dg.g group by dg.g)"""
-STRUCTURAL = f"""{SIGNATURES}, ps as (select y.g, (0.3 * (least(x.triangle, y.triangle) + least(x.edges, y.edges) + least(x.nodes, y.nodes)) / (greatest(x.triangle, y.triangle) + greatest(x.edges, y.edges) + greatest(x.nodes, y.nodes))
-  + 0.2 * (0.6 * (1 - abs(x.md - y.md) / greatest(x.md, y.md, 1)) + 0.4 * (1 - abs(x.sd - y.sd) / greatest(x.sd, y.sd, 1)))) / 0.5 as x from sg x, sg y where x.g = 0),
- structural as (select g as concept_id, exp(x) / sum(exp(x)) over () as structural from ps)"""
+GRAPHLETS = "(least(x.triangle, y.triangle) + least(x.edges, y.edges) + least(x.nodes, y.nodes)) / (greatest(x.triangle, y.triangle) + greatest(x.edges, y.edges) + greatest(x.nodes, y.nodes))"
+DEGREES = "(0.6 * (1 - abs(x.md - y.md) / greatest(x.md, y.md, 1)) + 0.4 * (1 - abs(x.sd - y.sd) / greatest(x.sd, y.sd, 1)))"
+STRUCTURAL = f"""{SIGNATURES}, ps as (select x.g as query_label, y.g, (0.3 * {GRAPHLETS} + 0.2 * {DEGREES}) / 0.5 as x from sg x, sg y),
+ structural as (select query_label, g as concept_id, exp(x) / sum(exp(x)) over (partition by query_label) as structural from ps)"""
 
 
 def all_queries(spark, sf):
@@ -144,43 +145,55 @@ def structures(spark, sf):
     return s.crossJoin(q).select("query_label", "concept_id", clusters.combine_features([(0.3, clusters.graphlet_similarity(F.col("qg"), F.col("graphlets"), ("triangle", "edges", "nodes"))), (0.2, clusters.degree_similarity(F.col("qd"), F.col("degree_stats")))]).alias("pattern_similarity"))
 
 
-def structure(spark, sf):
-    """(concept_id, pattern_similarity) to the signature of label 0, as the SQL of the queries below has it."""
-    return structures(spark, sf).where("query_label = 0").drop("query_label")
+@query("pattern_similarity", f"with {U}, {STRUCTURAL} select query_label, g as concept_id, round(x, 6) as pattern_similarity from ps")
+def pattern_similarity(spark, sf):
+    return rounded(structures(spark, sf), "pattern_similarity")
 
 
-@query("pattern_similarity", f"with {U}, {STRUCTURAL} select g as concept_id, round(x, 6) as pattern_similarity from ps")
-def pattern_similarity(spark, sf):
-    return rounded(structure(spark, sf), "pattern_similarity")
+@query("pattern_similarity_full", f"with {U}, {CENTROIDS}, {SIGNATURES} select x.g as query_label, y.g as concept_id, round(0.3 * {GRAPHLETS} + 0.2 * (0.5 * least(x.edges, y.edges) / greatest(x.edges, y.edges) + 0.5) + 0.2 * {DEGREES} + 0.3 * list_cosine_similarity(a.cv, b.cv), 6) as pattern_similarity from sg x join c a on a.label = x.g, sg y join c b on b.label = y.g")
+def pattern_similarity_full(spark, sf):
+    """All four features: graphlets, walks (as many patterns as edges), degrees and the centroid as the one shared cluster."""
+    full = clusters.enhanced_signature(units(spark, sf), threshold=0.2).join(clusters.centroids(units(spark, sf)), "label")
+    s = full.select(F.col("label").alias("concept_id"), F.struct(F.col("triangles").alias("triangle"), "edges", "nodes").alias("graphlets"), F.struct("mean_degree", "std_degree").alias("degree_stats"), F.struct(F.col("edges").alias("num_unique_patterns"), "avg_transition_prob").alias("random_walks"), F.create_map(F.lit(0), F.col("centroid")).alias("semantic_centroids"))
+    q = s.select(F.col("concept_id").alias("query_label"), *[F.col(c).alias(f"q_{c}") for c in ("graphlets", "degree_stats", "random_walks", "semantic_centroids")])
+    pair = lambda name: (F.col(f"q_{name}"), F.col(name))
+    parts = [(0.3, clusters.graphlet_similarity(*pair("graphlets"), ("triangle", "edges", "nodes"))), (0.2, clusters.walk_similarity(*pair("random_walks"))), (0.2, clusters.degree_similarity(*pair("degree_stats"))), (0.3, clusters.centroid_similarity(*pair("semantic_centroids")))]
+    return rounded(s.crossJoin(q).select("query_label", "concept_id", clusters.combine_features(parts).alias("pattern_similarity")), "pattern_similarity")
 
 
-@query("structural_head", f"with {U}, {STRUCTURAL} select 0 as query_id, concept_id, round(structural, 6) as structural from structural")
+@query("structural_head", f"with {U}, {STRUCTURAL} select query_label, concept_id, round(structural, 6) as structural from structural")
 def structural_head(spark, sf):
-    return rounded(attention.structural_head(structure(spark, sf).withColumn("query_id", F.lit(0))).select("query_id", "concept_id", "structural"), "structural")
+    return rounded(attention.structural_head(structures(spark, sf), by="query_label").select("query_label", "concept_id", "structural"), "structural")
 
 
 def heads(spark, sf):
-    pairs = all_pairs(spark, sf).join(times(spark, sf), "concept_id", "left").join(structure(spark, sf), "concept_id").crossJoin(F.broadcast(now(spark, sf)))
+    """Every unit as a query, with the structure of its own label."""
+    labels = units(spark, sf).select(F.col("unit_id").alias("query_id"), F.col("label").alias("query_label"))
+    pairs = all_pairs(spark, sf).join(labels, "query_id").join(times(spark, sf), "concept_id", "left").join(structures(spark, sf), ["query_label", "concept_id"]).crossJoin(F.broadcast(now(spark, sf)))  # now: one row
     return attention.structural_head(attention.temporal_head(attention.semantic_head(pairs)))
 
 
 def _combined_sql(weights):
     w = {h: weights[h] for h in ("semantic", "structural", "temporal")}
     total = " + ".join(f"{v!r} * {h} / (sum({h}) over (partition by query_id) + 1e-8)" for h, v in w.items())
-    return f"with {SEMANTIC}, {AGES}, {STRUCTURAL}, h as (select * from semantic join temporal using (concept_id) join structural using (concept_id)), m as (select query_id, concept_id, {total} as x from h), n as (select query_id, concept_id, x / (sum(x) over (partition by query_id) + 1e-8) as score from m)"
+    own = "h as (select query_id, concept_id, semantic, structural, temporal from semantic join temporal using (concept_id) join structural using (concept_id) join u on u.unit_id = query_id and u.label = query_label)"
+    return f"with {SEMANTIC}, {AGES}, {STRUCTURAL}, {own}, m as (select query_id, concept_id, {total} as x from h), n as (select query_id, concept_id, x / (sum(x) over (partition by query_id) + 1e-8) as score from m)"
+
 
+TOP = " select query_id, concept_id, round(score, 6) as score, cast(row_number() over (partition by query_id order by round(score, 12) desc, concept_id) as integer) as rank from n qualify rank <= 5"
 
-@query("combined_heads", _combined_sql(attention.FIXED) + " select query_id, concept_id, round(score, 6) as score, cast(row_number() over (partition by query_id order by score desc, concept_id) as integer) as rank from n qualify rank <= 5")
+
+@query("combined_heads", _combined_sql(attention.FIXED) + TOP)
 def combined_heads(spark, sf):
     return rounded(attention.combine_heads(heads(spark, sf), k=5).select("query_id", "concept_id", "score", "rank"), "score")
 
 
-@query("combined_heads_adaptive", _combined_sql(attention.ADAPTIVE) + " select query_id, concept_id, round(score, 6) as score, cast(row_number() over (partition by query_id order by score desc, concept_id) as integer) as rank from n qualify rank <= 5")
+@query("combined_heads_adaptive", _combined_sql(attention.ADAPTIVE) + TOP)
 def combined_heads_adaptive(spark, sf):
     return rounded(attention.combine_heads(heads(spark, sf), attention.ADAPTIVE, k=5).select("query_id", "concept_id", "score", "rank"), "score")
 
 
-@query("head_contributions", _combined_sql(attention.FIXED) + ", k as (select query_id, concept_id, row_number() over (partition by query_id order by score desc, concept_id) as rank from n qualify rank <= 5), g as (select query_id, avg(semantic) as a, avg(structural) as b, avg(temporal) as c from h join k using (query_id, concept_id) group by query_id) select query_id, round(a, 6) as mean_semantic, round(b, 6) as mean_structural, round(c, 6) as mean_temporal, case when a > b then 'semantic' else 'structural' end as primary_factor from g")
+@query("head_contributions", _combined_sql(attention.FIXED) + ", k as (select query_id, concept_id, row_number() over (partition by query_id order by round(score, 12) desc, concept_id) as rank from n qualify rank <= 5), g as (select query_id, avg(semantic) as a, avg(structural) as b, avg(temporal) as c from h join k using (query_id, concept_id) group by query_id) select query_id, round(a, 6) as mean_semantic, round(b, 6) as mean_structural, round(c, 6) as mean_temporal, case when a > b then 'semantic' else 'structural' end as primary_factor from g")
 def head_contributions(spark, sf):
     return rounded(attention.head_contributions(attention.combine_heads(heads(spark, sf), k=5)), "mean_semantic", "mean_structural", "mean_temporal")
 
@@ -190,45 +203,6 @@ def attention_debug(spark, sf):
     return rounded(attention.debug_report(heads(spark, sf)), "raw", "normalized")
 
 
-# The same with every label's signature as a query, and each unit ranked by the structure of its own label.
-
-STRUCTURES = STRUCTURAL.replace("select y.g,", "select x.g as query_label, y.g,").replace(" where x.g = 0", "").replace("select g as concept_id", "select query_label, g as concept_id").replace("over () as structural", "over (partition by query_label) as structural")
-
-
-def _by_label_sql(weights):
-    own = "h as (select query_id, concept_id, semantic, structural, temporal from semantic join temporal using (concept_id) join structural using (concept_id) join u on u.unit_id = query_id and u.label = query_label)"
-    return _combined_sql(weights).replace(STRUCTURAL, STRUCTURES).replace("h as (select * from semantic join temporal using (concept_id) join structural using (concept_id))", own)
-
-
-def heads_by_label(spark, sf):
-    labels = units(spark, sf).select(F.col("unit_id").alias("query_id"), F.col("label").alias("query_label"))
-    pairs = all_pairs(spark, sf).join(labels, "query_id").join(times(spark, sf), "concept_id", "left").join(structures(spark, sf), ["query_label", "concept_id"]).crossJoin(F.broadcast(now(spark, sf)))
-    return attention.structural_head(attention.temporal_head(attention.semantic_head(pairs)))
-
-
-@query("pattern_similarity_all_labels", f"with {U}, {STRUCTURES} select query_label, g as concept_id, round(x, 6) as pattern_similarity from ps")
-def pattern_similarity_all_labels(spark, sf):
-    return rounded(structures(spark, sf), "pattern_similarity")
-
-
-@query("structural_head_all_labels", f"with {U}, {STRUCTURES} select query_label, concept_id, round(structural, 6) as structural from structural")
-def structural_head_all_labels(spark, sf):
-    return rounded(attention.structural_head(structures(spark, sf), by="query_label").select("query_label", "concept_id", "structural"), "structural")
-
-
-TOP = " select query_id, concept_id, round(score, 6) as score, cast(row_number() over (partition by query_id order by score desc, concept_id) as integer) as rank from n qualify rank <= 5"
-
-
-@query("combined_heads_all_labels", _by_label_sql(attention.FIXED) + TOP)
-def combined_heads_all_labels(spark, sf):
-    return rounded(attention.combine_heads(heads_by_label(spark, sf), k=5).select("query_id", "concept_id", "score", "rank"), "score")
-
-
-@query("combined_heads_adaptive_all_labels", _by_label_sql(attention.ADAPTIVE) + TOP)
-def combined_heads_adaptive_all_labels(spark, sf):
-    return rounded(attention.combine_heads(heads_by_label(spark, sf), attention.ADAPTIVE, k=5).select("query_id", "concept_id", "score", "rank"), "score")
-
-
 @query("attention_weights_valid", f"with {SEMANTIC} select query_id, round(sum(semantic), 6) as sum, round(min(semantic), 6) as min, round(max(semantic), 6) as max, abs(sum(semantic) - 1) < 1e-6 as is_normalized, round(max(semantic) - min(semantic), 6) as range from semantic group by query_id")
 def attention_weights_valid(spark, sf):
     return rounded(attention.validate_weights(attention.semantic_head(all_pairs(spark, sf)), ["query_id"], "semantic"), "sum", "min", "max", "range")
@@ -292,6 +266,13 @@ def multi_head_attention(spark, sf):
     return rounded(attention.multi_head(concepts(spark, sf).select(F.col("concept_id").alias("id"), F.col("centroid").alias("embedding"))), "weight")
 
 
+@query("multi_head_attended", f"with {U}, h as (select unit_id, head, v[head * 8 + 1 : head * 8 + 8] as x from u, (select unnest(range(0, 8)) as head)), s as (select a.unit_id as src, a.head, b.x, list_inner_product(a.x, b.x) / sqrt(8) as s from h a join h b on a.head = b.head), w as (select src, head, x, exp(s) / sum(exp(s)) over (partition by src, head) as w from s) select src as id, cast(head * 8 + p - 1 as integer) as pos, round(sum(w * x[p]), 6) as x from w, (select unnest(range(1, 9)) as p) group by src, head, p")
+def multi_head_attended(spark, sf):
+    """Attention of every unit to all units, by 8 heads, applied to the values."""
+    out = attention.multi_head_attend(units(spark, sf), key="unit_id")
+    return out.select("id", F.posexplode("attended").alias("pos", "x")).select("id", "pos", r("x").alias("x"))
+
+
 @query("coarse_inner_scores", f"with {U}, {QUERIES}, {CENTROIDS} select query_id, label as concept_id, round(list_inner_product(cv, w), 6) as similarity, cast(row_number() over (partition by query_id order by round(list_inner_product(cv, w), 9) desc, label) as integer) as rank from c, q qualify rank <= 5")
 def coarse_inner_scores(spark, sf):
     return rounded(S.search(as_queries(spark, sf), concepts(spark, sf), 5, metric="inner", key="concept_id", vector="centroid"), "similarity")

@@ -10,7 +10,8 @@ from lattice.functions import vectors as V
 from lattice.operators import consolidation as C
 from lattice.operators import ingest, retrieve, state
 from lattice.operators import clusters
-from lattice.queries._base import CENTROIDS, DOTTED, MD5, SENTENCES, U, WORDS, query, r, rounded, table, units
+from lattice.queries.search import STAGES
+from lattice.queries._base import DOTTED, MD5, SENTENCES, U, WORDS, query, r, rounded, table, units
 
 _W, _D, _S = (x.format(t="text") for x in (WORDS, DOTTED, SENTENCES))
 
@@ -24,7 +25,13 @@ def sentences(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query("semantic_chunks")
+_FOLD = f"""s as (select doc_id, text, {_S} as s from documents), y as (select doc_id, p as i, s[p] as sent from (select doc_id, s, unnest(range(1, len(s) + 1)) as p from s where len(s) > 2)), x as materialized (select doc_id, i, sent, length(sent) as size, {MD5.format(t='sent')} as v from y),
+ f(doc_id, i, chunk_no, n, size, mean) as (select doc_id, i, 0, 1, size, v from x where i = 1 union all select doc_id, i, case when c then chunk_no + 1 else chunk_no end, case when c then 1 else n + 1 end, case when c then size else now + 1 + size end, case when c then v else list_transform(range(1, 17), lambda j: (mean[j] * n + v[j]) / (n + 1)) end
+  from (select x.*, f.chunk_no, f.n, f.mean, f.size as now, f.size >= 512 and list_cosine_similarity(f.mean, x.v) < 0.82 as c from f join x on x.doc_id = f.doc_id and x.i = f.i + 1)),
+ ch as (select doc_id, cast(chunk_no as integer) as chunk_no, string_agg(sent, ' ' order by i) as chunk from f join x using (doc_id, i) group by 1, 2 union all select doc_id, 0, text from s where len(s) between 1 and 2)"""
+
+
+@query("semantic_chunks", f"with recursive {_FOLD} select * from ch")
 def semantic_chunks(spark, sf):
     return state.chunks(docs(spark, sf))
 
@@ -83,7 +90,7 @@ def md5_vector(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(T.md5_vector(F.col("text"))).alias("pos", "x")).select("doc_id", "pos", r("x").alias("x"))
 
 
-@query("blended_vector")
+@query("blended_vector", f"with p as ({PARTS}), x as (select doc_id, list_concat([a, b, c, d, e], list_transform(range(5, 16), lambda j: (a * (j % 3) + b * ((j + 1) % 3) + c * ((j + 2) % 3)) / 3)) as v from p), n as (select x.doc_id, v, sqrt(list_inner_product(v, v)) as n, {MD5.format(t='text')} as m from x join documents using (doc_id)), y as (select doc_id, list_transform(range(1, 17), lambda j: 0.5 * m[j] + 0.2 * v[j] / case when n = 0 then 1 else n end) as w from n) select doc_id, cast(p - 1 as integer) as pos, round(w[p] / sqrt(list_inner_product(w, w)), 6) as x from y, (select unnest(range(1, 17)) as p)")
 def blended_vector(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(T.blended_vector(T.md5_vector(F.col("text"), 16), F.col("text"), dim=16)).alias("pos", "x")).select("doc_id", "pos", r("x").alias("x"))
 
@@ -93,9 +100,12 @@ def labels_and_names(spark, sf):
     return docs(spark, sf).select("doc_id", T.label(F.col("text")).alias("label"), T.session_name(F.col("text")).alias("name"))
 
 
-@query("mode_decision", "select event_id, case when contains(lower(event_type), 'episodic') then 'episodic' when contains(lower(event_type), 'causal') then 'causal' else 'hybrid' end as mode from events")
+_ANSWER = "case event_id % 4 when 0 then ' I would use EPISODIC memory' when 1 then 'causal, or episodic' when 2 then 'Causal.' else event_type end"
+
+
+@query("mode_decision", f"select event_id, case when contains(lower({_ANSWER}), 'episodic') then 'episodic' when contains(lower({_ANSWER}), 'causal') then 'causal' else 'hybrid' end as mode from events")
 def mode_decision(spark, sf):
-    return table(spark, sf, "events").select("event_id", T.mode_of(F.col("event_type")).alias("mode"))
+    return table(spark, sf, "events").select("event_id", T.mode_of(F.expr(_ANSWER)).alias("mode"))
 
 
 @query("context_rows", "select conv_id, turn, '| ' || role || ' | Unknown | ' || replace(text, chr(10), ' ') || ' |' as line from conversations")
@@ -205,7 +215,7 @@ def candidates(spark, sf):
     """Units of each label as the candidates of a query: the label's first unit."""
     u = units(spark, sf)
     q = u.groupBy("label").agg(F.min_by("embedding", "unit_id").alias("query_vector"))
-    return u.join(F.broadcast(q), "label").withColumnRenamed("label", "query_id")
+    return u.join(q, "label").withColumnRenamed("label", "query_id")
 
 
 @query("diversity", f"with {U} select a.unit_id, round(1 - avg(list_cosine_similarity(a.v, b.v)), 6) as diversity from u a join u b on a.label = b.label and a.unit_id <> b.unit_id group by 1")
@@ -240,11 +250,6 @@ def upsert(spark, sf):
     return state.upsert(old, new, ["user_id"], "event_id")
 
 
-@query("recent_tasks", "select event_id, event_type, user_id from events order by ts desc, event_id desc limit 50")
-def recent_tasks(spark, sf):
-    return table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type", "user_id")
-
-
 @query("layer_distribution", "select source as layer, count(*) as n from documents group by 1")
 def layer_distribution(spark, sf):
     from lattice.operators.attention import layer_distribution as layers
@@ -300,46 +305,34 @@ def preservation(spark, sf):
     return x.select("source", r(C.preservation(F.col("n"), F.col("g"), F.col("ratio"))).alias("score"))
 
 
-@query("insert_if_absent", "select distinct label as concept_id, vec_id as unit_id from embeddings where not (vec_id % 2 = 0)")
-def insert_if_absent(spark, sf):
-    pairs = units(spark, sf).select(F.col("label").alias("concept_id"), "unit_id")
-    there = pairs.where("unit_id % 2 = 0")
-    return pairs.dropDuplicates().join(there, ["concept_id", "unit_id"], "left_anti")
-
-
-@query("cascade_delete", "select conv_id, turn from conversations where conv_id not in (select conv_id from conversations group by 1 having count(*) > 5)")
-def cascade_delete(spark, sf):
-    c = table(spark, sf, "conversations")
-    gone = c.groupBy("conv_id").count().where("count > 5").select("conv_id")
-    return c.join(gone, "conv_id", "left_anti").select("conv_id", "turn")
+@query("consolidation_summary")
+def consolidation_summary(spark, sf):
+    return rounded(C.consolidate(doc_units(spark, sf), 0.95)["summary"], "compression_ratio", "preservation_score")
 
 
-@query("edges_touching", "select distinct l_orderkey, l_linenumber from lineitem where l_partkey in (select p_partkey from part where p_size = 1) or l_suppkey in (select s_suppkey from supplier where s_nationkey = 1)")
-def edges_touching(spark, sf):
-    e = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    a = e.join(table(spark, sf, "part").where("p_size = 1").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
-    b = e.join(table(spark, sf, "supplier").where("s_nationkey = 1").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", "left_semi")
-    keys = ["l_orderkey", "l_linenumber"]
-    return a.select(*keys).unionByName(b.select(*keys)).distinct()
+@query("consolidation_counts", f"with recursive {GROUPS}, x as (select count(*) as a, count(distinct group_id) as n from grp) select a as units_archived, n as units_merged, (select count(*) from d) - a + n as units_live, round(case when a + n > 0 then a / (a + n)::double else 0 end, 6) as compression_ratio from x")
+def consolidation_counts(spark, sf):
+    """The parts of the job's summary that don't depend on a clusterer."""
+    return rounded(C.consolidate(doc_units(spark, sf), 0.95)["summary"].select("units_archived", "units_merged", "units_live", "compression_ratio"), "compression_ratio")
 
 
-@query("consolidation_summary")
-def consolidation_summary(spark, sf):
-    return rounded(C.consolidate(doc_units(spark, sf), 0.95)["summary"], "compression_ratio", "preservation_score")
+_FACTS = f"""fa as (select doc_id, chunk_no, unnest(list_distinct({SENTENCES.format(t='chunk')})) as content from ch), un as (select row_number() over () as id, doc_id, chunk_no, content, {MD5.format(t='content')} as v from fa),
+ un2 as (select content, count(*) as n, any_value(v)::float[16] as v from un group by content), nr as (select a.content, sum(b.n) - 1 as c from un2 a join un2 b on array_cosine_similarity(a.v, b.v) > 0.95 group by 1), near as (select coalesce(sum(n * least(c, 15)), 0) as n from un2 join nr using (content)),
+ loc as (select count(*) as n from un a join un b on a.doc_id = b.doc_id and a.chunk_no = b.chunk_no and a.id < b.id where list_cosine_similarity(a.v, b.v) > 0.95)"""
 
 
-@query("training_pipeline")
+@query("training_pipeline", f"with recursive {_FOLD}, {_FACTS} select (select count(*) from (select distinct doc_id, chunk_no from fa)) as episodes, (select count(*) from un) as units, cast((select n from near) + (select n from loc) as bigint) as edges")
 def training_pipeline(spark, sf):
     out = ingest.ingest(docs(spark, sf), threshold=0.95)
     one = F.lit(1)
     return out["episodes"].agg(F.count(one).alias("episodes")).crossJoin(out["units"].agg(F.count(one).alias("units"))).crossJoin(out["edges"].agg(F.count(one).alias("edges")))
 
 
-def _retrieved(spark, sf, mode):
+def _retrieved(spark, sf, mode, **options):
     u = units(spark, sf).select("unit_id", "embedding", "label", F.concat(F.lit("unit "), F.col("unit_id").cast("string"), F.lit(".")).alias("content"))
     tables = {"units": u, "concepts": clusters.centroids(u).withColumnRenamed("label", "concept_id").withColumn("concept_id", F.col("concept_id").cast("bigint")), "members": u.select(F.col("label").cast("bigint").alias("concept_id"), "unit_id"), "episodes": u.select(F.col("unit_id").alias("episode_id"), "embedding", "content")}
     queries = u.select(F.col("unit_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("content").alias("query_text"))
-    return queries, retrieve.retrieve(queries.select("query_id", "query_vector"), tables, mode)
+    return queries, retrieve.retrieve(queries.select("query_id", "query_vector"), tables, mode, **options)
 
 
 @query("episodic_retrieve", f"with {U}, q as (select unit_id as query_id, v as w from u) select query_id, unit_id as id, round(list_cosine_similarity(v, w), 6) as rl_score, cast(row_number() over (partition by query_id order by round(list_cosine_similarity(v, w), 12) desc, unit_id) as integer) as rank from u, q where list_cosine_similarity(v, w) >= 0.3 qualify rank <= 10")
@@ -347,17 +340,45 @@ def episodic_retrieve(spark, sf):
     return rounded(_retrieved(spark, sf, "episodic")[1].select("query_id", "id", "rl_score", "rank"), "rl_score")
 
 
-@query("hybrid_retrieve")
+_SCORED = f"""{STAGES}, k as (select *, row_number() over (partition by query_id order by round(unit_score, 12) desc, unit_id) as r from two qualify r <= 10),
+ ul as (select query_id, unit_id as id, 'units' as layer, cast(concept_id as bigint) as concept_id, cosine, 0.7 * cosine + 0.3 * concept_score as score from k),
+ ep as (select query_id, unit_id as id, 'episodes' as layer, null::bigint as concept_id, list_cosine_similarity(v, w) as cosine, list_cosine_similarity(v, w) as score from u, q where list_cosine_similarity(v, w) >= 0.3 qualify row_number() over (partition by query_id order by round(list_cosine_similarity(v, w), 9) desc, unit_id) <= 10)"""
+
+
+def _results_sql(layers, order="cosine"):
+    rows = " union all ".join(f"select * from {x}" for x in layers)
+    return f"{_SCORED}, res as (select *, 'unit ' || id || '.' as content, cast(row_number() over (partition by query_id order by round({order}, 12) desc, layer, id) as integer) as rank from ({rows}) qualify rank <= 10)"
+
+
+_ROWS = " select query_id, id, content, layer, concept_id, round(cosine, 6) as semantic_similarity, round(score, 6) as score, {rl} as rl_score, rank from res"
+
+
+@query("hybrid_retrieve", f"with {_results_sql(('ul', 'ep'))}" + _ROWS.format(rl="round(cosine, 6)"))
 def hybrid_retrieve(spark, sf):
     return rounded(_retrieved(spark, sf, "hybrid")[1], "semantic_similarity", "score", "rl_score")
 
 
-@query("explanations")
+@query("causal_retrieve", f"with {_results_sql(('ul',))}" + _ROWS.format(rl="round(cosine, 6)"))
+def causal_retrieve(spark, sf):
+    return rounded(_retrieved(spark, sf, "causal")[1], "semantic_similarity", "score", "rl_score")
+
+
+@query("score_order_retrieve", f"with {_results_sql(('ul', 'ep'), 'score')}" + _ROWS.format(rl="null::double"))
+def score_order_retrieve(spark, sf):
+    """Without re-ranking: by score, in a mode that is not known and so hybrid."""
+    return rounded(_retrieved(spark, sf, "unheard of", rerank=False)[1], "semantic_similarity", "score")
+
+
+_EXPLAINED = f"""{_results_sql(('ul', 'ep'))}, t as (select query_id, count(*) as n, avg(score) as mean, list([rank::varchar, printf('%s (%s), score %.3f: %s', id::varchar, layer, score, content), greatest(0.1, least(1, score))::varchar] order by rank) as rows from res group by 1),
+ sg as (select query_id, list_concat([['Summary', n::varchar || ' results were found for ''unit ' || query_id || '.''; their mean score is ' || printf('%.3f', mean) || '.', least(0.9, mean + 0.1)::varchar]], list_transform(rows[1:3], lambda x: ['Result ' || x[1], x[2], x[3]]), [['Heads', 'Scores combine semantic similarity with the concept''s score.', '0.8'], ['Method', 'Concepts are ranked first, then the units of the best ones, then all layers together.', '0.9']]) as s from t)"""
+
+
+@query("explanations", f"with {_EXPLAINED} select query_id, round(list_avg(list_transform(s, lambda x: x[3]::double)), 6) as confidence, array_to_string(list_transform(s, lambda x: printf('%s (%.2f)', x[1], x[3]::double) || chr(10) || x[2]), chr(10) || chr(10)) as as_text, array_to_string(list_transform(s, lambda x: '<section><h3>' || x[1] || '</h3><p>' || x[2] || '</p></section>'), '') as as_html from sg")
 def explanations(spark, sf):
     queries, results = _retrieved(spark, sf, "hybrid")
-    return retrieve.explain_results(results, queries).select("query_id", r("confidence").alias("confidence"), "as_text", "as_json", "as_html")
+    return retrieve.explain_results(results, queries).select("query_id", r("confidence").alias("confidence"), "as_text", "as_html")
 
 
-@query("context_tables")
+@query("context_tables", f"with {_results_sql(('ul', 'ep'))} select query_id, '| Source | Recency | Content |' || chr(10) || '| :--- | :--- | :--- |' || chr(10) || string_agg('| ' || coalesce(concept_id::varchar, 'Unknown') || ' | Unknown | ' || content || ' |', chr(10) order by rank) || chr(10) as context from res group by 1")
 def context_tables(spark, sf):
     return retrieve.context_table(_retrieved(spark, sf, "hybrid")[1])

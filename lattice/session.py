@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +28,29 @@ def build_session(app: str = "lattice", master: str | None = None, partitions: i
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (a local session), a temporary folder is set."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a local session gets a temporary one; a cluster is refused."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattice-"))
         there = spark.sparkContext.getCheckpointDir()
     return there.rstrip("/")
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, in a folder of this application."""
+    return f"{checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes the tables this application wrote under the shared folder; call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint, computed now; the files survive lost executors."""
-    checkpoint_dir(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
