@@ -5,16 +5,18 @@ collision depends on the Euclidean distance). A query visits its own bucket, the
 one, in the order of the squared distances to the boundaries crossed, which estimates the success of a probe. Candidates
 of all tables are merged and ranked by exact distance. Every row of the table is a query.
 
-Nothing is tuned to a table by hand. M follows from the row count (about `bucket_rows` rows a bucket) and W from the
-spread of all vectors. An audit then ranks a bounded sample of queries (`audit_rows`, exactly, against the whole table)
-and takes the fewest probes by which `target` of their true neighbours are reached, or fewer functions where
-`max_probes` don't do it; with no function left a bucket is the whole table, which is brute force.
+Nothing is tuned to a table by hand. W follows from the spread of all vectors, and M is at most what leaves about
+`bucket_rows` rows a bucket. An audit ranks a bounded sample of queries (`audit_rows`, exactly, against the whole table).
+For each M it takes the fewest probes by which `target` of their true neighbours are reached, if `max_probes` suffice,
+and estimates the work: candidates compared (from the collisions within the sample) and copies of the query shipped. The
+M of the least work is used. Only if no M of 1 or more will do is the table one bucket: brute force, in tiles.
 
 Points and probes meet by bucket in groups of buckets, so a query's vector goes to a group once for all the buckets it
-probes there, and each group sends on only the k best of a query.
+probes there, and each group sends on only the k best of a query. Buckets of more than `block_rows` points are tiles:
+their points and their queries fall into parts by a hash of the id, and each part meets each, so no task holds a hot one.
 
-Defined results: vectors that are null, of another dimension than the table's most frequent one, or that hold a null or
-NaN are no points and no queries; so are null ids. Of a repeated id the least vector counts. A row is not its own
+Defined results: vectors that are null, of another dimension than the table's most frequent one, or that hold a null, NaN
+or infinity are no points and no queries; so are null ids. Of a repeated id the least vector counts. A row is not its own
 neighbour, equal vectors under other ids are; ties in distance go to the lesser id. A table of n rows gives at most
 n - 1 neighbours a row, so an empty one and one of a single row give none. Other columns are ignored.
 """
@@ -34,7 +36,8 @@ from lattice.llm._shared import table, written
 from lattice.llm._text import mix
 from lattice.llm._vectors import blobs, clean, matrix, unblob
 
-NEIGHBOURS, TABLES, BUCKET_ROWS, MAX_PROBES, AUDIT_ROWS, TARGET, SEED = 10, 4, 256, 48, 200, 0.96, 7
+NEIGHBOURS, TABLES, BUCKET_ROWS, BLOCK_ROWS, MAX_PROBES, AUDIT_ROWS, TARGET, SEED = 10, 4, 256, 50_000, 48, 200, 0.96, 7
+SHIPPED = 400  # comparisons that take as long as sending a vector to one more bucket
 WIDTH = 1.5  # of a function's cells, in standard deviations of the projections
 
 
@@ -117,17 +120,26 @@ def nearest(queries: np.ndarray, ids: np.ndarray, points: np.ndarray, point_ids:
     centre = points.mean(axis=0, dtype=np.float64) if len(points) else 0.0
     near = (points - centre).astype(np.float32)
     squares = np.einsum("ij,ij->i", near, near, dtype=np.float64)
-    unsure = 4 * (dim + 8) * float(np.finfo(np.float32).eps)  # of the squared lengths, the error of a rough squared distance
+    unsure = 6 * (dim + 8) * float(np.finfo(np.float32).eps)  # of the squared lengths, the error of a rough squared distance
+    least, slack = (1 - unsure) * squares, (2 * unsure * squares).astype(np.float32)
+    alike = bool(len(points)) and slack.max() <= 4 * np.median(slack)  # one bound of the error is then good enough for all points
+    held = np.concatenate([near, least[:, None].astype(np.float32)], axis=1)
     step = max(1, 4_000_000 // max(1, len(points)))
     few = min(len(points), k + 1)  # the query itself may be among them
+    fold = max(1, min(16, len(points) // (4 * few)))
+    width = len(points) // fold
     for at in range(0, len(queries) if len(points) else 0, step):
         q = queries[at : at + step]
         moved = (q - centre).astype(np.float32)
         lengths = np.einsum("ij,ij->i", moved, moved, dtype=np.float64)
-        rough = squares - 2.0 * (moved @ near.T)
-        kth = np.partition(rough + unsure * squares, few - 1, axis=1)[:, few - 1] + (1 + unsure) * lengths
+        rough = np.concatenate([-2 * moved, np.ones((len(q), 1), np.float32)], axis=1) @ held.T  # a lower bound, but for the query's own length
+        high = (rough if alike else rough + slack)[:, : fold * width].reshape(len(q), fold, width).min(axis=1)
+        if alike:
+            high = high + slack.max()  # the k-th of these is no less than the k-th of all
+        kth = np.partition(high, few - 1, axis=1)[:, few - 1].astype(np.float64) + (1 + unsure) * lengths
         limit = (np.sqrt(np.maximum(kth, 0)) + 2e-6) ** 2 - (1 - unsure) * lengths  # distances are compared by six decimals
-        row, point = np.nonzero(~(rough - unsure * squares > limit[:, None]))
+        bound = np.nextafter(limit.astype(np.float32), np.float32(np.inf))
+        row, point = np.nonzero(~(rough > bound[:, None]))
         exact = np.empty(len(row))
         for cut in range(0, len(row), 100_000):
             some = slice(cut, cut + 100_000)
@@ -148,14 +160,14 @@ def nearest(queries: np.ndarray, ids: np.ndarray, points: np.ndarray, point_ids:
 
 def _merge(row: np.ndarray, neighbour: np.ndarray, distance: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k best of each row, every neighbour once."""
-    order = np.lexsort((neighbour, distance, row))
+    order = np.lexsort((neighbour, distance, row))  # a neighbour found again has the same distance, so it comes next
     row, neighbour = row[order], neighbour[order]
-    _, first = np.unique(np.stack([row, neighbour]), axis=1, return_index=True)
-    keep = np.sort(first)
-    row = row[keep]
-    start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    if len(row):
+        new = np.append(True, (row[1:] != row[:-1]) | (neighbour[1:] != neighbour[:-1]))
+        order, row = order[new], row[new]
+    start = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
     rank = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
-    return order[keep[rank < k]]
+    return order[rank < k]
 
 
 def _exact(points: DataFrame, queries: np.ndarray, ids: np.ndarray, dim: int, k: int) -> dict[int, np.ndarray]:
@@ -188,26 +200,37 @@ def tune(points: DataFrame, dim: int, rows: int, k: int, tables: int, bucket_row
     rng = np.random.default_rng(seed)
     most = int(np.ceil(np.log2(max(1.0, rows / bucket_rows)) / 1.25))
     axes, shifts = rng.normal(size=(tables, most, dim)).astype(np.float32) / np.float32(spread * WIDTH), rng.random((tables, most)).astype(np.float32)
+    best: tuple[float, Tables, int] | None = None
     for functions in range(most, -1, -1):
-        made = Tables(axes[:, :functions], shifts[:, :functions], centre)
+        if not functions and best:
+            break
+        used = tables if functions else 1
+        made = Tables(axes[:used, :functions], shifts[:used, :functions], centre)
         moves = perturbations(functions, max_probes)
-        reached = [np.full(sum(len(v) for v in true.values()), len(moves))]
-        for t in range(tables):
+        missed = len(moves)
+        reached = [np.full(sum(len(v) for v in true.values()), missed)]
+        among = []
+        for t in range(used):
             probes, at = made.probes(x, t, moves), []
             for i, q in enumerate(ids.tolist()):
                 if q in true:
                     hit = made.keys(np.floor(made.places(true[q], t)), t)[:, None] == probes[i][None, :]
-                    at.append(np.where(hit.any(axis=1), hit.argmax(axis=1), len(moves)))
+                    at.append(np.where(hit.any(axis=1), hit.argmax(axis=1), missed))
             if at:
                 reached.append(np.concatenate(at))
+            hit = made.keys(np.floor(made.places(x, t)), t)[None, :, None] == probes[:, None, :]
+            among.append(np.where(hit.any(axis=2), hit.argmax(axis=2), missed)[~np.eye(len(x), dtype=bool)])
         need = np.sort(np.min(reached, axis=0))
         probes = int(need[int(np.ceil(target * len(need))) - 1]) + 1 if len(need) else 1
-        if probes <= len(moves):
-            return made, probes
-    raise AssertionError("a table without functions is one bucket")
+        if probes <= missed:
+            share = sum(float((a < probes).mean()) if len(a) else 1.0 for a in among)
+            work = rows * share + SHIPPED * used * probes
+            if best is None or work < best[0]:
+                best = work, made, probes
+    return best[1:]
 
 
-def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, bucket_rows: int = BUCKET_ROWS, max_probes: int = MAX_PROBES, audit_rows: int = AUDIT_ROWS, target: float = TARGET, dim: int | None = None, seed: int = SEED) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, bucket_rows: int = BUCKET_ROWS, max_probes: int = MAX_PROBES, audit_rows: int = AUDIT_ROWS, target: float = TARGET, dim: int | None = None, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(vec_id, neighbour_id, distance, rank) of the k nearest neighbours found for every row."""
     points, dim = clean(vectors, dim)
     points = written(points, "points")
@@ -218,7 +241,34 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, bu
     made, probes = tune(points, dim, rows, k, tables, bucket_rows, max_probes, audit_rows, target, seed)
     moves = perturbations(made.axes.shape[1], max_probes)
     groups = max(1, rows * len(made.axes) * probes // 250_000)
-    sent = points.sparkSession.sparkContext.broadcast((made.axes, made.shifts, made.centre))
+    context = points.sparkSession.sparkContext
+    sent = context.broadcast((made.axes, made.shifts, made.centre))
+
+    def stored_keys(made: Tables, x: np.ndarray) -> np.ndarray:
+        return np.stack([made.keys(np.floor(made.places(x, t)), t) for t in range(len(made.axes))], axis=1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Tables(*sent.value)
+        for batch in batches:
+            key, n = np.unique(stored_keys(made, matrix(batch.column(1), dim)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+
+    large = points.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > block_rows).orderBy("key").collect()  # at most rows * tables / block_rows
+    tiled = context.broadcast((np.array([r["key"] for r in large], dtype=np.int64), np.array([-(-r["n"] // block_rows) for r in large], dtype=np.int64)))
+
+    def tiles(key: np.ndarray, row: np.ndarray, ids: np.ndarray, probing: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The same with the keys of large buckets repeated, one for each tile in which the row takes part."""
+        hot, parts = tiled.value
+        if not len(hot):
+            return key, row
+        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        count = np.where(hot[at] == key, parts[at], 1)
+        again = np.repeat(np.arange(len(key)), count)
+        other = np.arange(len(again)) - np.repeat(np.cumsum(count) - count, count)
+        own = (mix(ids.view(np.uint64)) % np.uint64(1 << 20)).astype(np.int64)[row[again]] % count[again]
+        left, right = (own, other) if probing else (other, own)
+        tile = mix((left * (1 << 31) + right).view(np.uint64) + mix(key[again].view(np.uint64))).view(np.int64)
+        return np.where(count[again] > 1, tile, key[again]), row[again]
 
     def emit(batches: Iterator[pa.RecordBatch], probing: bool) -> Iterator[pa.RecordBatch]:
         made = Tables(*sent.value)
@@ -226,11 +276,11 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, bu
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)
                 x = matrix(part.column(1), dim)
-                keys = np.concatenate([made.probes(x, t, moves)[:, :probes] if probing else made.keys(np.floor(made.places(x, t)), t)[:, None] for t in range(len(made.axes))], axis=1)
-                group = (mix(keys.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
-                row = np.repeat(np.arange(len(x)), keys.shape[1])
-                order = np.lexsort((row, group.ravel()))
-                row, group, key = row[order], group.ravel()[order], keys.ravel()[order]
+                keys = np.concatenate([made.probes(x, t, moves)[:, :probes] for t in range(len(made.axes))], axis=1) if probing else stored_keys(made, x)
+                key, row = tiles(keys.ravel(), np.repeat(np.arange(len(x)), keys.shape[1]), part.column(0).to_numpy(), probing)
+                group = (mix(key.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+                order = np.lexsort((row, group))
+                row, group, key = row[order], group[order], key[order]
                 start = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (group[1:] != group[:-1])))
                 ends = pa.array(np.append(start, len(row)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(group[start]), part.column(0).take(pa.array(row[start])), blobs(x[row[start]]), pa.ListArray.from_arrays(ends, pa.array(key))], names=["group", "vec_id", "vector", "keys"])

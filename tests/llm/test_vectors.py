@@ -55,6 +55,24 @@ def test_ann_edge_cases(spark):
     assert ann.neighbours(frame(spark, [1], [[1, 2]])).count() == 0
 
 
+def test_merge_keeps_each_neighbour_once():
+    row, neighbour, distance = np.array([1, 0, 1, 1, 0, 1]), np.array([5, 2, 5, 3, 4, 9]), np.array([0.2, 0.1, 0.2, 0.2, 0.3, 0.1])
+    best = ann._merge(row, neighbour, distance, 2)
+    assert [(row[i], neighbour[i]) for i in best] == [(0, 2), (0, 4), (1, 9), (1, 3)]
+    assert len(ann._merge(row[:0], neighbour[:0], distance[:0], 2)) == 0
+
+
+@pytest.mark.parametrize("block_rows", [40, 400])
+def test_large_buckets_are_tiled(spark, block_rows):
+    """Few functions and small blocks: buckets fall into tiles, and nothing is lost by it."""
+    x = np.random.default_rng(3).normal(size=(500, 12)).astype(np.float32)
+    true, _ = true_neighbours(x, 10)
+    found = [set() for _ in x]
+    for r in ann.neighbours(frame(spark, range(len(x)), x), bucket_rows=250, block_rows=block_rows).collect():
+        found[r.vec_id].add(r.neighbour_id)
+    assert sum(len(a & b) for a, b in zip(found, true)) >= 0.9 * 5000
+
+
 def test_ties_beyond_the_candidates_go_to_the_lesser_ids(spark):
     rng = np.random.default_rng(8)
     x = np.concatenate([np.tile(rng.normal(size=(1, 16)), (100, 1)), rng.normal(size=(100, 16))]).astype(np.float32)
