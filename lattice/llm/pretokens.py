@@ -10,10 +10,10 @@ are shuffled once, by chunk; both branches below read that one exchange:
 * texts: met by chunk with those values, which are put in place by position.
 
 So what is shuffled by word is a chunk's distinct words, compressed, not its occurrences; and no table grows in one place: the
-distinct-word table is as many parts as there are shuffle partitions, never broadcast or collected.
+distinct-word table has a part for each BUCKET_BYTES of input, never broadcast or collected.
 
-Rows are expected in a repeatable order, as a file scan gives them: a chunk is named by its place and content, and a
-task that is run again after a loss must make the same chunks. Write the result of a shuffle before it is encoded.
+A chunk is named by its place and content, and a task that is run again after a loss must make the same chunks. So rows
+whose order may change, such as those of a shuffle, are written to the shared folder first.
 """
 
 from __future__ import annotations
@@ -33,12 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattice.llm._shared import plan_bytes, repeatable
 from lattice.llm._text import release, span_hashes
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The byte-level BPE pre-token pattern; white space is Unicode's, as (?U) makes it in Java.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"""
 CHUNK_BYTES = 8 << 20
+#: Input for which a part of the distinct-word table is made at least, and one of the shuffle of chunks.
+BUCKET_BYTES, PART_BYTES = 64 << 20, 16 << 20
 _CHUNK = "chunk bigint, doc_ids array<bigint>, words binary, lengths binary, sizes binary, places binary, times binary"
 
 
@@ -149,16 +152,19 @@ class Values:
 
 def by_distinct_word(docs: DataFrame, value: Callable[[list[str]], list[list[int]]], put: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray, Values], pa.Table], schema: str, frequencies: bool = False) -> DataFrame:
     """value: distinct words -> a list of integers for each; put: (chunk, sizes, places, times, values) -> its rows."""
-    text = F.col("text").cast("string")
-    split = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0)).alias("words"), F.length(text).cast("bigint").alias("size"))
-    chunks = split.mapInArrow(lambda b: _pack(b, frequencies), _CHUNK).repartition("chunk")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made = repeatable(slim, "texts")
+    size = plan_bytes(docs if made is slim else made)
+    docs, text, partitions = made, F.col("text"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = docs.select("doc_id", F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0)).alias("words"), F.length(text).cast("bigint").alias("size"))
+    chunks = split.mapInArrow(lambda b: _pack(b, frequencies), _CHUNK).repartition(max(partitions, size // PART_BYTES), "chunk")
+    buckets = max(partitions, size // BUCKET_BYTES)
     words = chunks.mapInArrow(lambda b: _list_words(b, buckets), "bucket int, chunk bigint, words binary, lengths binary")
 
     def handle(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         lists = [_words(w.as_py(), n.as_py()) for w, n in zip(rows.column("words"), rows.column("lengths"))]
-        coded = pa.concat_arrays(lists).dictionary_encode()
+        coded = pa.concat_arrays([x.cast(pa.large_string()) for x in lists]).dictionary_encode()
         found = value(coded.dictionary.to_pylist())
         lengths = np.fromiter(map(len, found), np.int32, len(found))
         starts = np.cumsum(lengths, dtype=np.int64) - lengths

@@ -67,3 +67,21 @@ def test_very_long_text(spark, reference):
     text = "lorem ipsum dolor " * 40_000
     out = bpe.decode(bpe.encode(rows(spark, [text]))).first()
     assert out.text == text and out.ids == reference.encode_ordinary(text)
+
+
+def test_shuffled_input_is_written_first(spark, reference):
+    from lattice.llm._shared import repeatable
+
+    df = rows(spark, TEXTS * 3).repartition(3)
+    assert "Exchange" not in repeatable(df, "texts")._jdf.queryExecution().executedPlan().toString()
+    scan = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert repeatable(scan.where("doc_id > 3").select("doc_id", "text"), "texts").inputFiles() == scan.inputFiles()
+    out = {r.doc_id: r.ids for r in bpe.encode(df).collect()}
+    assert all(out[i] == (None if t is None else reference.encode_ordinary(t)) for i, t in enumerate(TEXTS * 3))
+
+
+def test_more_buckets_than_partitions(spark, reference, monkeypatch):
+    monkeypatch.setattr(pretokens, "BUCKET_BYTES", 40)
+    monkeypatch.setattr(pretokens, "PART_BYTES", 100)
+    out = {r.doc_id: r.n_tokens for r in token_counts.token_counts(rows(spark, TEXTS)).collect()}
+    assert all(out[i] == len(reference.encode_ordinary(t or "")) for i, t in enumerate(TEXTS))
