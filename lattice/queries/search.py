@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lattice.functions import vectors as V
 from lattice.operators import attention, clusters
 from lattice.operators import similarity as S
+from lattice.operators.index import IvfIndex
 from lattice.queries._base import CENTROIDS, E, LEAST, Q0, U, edges, one_query, query, r, rounded, table, units
 
 COS = "list_cosine_similarity(v, w)"
@@ -68,6 +69,13 @@ def combined_similarity(spark, sf):
     return rounded(S.pairwise(units(spark, sf), 0.3, metric="combined"), "similarity")
 
 
+@query("ivf_search")
+def ivf_search(spark, sf):
+    """Every unit as a query of an inverted-file index over all units."""
+    u = units(spark, sf)
+    return rounded(IvfIndex().fit(u).search(as_queries(spark, sf), 10), "similarity")
+
+
 @query("vector_stats", f"with {U} select unit_id, round(sqrt(list_inner_product(v, v)), 6) as magnitude, round(list_var_pop(v), 8) as variance from u")
 def vector_stats(spark, sf):
     return units(spark, sf).select("unit_id", r(V.norm(F.col("embedding"))).alias("magnitude"), r(V.variance(F.col("embedding")), 8).alias("variance"))
