@@ -1,7 +1,8 @@
 """Vectorised text kernels shared by the operators: whole Arrow batches at a time, no per-word Python.
 
-A *word* is a maximal run of ASCII letters, digits and bytes >= 0x80 of the lower-cased UTF-8 text, so any
-non-ASCII letter is a word character. A null text has no words, exactly as an empty one.
+A *word* is a maximal run of ASCII letters and digits and of other characters that are no ASCII, of the lower-cased
+text. General, Latin-1, CJK and full-width punctuation and spaces are no word characters, and a character of a script
+without spaces (Han, kana, Thai, Lao, Burmese, Khmer) is a word by itself. A null text has no words, exactly as an empty one.
 """
 
 from __future__ import annotations
@@ -76,6 +77,36 @@ def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+_ALONE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
+_MARKS = ((0x2000, 0x206F), (0x3001, 0x3004), (0x3008, 0x3030), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+_SPACES = ((0x2000, 0x200B), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
+
+
+def _within(code: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    return np.logical_or.reduce([(code >= low) & (code <= high) for low, high in ranges])
+
+
+def _beyond_ascii(raw: np.ndarray, kind: np.ndarray, sign: int) -> np.ndarray:
+    """Sets the kind of punctuation (sign) and spaces (0) beyond ASCII; where characters begin and end that are words alone."""
+    two = np.flatnonzero(raw == 0xC2)
+    other = raw[two + 1]
+    two = two[(other != 0xAA) & (other != 0xB5) & (other != 0xBA)]  # ordinals and the micro sign are letters
+    kind[two] = kind[two + 1] = np.where((raw[two + 1] <= 0x9F) | (raw[two + 1] == 0xA0), 0, sign)
+    times = np.flatnonzero(raw == 0xC3)
+    times = times[(raw[times + 1] == 0x97) | (raw[times + 1] == 0xB7)]
+    kind[times] = kind[times + 1] = sign
+    at = np.flatnonzero((raw >= 0xE0) & (raw < 0xF0))
+    code = ((raw[at] & 0xF).astype(np.int32) << 12) | ((raw[at + 1] & 0x3F).astype(np.int32) << 6) | (raw[at + 2] & 0x3F)
+    space = _within(code, _SPACES)
+    for which, value in ((_within(code, _MARKS) & ~space, sign), (space, 0)):
+        for i in range(3):
+            kind[at[which] + i] = value
+    alone = at[_within(code, _ALONE)]
+    far = np.flatnonzero(raw == 0xF0)
+    far = far[(raw[far + 1] >= 0xA0) & (raw[far + 1] <= 0xAF)]  # further Han characters
+    return np.concatenate([alone, alone + 3, far, far + 4])
+
+
 def word_hashes(texts: pa.Array, signs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """One 64-bit hash per word in order, and the offsets of each text's words.
 
@@ -87,9 +118,11 @@ def word_hashes(texts: pa.Array, signs: bool = False) -> tuple[np.ndarray, np.nd
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     kind = (_SIGNS if signs else _WORDS)[raw]
+    alone = _beyond_ascii(raw, kind, 2 if signs else 0) if (raw >= 0xC2).any() else np.zeros(0, np.int64)
     turn = np.empty(n + 1, dtype=bool)
     turn[0] = turn[-1] = True
     np.not_equal(kind[1:], kind[:-1], out=turn[1:-1])
+    turn[alone] = True
     turn[starts] = True  # a text's first byte begins a word even if the text before ended in one
     some = kind != 0
     begin = np.flatnonzero(turn[:-1] & some)

@@ -13,7 +13,9 @@ of near copies. The steps:
 4. Verification in the bucket, without listing all pairs: each member is compared with the leaders so far, then members
    of different groups with one another, so that a pair is skipped only if a chain of verified pairs joins it already.
    Estimates more than `sigmas` standard errors from the threshold decide; the pairs between go to the exact
-   Jaccard similarity of the whole texts.
+   Jaccard similarity of the whole texts. A bucket of more than `bucket_rows` members is never one task: its parts are
+   checked first, then the leaders of the parts, in parts again, and so on. Members that are then outside the bucket's
+   largest component are compared with all members, tile by tile, so no pair of different components goes unchecked.
 5. Union by distributed connected components.
 
 Defined results: a null, empty or wordless text is in no group (its group_id is its doc_id). Repeated rows of one
@@ -34,7 +36,7 @@ from lattice.llm._shared import table, written
 from lattice.llm._text import as_text, mix, ngrams, pieces, release, word_hashes
 from lattice.operators.components import connected_components
 
-SHINGLE, SLOTS, BANDS, THRESHOLD, SIGMAS = 3, 128, 32, 0.5, 3.0
+SHINGLE, SLOTS, BANDS, THRESHOLD, SIGMAS, BUCKET_ROWS = 3, 128, 32, 0.5, 3.0, 4096
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -112,8 +114,11 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, slots: int = SLOTS, band
     return rows.mapInArrow(lambda b: _sign(b, shingle, slots, bands), "doc_id bigint, whole string, slots binary, keys array<bigint>")
 
 
-def _bucket(rows: pd.DataFrame, threshold: float, sigmas: float) -> pd.DataFrame:
-    """Edges of one bucket: sure ones as a forest, and unsure pairs between groups that it leaves apart."""
+def _bucket(rows: pd.DataFrame, threshold: float, sigmas: float, leading: bool = False) -> pd.DataFrame:
+    """Edges of one bucket: sure ones as a forest, and unsure pairs between groups that it leaves apart.
+
+    leading: the leaders too, as edges to themselves, one for each group.
+    """
     ids = rows["doc_id"].to_numpy()
     order = np.argsort(ids, kind="stable")
     ids, raw = ids[order], np.frombuffer(b"".join(rows["slots"].iloc[order]), dtype=np.uint8).reshape(len(rows), -1)
@@ -150,7 +155,65 @@ def _bucket(rows: pd.DataFrame, threshold: float, sigmas: float) -> pd.DataFrame
         if unsure:
             group = dict(zip(ids, root))
             unsure = [u for u in unsure if group[u[0]] != group[u[1]]]
-    return pd.DataFrame(edges + unsure, columns=["src", "dst", "sure"])
+    own = [(ids[i], ids[i], True) for i in np.unique(root, return_index=True)[1]] if leading else []
+    return pd.DataFrame(edges + unsure + own, columns=["src", "dst", "sure"])
+
+
+def _tile(rest: pa.Table, members: pa.Table, threshold: float, sigmas: float) -> pa.Table:
+    """Edges between rows of the two sides that are in different components: a sure one for each two components, and unsure ones."""
+    out: list[tuple[int, int, bool]] = []
+    if len(rest) and len(members):
+        (i, a, g), (j, b, h) = ((t.column("doc_id").to_numpy(), np.frombuffer(b"".join(t.column("slots").to_pylist()), dtype=np.uint8).reshape(len(t), -1), t.column("component").to_numpy()) for t in (rest, members))
+        margin = sigmas * np.sqrt(threshold * (1 - threshold) / a.shape[1])
+        joined: set[tuple[int, int]] = set()
+        for at in range(0, len(a), 16):
+            same = (a[at : at + 16, None, :] == b[None, :, :]).mean(axis=2)
+            s = np.where(g[at : at + 16, None] == h[None, :], -1, (same - 1 / 256) / (1 - 1 / 256))
+            for r, c in zip(*np.nonzero(s > threshold - margin)):
+                pair = (int(g[at + r]), int(h[c]))
+                if s[r, c] < threshold + margin:
+                    out.append((int(i[at + r]), int(j[c]), False))
+                elif pair not in joined:
+                    joined.add(pair)
+                    out.append((int(i[at + r]), int(j[c]), True))
+        out = [(*sorted(e[:2]), e[2]) for e in out]
+    return pa.table({"src": pa.array([e[0] for e in out], pa.int64()), "dst": pa.array([e[1] for e in out], pa.int64()), "sure": pa.array([e[2] for e in out], pa.bool_())})
+
+
+_EDGE = "src bigint, dst bigint, sure boolean"
+
+
+def _large_buckets(rows: DataFrame, sure: DataFrame, bucket_rows: int, threshold: float, sigmas: float) -> DataFrame:
+    """Edges of the buckets (key, doc_id, slots) that are too large for a task; sure: edges known from the others."""
+    found, level, before = [], rows, None
+    for step in range(64):
+        sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / bucket_rows))
+        most = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        parted = level.join(sizes.select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(step)), F.col("parts")))
+        run = lambda key, r: _bucket(r, threshold, sigmas, True).assign(key=key[0])
+        made = written(parted.select("key", "part", "doc_id", "slots").groupBy("key", "part").applyInPandas(run, f"{_EDGE}, key bigint"), "large")
+        found.append(made.where("src <> dst").select("src", "dst", "sure"))
+        if most <= bucket_rows or (before is not None and most > 0.9 * before):
+            break
+        before = most
+        level = written(level.join(made.where("src = dst").select("key", F.col("src").alias("doc_id")), ["key", "doc_id"], "left_semi"), "leaders")
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    groups = connected_components(sure.unionByName(edges.where("sure").select("src", "dst")))
+    placed = written(rows.join(groups.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
+    counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.sum("n").alias("members"), F.max("n").alias("most"))
+    per = per.where("members > most").select("key", "largest", F.ceil(F.col("members") / bucket_rows).alias("parts"), F.ceil((F.col("members") - F.col("most")) / bucket_rows).alias("blocks"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    cells = placed.join(per, "key")
+    columns = ["key", "block", "part", "doc_id", "slots", "component"]
+    rest = cells.where("component <> largest").withColumn("block", own("blocks")).withColumn("part", spread("parts")).select(*columns)
+    members = cells.withColumn("part", own("parts")).withColumn("block", spread("blocks")).select(*[F.col(c).alias(c) for c in columns])
+    keys = columns[:3]
+    crossed = rest.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(lambda a, b: _tile(a, b, threshold, sigmas), _EDGE)
+    return edges.unionByName(crossed)
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -160,16 +223,23 @@ def _jaccard(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value, pa.float64())], names=["src", "dst", "jaccard"])
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, slots: int = SLOTS, bands: int = BANDS, threshold: float = THRESHOLD, sigmas: float = SIGMAS) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, slots: int = SLOTS, bands: int = BANDS, threshold: float = THRESHOLD, sigmas: float = SIGMAS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, group_id, is_kept): group_id is the least doc_id of the group, which is the one document kept."""
     signed = written(signatures(docs, shingle, slots, bands), "signatures")
     exact = signed.groupBy("whole").agg(F.min("doc_id").alias("head"))
     copies = signed.join(exact, "whole").select("doc_id", "head").where("doc_id <> head").distinct()
     heads = signed.join(exact.select(F.col("head").alias("doc_id"), "whole"), ["doc_id", "whole"], "left_semi")
-    buckets = heads.select("doc_id", F.explode("keys").alias("key")).groupBy("key").agg(F.array_sort(F.collect_set("doc_id")).alias("members")).where("size(members) > 1").select("members").distinct()
+    keyed = heads.select("doc_id", F.explode("keys").alias("key"))
+    large = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows).select("key"), "large-keys")
+    some = not large.isEmpty()
+    usual = keyed.join(large, "key", "left_anti") if some else keyed
+    buckets = usual.groupBy("key").agg(F.array_sort(F.collect_set("doc_id")).alias("members")).where("size(members) > 1").select("members").distinct()
     members = buckets.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("doc_id"))
     rows = members.join(heads.select("doc_id", "slots"), "doc_id")
-    edges = written(rows.groupBy("bucket").applyInPandas(lambda r: _bucket(r, threshold, sigmas), "src bigint, dst bigint, sure boolean").distinct(), "edges")
+    edges = written(rows.groupBy("bucket").applyInPandas(lambda r: _bucket(r, threshold, sigmas), _EDGE).distinct(), "edges")
+    if some:
+        hot = written(keyed.join(large, "key", "left_semi").distinct().join(heads.select("doc_id", "slots"), "doc_id").select("key", "doc_id", "slots").dropDuplicates(["key", "doc_id"]), "large-rows")
+        edges = written(edges.unionByName(_large_buckets(hot, edges.where("sure").select("src", "dst"), bucket_rows, threshold, sigmas)).distinct(), "edges")
     sure = edges.where("sure").select("src", "dst")
     unsure = edges.where("not sure").select("src", "dst").join(sure, ["src", "dst"], "left_anti")
     text = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))

@@ -120,7 +120,34 @@ def test_empty_table(spark):
     assert m.drop_near_duplicates(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("text,n", [("", 0), ("a b", 2), ("a,b;c é", 4)])
+def test_large_buckets_in_parts(spark):
+    """Every bucket of more than 16 members goes through parts, leaders and tiles; the groups are those of brute force."""
+    rng = random.Random(6)
+    base = words(rng, 120).split()
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        copy[rng.randrange(len(copy))] = words(rng, 1)
+        rows.append((i, " ".join(copy)))
+    half = base[:70]
+    rows += [(200 + i, " ".join([*half, *words(rng, 110).split()])) for i in range(60)]  # share a part, but are no copies
+    rows += [(400 + i, " ".join([*half, *words(rng, 3).split()])) for i in range(40)]
+    expected = groups_by_brute_force(rows, m.THRESHOLD)
+    found = got(m.near_duplicate_groups(frame(spark, rows), bucket_rows=16))
+    assert sum(expected[i] != found[i] for i in expected) <= 0.02 * len(expected)
+    assert found == got(m.near_duplicate_groups(frame(spark, rows)))
+
+
+def test_tiles_join_different_components_only():
+    import pyarrow as pa
+
+    raw = np.random.default_rng(1).integers(0, 256, (3, 128), dtype=np.uint8)
+    table = lambda ids, at, group: pa.table({"doc_id": ids, "slots": [raw[i].tobytes() for i in at], "component": group})
+    out = m._tile(table([7, 8], [0, 1], [7, 7]), table([1, 2, 3, 4], [0, 0, 1, 2], [1, 1, 7, 4]), 0.5, 3.0).to_pylist()
+    assert [(r["src"], r["dst"], r["sure"]) for r in out] == [(1, 7, True)]
+
+
+@pytest.mark.parametrize("text,n", [("", 0), ("a b", 2), ("a,b;c é", 4), ("我喜欢。苹果", 5), ("«été»… “x”", 2), ("ไทย ab", 4), ("ひ123か", 3), ("한국 말", 2), ("𠀀𠀁a", 3), ("a\u00a0b\u3000c", 3), ("１２、３", 2)])
 def test_words(text, n):
     import pyarrow as pa
 
