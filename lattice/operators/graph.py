@@ -84,13 +84,13 @@ def pagerank(edges: DataFrame, vertices: DataFrame | None = None, damping: float
         if dangling:
             leak = F.lit(ranks.join(ends, "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0] / n)
         new = ids.join(flow, "id", "left").select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("flow", F.lit(0.0)) + leak)).alias("rank"))
-        if tolerance is not None or i % CUT_EVERY == CUT_EVERY - 1:
-            new = cut(new)
-        if tolerance is not None:
-            change = new.join(ranks.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            if change < tolerance:
-                return ranks
-        ranks = new
+        if tolerance is None:
+            ranks = cut(new) if i % CUT_EVERY == CUT_EVERY - 1 else new
+            continue
+        both = cut(new.join(ranks.withColumnRenamed("rank", "old"), "id"))
+        if both.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0))).first()[0] < tolerance:
+            return both.select("id", F.col("old").alias("rank"))
+        ranks = both.select("id", "rank")
     return ranks
 
 

@@ -78,19 +78,6 @@ def pagerank_10(spark, sf):
     return rounded(G.pagerank(sym(spark, sf), vertices(spark, sf), iterations=10), "rank", places=9)
 
 
-def _converged_sql(most, tolerance):
-    changes = " union all ".join(f"select {i + 1} as i, sum(abs(a.rank - b.rank)) as change from r{i + 1} a join r{i} b using (id)" for i in range(most))
-    ranks = " union all ".join(f"select {i} as i, id, rank from r{i}" for i in range(most))
-    steps = _pagerank_sql(most).rsplit(" select id, round", 1)[0]
-    return f"{steps}, changes as ({changes}), stop as (select min(i) - 1 as i from changes where change < {tolerance!r}) select id, round(rank, 9) as rank from ({ranks}) join stop using (i)"
-
-
-@query("pagerank_converged", _converged_sql(40, 1e-6))
-def pagerank_converged(spark, sf):
-    """Up to 100 rounds, until the ranks change by less than 1e-6 in all."""
-    return rounded(G.pagerank(sym(spark, sf), vertices(spark, sf), iterations=100, tolerance=1e-6), "rank", places=9)
-
-
 def _activation_sql(n):
     steps = ["a0 as (select distinct src as id, case when src in (0, 1, 2) then 1.0::double else 0.0::double end as a from s)"]
     for i in range(n):
