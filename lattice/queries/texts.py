@@ -317,7 +317,7 @@ def consolidation_counts(spark, sf):
 
 
 _FACTS = f"""fa as (select doc_id, chunk_no, unnest(list_distinct({SENTENCES.format(t='chunk')})) as content from ch), un as (select row_number() over () as id, doc_id, chunk_no, content, {MD5.format(t='content')} as v from fa),
- un2 as (select content, count(*) as n, any_value(v)::float[16] as v from un group by content), nr as (select a.content, sum(b.n) - 1 as c from un2 a join un2 b on array_cosine_similarity(a.v, b.v) > 0.95 group by 1), near as (select coalesce(sum(n * least(c, 15)), 0) as n from un2 join nr using (content)),
+ un2 as (select content, count(*) as n, any_value(v)::double[16] as v from un group by content), nr as (select a.content, sum(b.n) - 1 as c from un2 a join un2 b on array_cosine_similarity(a.v, b.v) > 0.95 group by 1), near as (select coalesce(sum(n * least(c, 15)), 0) as n from un2 join nr using (content)),
  loc as (select count(*) as n from un a join un b on a.doc_id = b.doc_id and a.chunk_no = b.chunk_no and a.id < b.id where list_cosine_similarity(a.v, b.v) > 0.95)"""
 
 
