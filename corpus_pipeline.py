@@ -13,12 +13,12 @@ from lattice.llm._shared import table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels of this corpus, rejects go."""
+    """Documents that the classifier, trained on the labels of this corpus, rejects go; null, empty and blank texts are rejected."""
     return quality.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the least doc_id."""
+    """One document of each group of near copies stays, that of the least doc_id; rows of a null doc_id all stay."""
     return minhash_dedup.drop_near_duplicates(docs)
 
 
@@ -28,7 +28,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, text): the tokens of every row, and the text decoded from them."""
+    """(doc_id, ids, n_tokens, text): the tokens of every row, and the text decoded from them; null and empty texts come back as they were."""
     return bpe.decode(bpe.encode(docs))
 
 

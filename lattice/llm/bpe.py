@@ -54,7 +54,8 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def decode(coded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """coded (doc_id, ids, ...) with a column text."""
+    """coded (doc_id, ids, ...) with a column text, in place of one that it may have."""
+    coded = coded.drop("text")
     ranks = load_ranks(tokenizer)
     pieces = coded.sparkSession.sparkContext.broadcast([p for _, p in sorted((r, b) for b, r in ranks.items())])
 

@@ -63,6 +63,12 @@ def test_decode_of_foreign_ids(spark):
     assert out == {1: "", 2: '!"', 3: ""}
 
 
+def test_decode_replaces_a_text_column(spark):
+    df = spark.createDataFrame([(1, [0, 1], "old")], "doc_id bigint, ids array<int>, text string")
+    out = bpe.decode(df)
+    assert out.columns == ["doc_id", "ids", "text"] and out.first().text == '!"'
+
+
 def test_very_long_text(spark, reference):
     text = "lorem ipsum dolor " * 40_000
     out = bpe.decode(bpe.encode(rows(spark, [text]))).first()
