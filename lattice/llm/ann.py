@@ -3,7 +3,8 @@
 Each of `tables` hash tables has M functions floor((a.x + b) / W) with normal a (2-stable, so that the chance of a
 collision depends on the Euclidean distance). A query visits its own bucket, then buckets whose functions are moved by
 one, in the order of the squared distances to the boundaries crossed, which estimates the success of a probe. Candidates
-of all tables are merged and ranked by exact distance. Every row of the table is a query.
+of all tables are merged and ranked by exact distance. Every row is a query unless `asking` says which are; all rows are
+searched in either case. The registered query asks for the rows whose id is divisible by QUERY_STEP.
 
 Nothing is tuned to a table by hand. W follows from the spread of all vectors, and M is at most what leaves about
 `bucket_rows` rows a bucket. An audit ranks a bounded sample of queries (`audit_rows`, exactly, against the whole table).
@@ -18,7 +19,8 @@ their points and their queries fall into parts by a hash of the id, and each par
 Defined results: vectors that are null, of another dimension than the table's most frequent one, or that hold a null, NaN
 or infinity are no points and no queries; so are null ids. Of a repeated id the least vector counts. A row is not its own
 neighbour, equal vectors under other ids are; ties in distance go to the lesser id. A table of n rows gives at most
-n - 1 neighbours a row, so an empty one and one of a single row give none. Other columns are ignored.
+n - 1 neighbours a row, so an empty one and one of a single row give none; nor does a table in which `asking` holds for
+no row (it is no query where it is null). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +31,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattice.llm._shared import table, written
 from lattice.llm._text import mix
 from lattice.llm._vectors import blobs, clean, matrix, unblob
 
-NEIGHBOURS, TABLES, BUCKET_ROWS, BLOCK_ROWS, MAX_PROBES, AUDIT_ROWS, TARGET, SEED = 10, 4, 256, 50_000, 48, 200, 0.96, 7
+NEIGHBOURS, TABLES, BUCKET_ROWS, BLOCK_ROWS, MAX_PROBES, AUDIT_ROWS, TARGET, SEED, QUERY_STEP = 10, 4, 256, 50_000, 48, 200, 0.96, 7, 50
 SHIPPED = 400  # comparisons that take as long as sending a vector to one more bucket
 WIDTH = 1.5  # of a function's cells, in standard deviations of the projections
 
@@ -230,17 +232,18 @@ def tune(points: DataFrame, dim: int, rows: int, k: int, tables: int, bucket_row
     return best[1:]
 
 
-def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, bucket_rows: int = BUCKET_ROWS, max_probes: int = MAX_PROBES, audit_rows: int = AUDIT_ROWS, target: float = TARGET, dim: int | None = None, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(vec_id, neighbour_id, distance, rank) of the k nearest neighbours found for every row."""
+def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, bucket_rows: int = BUCKET_ROWS, max_probes: int = MAX_PROBES, audit_rows: int = AUDIT_ROWS, target: float = TARGET, dim: int | None = None, seed: int = SEED, block_rows: int = BLOCK_ROWS, asking: Column | None = None) -> DataFrame:
+    """(vec_id, neighbour_id, distance, rank) of the k nearest neighbours found for every row, or those where asking (over vec_id) holds."""
     points, dim = clean(vectors, dim)
     points = written(points, "points")
-    rows = points.count()
+    searches = points if asking is None else points.where(asking)
+    rows, queries = points.count(), searches.count()
     schema = "vec_id bigint, neighbour_id bigint, distance double"
-    if not rows:
+    if not queries:
         return points.sparkSession.createDataFrame([], schema + ", rank int")
     made, probes = tune(points, dim, rows, k, tables, bucket_rows, max_probes, audit_rows, target, seed)
     moves = perturbations(made.axes.shape[1], max_probes)
-    groups = max(1, rows * len(made.axes) * probes // 250_000)
+    groups = max(1, (rows + queries * probes) * len(made.axes) // 250_000)
     context = points.sparkSession.sparkContext
     sent = context.broadcast((made.axes, made.shifts, made.centre))
 
@@ -308,11 +311,11 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, bu
         return pa.table({"vec_id": qi[row[best]], "neighbour_id": neighbour[best], "distance": distance[best]})
 
     kind = "group int, vec_id bigint, vector binary, keys array<bigint>"
-    asked, stored = (points.mapInArrow(lambda b, p=p: emit(b, p), kind).groupBy("group") for p in (True, False))
+    asked, stored = (side.mapInArrow(lambda b, p=p: emit(b, p), kind).groupBy("group") for side, p in ((searches, True), (points, False)))
     merged = asked.cogroup(stored).applyInArrow(rank, schema).distinct()
     best = merged.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour_id")))
     return best.where(F.col("rank") <= k)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(table(spark, sf_dir, "embeddings"))
+    return neighbours(table(spark, sf_dir, "embeddings"), asking=F.col("vec_id") % QUERY_STEP == 0)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattice.llm import ann, hnsw_dedup
 
@@ -36,6 +37,21 @@ def test_recall_against_brute_force(spark, maker):
     assert max(len(f) for f in found) == 10
 
 
+def test_some_rows_ask_all_rows(spark):
+    """The registered form: ids divisible by 50 are the queries, every row can be a neighbour."""
+    x = clustered(2000, 24, 4)
+    true, d = true_neighbours(x, 10)
+    asking = F.col("vec_id") % ann.QUERY_STEP == 0
+    found = {q: set() for q in range(0, 2000, 50)}
+    for r in ann.neighbours(frame(spark, range(len(x)), x), bucket_rows=64, asking=asking).collect():
+        found[r.vec_id].add(r.neighbour_id)  # no other row asks
+        assert abs(d[r.vec_id, r.neighbour_id] - r.distance) < 1e-5
+    assert all(len(f) == 10 for f in found.values())
+    assert sum(len(f & true[q]) for q, f in found.items()) >= 0.9 * 10 * len(found)
+    assert any(n % 50 for f in found.values() for n in f)
+    assert ann.neighbours(frame(spark, [1, 2], [[1, 2], [2, 1]]), asking=asking).count() == 0
+
+
 def test_probe_order_is_by_expected_success():
     sets = ann.perturbations(4, 20)
     assert not sets[0].any()
