@@ -21,3 +21,19 @@ def test_fused_layers_equal_plain_cosines(spark):
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     assert len(got) == 3 * 37
     assert all(r.similarity == pytest.approx(unit[r.query_id] @ unit[r.id]) and r.score == pytest.approx(r.similarity * (0.5 if r.layer == "b" else 1)) for r in got)
+
+
+@pytest.mark.parametrize("class_rows", [1000, 7])
+def test_common_targets_equal_plain_counts(spark, class_rows):
+    from lattice.operators.adjacency import common_targets
+
+    rng = np.random.default_rng(22)
+    m = {g: rng.random((25, 25)) < 0.3 for g in "ab"}
+    for a in m.values():
+        np.fill_diagonal(a, False)
+    e = spark.createDataFrame([(g, int(i), int(j)) for g, a in m.items() for i, j in np.argwhere(a)] + [("a", 3, 3)], "g string, src bigint, dst bigint")
+    got = {(r.g, r.src): r.linked for r in common_targets(e.unionByName(e), by="g", class_rows=class_rows).collect()}
+    for g, a in m.items():
+        for i in range(25):
+            out = np.flatnonzero(a[i])
+            assert got.get((g, i), 0) == sum(a[x, y] for x in out for y in out)
