@@ -37,3 +37,25 @@ def test_common_targets_equal_plain_counts(spark, class_rows):
         for i in range(25):
             out = np.flatnonzero(a[i])
             assert got.get((g, i), 0) == sum(a[x, y] for x in out for y in out)
+
+
+@pytest.mark.parametrize("length", [1, 2, 5])
+def test_walks_by_blocks_equal_walks_by_joins(spark, length):
+    from lattice.operators import graph as G
+    from tests.test_operators import edges_of, graph
+
+    e, v = edges_of(spark, graph(150, 0.1, 23))
+    few, many = (G.random_walk_stats(e, v, length, held=h).first() for h in (G.HELD, 0))
+    assert few.return_probability == pytest.approx(many.return_probability) and few.return_probability > 0
+
+
+def test_forests_join_what_pairs_join(spark):
+    from lattice.operators import consolidation as C
+
+    x = np.random.default_rng(24).normal(size=(60, 4))
+    u = units_of(spark, np.concatenate([x, x[:20], x[:5], [np.zeros(4)]]))
+    for threshold in (0.8, 0.9):
+        there = {(r.unit_id, r.group_id) for r in C.groups(C.replay(u, threshold)).collect()}
+        links = C.links(u, threshold)
+        assert {(r.unit_id, r.group_id) for r in C.groups(links).collect()} == there and there
+        assert links.count() < 2 * 86
