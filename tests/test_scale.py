@@ -59,3 +59,20 @@ def test_forests_join_what_pairs_join(spark):
         links = C.links(u, threshold)
         assert {(r.unit_id, r.group_id) for r in C.groups(links).collect()} == there and there
         assert links.count() < 2 * 86
+
+
+@pytest.mark.parametrize("metric", ["cosine", "combined"])
+def test_leading_vectors_equal_those_of_the_whole_matrix(spark, metric):
+    from lattice.operators.clustering import leading_vectors
+
+    x = np.random.default_rng(25).normal(size=(2100, 6))  # beyond the size up to which one matrix was taken
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    a = unit @ unit.T
+    if metric == "combined":
+        a = 0.7 * a + 0.3 / (1 + np.sqrt(np.maximum(((x[:, None, :] - x[None]) ** 2).sum(axis=2), 0)))
+    a = np.maximum(a, 0)
+    root = np.sqrt(a.sum(axis=1))
+    whole = np.linalg.eigvalsh(a / root[:, None] / root[None, :])[::-1][:4]
+    values, found = leading_vectors(spark, x, 4, metric)
+    assert np.allclose(values, whole, atol=1e-6)
+    assert np.allclose((a @ found) / root[:, None] ** 2, found * values, atol=1e-5)
