@@ -76,3 +76,13 @@ def test_leading_vectors_equal_those_of_the_whole_matrix(spark, metric):
     values, found = leading_vectors(spark, x, 4, metric)
     assert np.allclose(values, whole, atol=1e-6)
     assert np.allclose((a @ found) / root[:, None] ** 2, found * values, atol=1e-5)
+
+
+def test_ranks_are_not_refused_for_many_vertices(spark):
+    from lattice.operators import graph as G
+
+    e = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (2, 3, 1.0), (3, 2, 1.0)], "src bigint, dst bigint, weight double")
+    import inspect
+
+    assert inspect.signature(G.rank_ratio).parameters["most"].default is None
+    assert G.rank_ratio(e, e.where("src < 2"), spark.range(6)).first().rank_ratio == 0.5
