@@ -93,3 +93,40 @@ def test_sums_merge_over_batches_and_dimensions(spark):
     for i in range(40):
         assert len(got[i]) == 2 + i % 2
         assert got[i] == pytest.approx([i * sum(math.exp(m) for j, m, _, _ in rows if j == i) / weights[i]] * (2 + i % 2))
+
+
+def test_neighbours(made):
+    u, _, both, _ = made
+    rows = lambda df, w: {(r.src, r.rank): (r.dst, round(r[w], 9)) for r in df.collect()}
+    assert rows(S.knn(u, 4, least=LEAST, places=12, block_rows=20), "similarity") == rows(G.top_neighbours(both, 4), "weight")
+
+
+def test_approximation_quality(made, small_blocks):
+    u, _, both, v = made
+    same(alike.approximation_quality(u, LEAST, 0.5).first().asDict(), G.approximation_quality(both, both.where("weight >= 0.5"), v).first().asDict())
+
+
+def test_levels(made, small_blocks):
+    u, _, both, v = made
+    first = v.where("id = 0")
+    for least in (LEAST, 0.8):
+        e = both.where(f"weight >= {least}")
+        assert {(r.id, r.distance) for r in alike.bfs(u, least, first).collect()} == {(r.id, r.distance) for r in G.bfs(e, first).collect()}
+
+
+@pytest.mark.parametrize("terms", [attention.TERMS, 0])
+def test_attention_by_moments_equals_attention_by_blocks(spark, terms):
+    """0 terms: by blocks, whose vectors and sums were sent once for every 2048 rows."""
+    x = np.random.default_rng(33).normal(size=(150, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert attention._series_degree(1 / 2, 4, attention.TERMS) and attention._series_degree(30.0, 4, attention.TERMS) is None
+    got = np.array([r.attended for r in sorted(attention.multi_head_attend(units_of(spark, x), 3, key="unit_id", block_rows=40, terms=terms).collect(), key=lambda r: r.id)])
+    for h in range(3):
+        y = x[:, 4 * h : 4 * h + 4]
+        e = np.exp(y @ y.T / 2)
+        assert np.abs(got[:, 4 * h : 4 * h + 4] - e @ y / e.sum(axis=1)[:, None]).max() < 1e-12
+
+
+@pytest.mark.parametrize("query", ["neighbours", "approximation_quality", "bfs_levels"])
+def test_more_queries_list_no_edges(spark, monkeypatch, query):
+    test_queries_list_no_edges(spark, monkeypatch, query)
