@@ -130,3 +130,40 @@ def test_attention_by_moments_equals_attention_by_blocks(spark, terms):
 @pytest.mark.parametrize("query", ["neighbours", "approximation_quality", "bfs_levels"])
 def test_more_queries_list_no_edges(spark, monkeypatch, query):
     test_queries_list_no_edges(spark, monkeypatch, query)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.8, 0.999])
+def test_diameter_is_exact_beyond_100_rows(spark, least):
+    """From 10 sampled sources it was a lower bound beyond 100 rows."""
+    x = np.random.default_rng(34).normal(size=(160, 4))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hops = unit @ unit.T >= least
+    far, reach, m = np.eye(160, dtype=bool), np.eye(160, dtype=bool), 0
+    while True:
+        far = (reach.astype(int) @ (hops | np.eye(160, dtype=bool)).astype(int)) > 0
+        if (far == reach).all():
+            break
+        reach, m = far, m + 1
+    assert alike.diameter(units_of(spark, x), least).first()[0] == (m or math.inf)
+
+
+def test_diameter_of_edges_is_exact_beyond_100_vertices(spark):
+    e = spark.range(149).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    e = e.where("dst < 20").unionByName(e.where("src >= 20").select("src", F.lit(20).cast("bigint").alias("dst"), "weight"))
+    v = spark.range(150)
+    there = G.bfs(e, v).agg(F.max("distance")).first()[0]
+    assert there == 19 and G.diameter(e, v).first()[0] == there
+
+
+def test_products_over_tiles(spark, made, monkeypatch):
+    u, _, both, v = made
+    monkeypatch.setattr(alike, "TILE_ROWS", 20)
+    monkeypatch.setattr(alike.tiles, "__defaults__", (*alike.tiles.__defaults__[:-1], 20))
+    same({r.id: r.rank for r in alike.pagerank(u, LEAST).collect()}, {r.id: r.rank for r in G.pagerank(both, v).collect()})
+    got, there = (f.first().spectral_radius for f in (alike.spectral(u, LEAST, exact_up_to=0, iterations=15), G.spectral(both, v, exact_up_to=0, iterations=15)))
+    assert got == pytest.approx(there, abs=1e-8)
+
+
+@pytest.mark.parametrize("query", ["pagerank_10"])
+def test_pagerank_lists_no_edges(spark, monkeypatch, query):
+    test_queries_list_no_edges(spark, monkeypatch, query)
