@@ -86,3 +86,18 @@ def test_ranks_are_not_refused_for_many_vertices(spark):
 
     assert inspect.signature(G.rank_ratio).parameters["most"].default is None
     assert G.rank_ratio(e, e.where("src < 2"), spark.range(6)).first().rank_ratio == 0.5
+
+
+def test_replayed_classes_give_all_pairs(spark):
+    """Copies of one text gave every pair of them."""
+    from lattice.operators import consolidation as C
+
+    x = np.random.default_rng(26).normal(size=(40, 3))
+    u = units_of(spark, np.concatenate([x, x[:10], x[:5], np.repeat(x[:1], 30, axis=0)]))
+    rows = C.replay_classes(u, 0.9).collect()
+    stands = {i: i for i in range(85)} | {r.dst: r.src for r in rows if r.kind == "copy"}
+    linked = {(r.src, r.dst): r.similarity for r in rows if r.kind == "link"}
+    there = {(r.src, r.dst): r.similarity for r in C.replay(u, 0.9).collect()}
+    pairs = {(i, j): 1.0 if stands[i] == stands[j] else linked.get((stands[i], stands[j])) for i in range(85) for j in range(85) if i != j}
+    assert {k: round(s, 9) for k, s in pairs.items() if s} == {k: round(s, 9) for k, s in there.items()}
+    assert len(rows) < len(there) / 2 and all(stands[a] == a and stands[b] == b for a, b in linked)
