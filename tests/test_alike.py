@@ -167,3 +167,75 @@ def test_products_over_tiles(spark, made, monkeypatch):
 @pytest.mark.parametrize("query", ["pagerank_10"])
 def test_pagerank_lists_no_edges(spark, monkeypatch, query):
     test_queries_list_no_edges(spark, monkeypatch, query)
+
+
+def test_walks_list_no_edges(spark, monkeypatch):
+    """Each step of every walk was joined with all edges."""
+    test_queries_list_no_edges(spark, monkeypatch, "simulated_walks")
+
+
+def walks_of(near, length, walks):
+    """Of walks that step alike: their chance to return, its deviation over all walks, and the share of distinct paths."""
+    n, degree = len(near), near.sum(axis=1)
+    home = np.diag(np.linalg.matrix_power(near / np.maximum(degree, 1)[:, None], length))
+    distinct = 0
+    for start in range(n):
+        ends, p = np.array([start]), np.ones(1)
+        for _ in range(length if degree[start] else 0):
+            p, ends = np.repeat(p / degree[ends], degree[ends]), np.concatenate([np.flatnonzero(near[e]) for e in ends])
+        distinct += (1 - (1 - p) ** walks).sum()
+    return home.mean(), math.sqrt((home * (1 - home)).sum() / walks) / n, distinct / (n * walks)
+
+
+@pytest.mark.parametrize("pilot", [4096, 4])
+def test_walks_step_alike(spark, pilot):
+    x = np.random.default_rng(32).normal(size=(150, 8))
+    x[:3] = np.eye(8)[:3] - 0.2 * x[3:].mean(axis=0)
+    x[100:110] = x[90:100]  # copies are neighbours
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = np.zeros((153, 153), bool)
+    near[:150, :150] = (unit @ unit.T >= 0.5) & ~np.eye(150, dtype=bool)
+    bad = [None, np.zeros(8), [math.nan] * 8]
+    u = units_of(spark, [*x, *bad])
+    row = alike.simulated_walks(u, 0.5, walks=200, length=3, pilot=pilot).first()
+    home, off, distinct = walks_of(near, 3, 200)
+    assert abs(row.return_probability - home) < 4 * off and home > 10 * off
+    assert row.path_diversity == pytest.approx(distinct, rel=0.02)
+    assert alike.simulated_walks(u, 0.5, walks=200, length=3, pilot=pilot).first() == row
+    assert alike.simulated_walks(u.limit(0), 0.5).first() == (0.0, 0.0)
+    assert alike.simulated_walks(u.where("unit_id >= 150"), 0.5, walks=10).first() == (0.0, 0.1)
+
+
+def test_walks_of_ids_that_come_twice(spark, made):
+    u, pairs, _, v = made
+    twice = u.unionByName(u.where("unit_id < 4").select((F.col("unit_id") + 20).alias("unit_id"), "embedding"))
+    edges = S.pairwise(twice, LEAST).select("src", "dst", F.col("similarity").alias("weight"))
+    assert alike.simulated_walks(twice, LEAST, walks=20).first() == G.simulated_walks(G.both_ways(edges), v, walks=20).first()
+
+
+@pytest.mark.parametrize("way", ["draw", "list", "look"])
+def test_each_neighbour_is_as_likely(way):
+    import pyarrow as pa
+
+    x = np.random.default_rng(33).normal(size=(60, 5)).astype(np.float32)
+    x[7] = [3, 0, 0, 0, 0]
+    x[8] = [1, 1, 1, 1, 0]  # a cosine of just the least
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = (unit @ unit.T >= 0.5) & ~np.eye(60, dtype=bool)
+    assert near[7, 8]
+    lists = [np.flatnonzero(r).tolist() if way == "list" or not r.any() else None for r in near]
+    steps = alike._Steps(pa.table({"id": np.arange(60), "v": pa.array(list(x), pa.list_(pa.float32())), "near": pa.array(lists, pa.list_(pa.int64()))}), 0.5)
+    rng, got = np.random.default_rng(34), np.zeros((60, 60))
+    rounds = 400
+    for _ in range(rounds):
+        at = np.arange(60, dtype=np.int32)
+        to = at.copy()
+        if way == "look":
+            steps._look(at, to, at, rng)
+        else:
+            to = steps.step(at, rng)
+        got[at, to] += 1
+    some = near.any(axis=1)
+    assert (np.diag(got)[~some] == rounds).all()
+    p = near / np.maximum(near.sum(axis=1), 1)[:, None]
+    assert (got[some][~near[some]] == 0).all() and (np.abs(got - rounds * p)[some] < 5 * np.sqrt(rounds * p * (1 - p) + 1)[some]).all()
